@@ -17,25 +17,18 @@ Null text counts as the empty text.  All functions here are built-in SQL functio
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.bitmaps import FILTER_BITS, bitmap, with_maybe
 from siftline.llm.scratch import stage
 from siftline.llm.textops import lower_ascii
 
 #: Residues of the byte length; bounds the broadcast of step 1 to this many longs.
 LENGTH_CLASSES = 1 << 16
-#: Bits of the bitmap of step 2 (4 MiB).
-FILTER_BITS = 1 << 25
 PREFIX_CHARS = 128
 
 
-def _bit_is_set(bitmap: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    shifted = F.call_function("shiftright", byte, F.pmod(position, F.lit(8)).cast("int"))
-    return F.coalesce(shifted.bitwiseAND(F.lit(1)) == 1, F.lit(False))
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest_all: bool = False,
                  length_classes: int = LENGTH_CLASSES, filter_bits: int = FILTER_BITS, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
@@ -54,17 +47,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     with_length = base.withColumn("__n", n).withColumn("__lc", length_class)
     prefix = F.xxhash64("__n", lower_ascii(F.left("__t", F.lit(prefix_chars))))
-    position = F.pmod(prefix, F.lit(filter_bits))
-    shared = (
-        with_length.join(F.broadcast(crowded), "__lc")
-        .select(prefix.alias("__p")).groupBy("__p").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1")
-        .select(F.pmod("__p", F.lit(filter_bits)).alias("__pos"))
-        .groupBy(F.call_function("bitmap_bucket_number", F.col("__pos")).alias("__b"))
-        .agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("__pos"))).alias("__bm"))
-    )
-    probe = with_length.withColumn("__pos", position).withColumn("__b", F.call_function("bitmap_bucket_number", F.col("__pos")))
-    bit = F.call_function("bitmap_bit_position", F.col("__pos"))
-    in_doubt = probe.join(F.broadcast(shared), "__b", "left").withColumn("__maybe", F.col("__bm").isNotNull() & _bit_is_set(F.col("__bm"), bit))
+    shared = with_length.join(F.broadcast(crowded), "__lc").select(prefix.alias("__p")).groupBy("__p").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1")
+    in_doubt = with_maybe(with_length, prefix, bitmap(shared, F.col("__p"), filter_bits), filter_bits)
     full = F.sha2(lower_ascii(F.col("__t")), 256)
     rows = stage(
         in_doubt.select("__id", "__maybe", (full if digest_all else F.when(F.col("__maybe"), full)).alias("__sha"), F.monotonically_increasing_id().alias("__row")),
@@ -94,9 +78,12 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     grouped = found.where("group_size > 1").select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), (F.col(id_col).eqNullSafe(F.col("keep_id"))).cast("int").alias("__same"))
     grouped = stage(grouped.groupBy("__sha").agg(F.first("__keep").alias("__keep"), F.sum("__same").alias("__n")), "exact-groups")
     cols = docs.columns
-    keyed = docs.withColumn("__key", F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256))
-    marked = keyed.join(grouped.withColumnRenamed("__sha", "__key"), "__key", "left").where(F.col("__n").isNull() | F.col(id_col).eqNullSafe(F.col("__keep")))
-    once = marked.where("__n is null or __n = 1").select(cols)
+    digest = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    # only rows that may have copies are shuffled with their text
+    marked = with_maybe(docs.withColumn("__key", digest), F.xxhash64("__key"), bitmap(grouped, F.xxhash64("__sha")))
+    clear = marked.where("not __maybe").select(cols)
+    joined = marked.where("__maybe").join(grouped.withColumnRenamed("__sha", "__key"), "__key", "left").where(F.col("__n").isNull() | F.col(id_col).eqNullSafe(F.col("__keep")))
+    once = clear.unionAll(joined.where("__n is null or __n = 1").select(cols))
     if grouped.where("__n > 1").isEmpty():
         return once
-    return once.unionByName(marked.where("__n > 1").dropDuplicates(["__key"]).select(cols))
+    return once.unionAll(joined.where("__n > 1").dropDuplicates(["__key"]).select(cols))

@@ -100,13 +100,40 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
     plan = stage(plan.join(cut, "key", "left").withColumnRenamed("size", "source_size"), "mix-plan")
     discard(by_bucket, filled)
 
+    documents = _taken(rows.withColumn("key", key).join(plan.drop("source"), "key"))
+    return plan, documents.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "repeats")
+
+
+def _taken(rows: DataFrame) -> DataFrame:
+    """rows: id, size, h, bucket and a source's plan -> with ``once_more``, ``taken`` and ``repeats``."""
     id_before = F.coalesce(F.col("id") < F.col("cut_id"), F.col("id").isNull() & F.col("cut_id").isNotNull())
     same_id = F.col("id").eqNullSafe(F.col("cut_id"))
     before = (F.col("bucket") < F.col("cut_bucket")) | ((F.col("bucket") == F.col("cut_bucket")) & (
         (F.col("h") < F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & (id_before | (same_id & (F.col("size") < F.col("cut_size")))))))
     at = (F.col("h") == F.col("cut_h")) & same_id & (F.col("size") == F.col("cut_size"))
     once_more = F.when(F.col("cut_bucket").isNull(), F.lit(0)).when(before, F.col("size")).when(at, F.col("partial")).otherwise(F.lit(0)).cast("long")
-    documents = rows.withColumn("key", key).join(plan.drop("source"), "key").select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
-        (F.col("size") * F.col("whole") + once_more).alias("taken"), (F.col("whole") + F.when(once_more > 0, 1).otherwise(0)).cast("long").alias("repeats"))
-    return plan, documents
+    rows = rows.withColumn("once_more", once_more)
+    return rows.withColumn("taken", F.col("size") * F.col("whole") + F.col("once_more")).withColumn("repeats", (F.col("whole") + (F.col("once_more") > 0).cast("int")).cast("long"))
+
+
+def mixed(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *,
+          max_epochs: float = MAX_EPOCHS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+    """The mix itself: rows of ``docs``, each as often as the mix takes it, the one on a source's boundary cut to its first words.
+
+    Where a text is cut, its words are joined by single spaces and a column ``n_chars``, if
+    there is one, becomes the length of what is left.  Documents of size 0 are left out.
+    """
+    plan, _ = mix(docs, weights, id_col, text_col, source_col, max_epochs=max_epochs, seed=seed, buckets=buckets)
+    cols = docs.columns
+    rows = docs.select(F.struct(*cols).alias("__doc"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("key"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "id")).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
+    taken = _taken(rows.join(plan.drop("source"), "key")).where("size > 0 and repeats > 0")
+    each = taken.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
+    part = (F.col("nth") > F.col("whole")) & (F.col("once_more") < F.col("size"))
+    text = F.col("__doc").getField(text_col)
+    first_words = F.array_join(F.slice(F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.col("once_more").cast("int")), " ")
+    out = {c: F.col("__doc").getField(c) for c in cols}
+    out[text_col] = F.when(part, first_words).otherwise(text)
+    if "n_chars" in cols:
+        out["n_chars"] = F.when(part, F.length(first_words).cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return each.select(*[out[c].alias(c) for c in cols])

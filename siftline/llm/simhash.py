@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.bitmaps import drop_ids, keep_ids
 from siftline.llm.components import connected_components
 from siftline.llm.scratch import stage
 from siftline.llm.textops import LOWER_TABLE
@@ -304,5 +305,66 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _shingle_sets(size: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for t in batch.column(1):
+                digests = np.frombuffer(shingle_digests(t.as_py() or b"", size, seed), np.uint32)[::2]
+                sets.append(np.unique(digests).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    return run
+
+
+def _similar(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
+                if min(len(x), len(y)) < least * max(len(x), len(y)):
+                    keep.append(False)
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_bits: int = 12, blocks: int = 8, agree: int = 3,
+                shingle: int = SHINGLE, verify_shingle: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
+    """(id, component_id): documents grouped by SimHash and then verified on word shingles.
+
+    Fingerprints (of ``shingle`` words) within ``max_bits`` bits are candidates; a link needs
+    a Jaccard similarity of at least ``similarity`` over ``verify_shingle``-word shingles.
+    Pairs within ``blocks - agree`` bits are sure to be looked at, pairs further apart if
+    ``agree`` blocks happen to be equal.  Documents with one fingerprint are one node, seen as
+    the one with the smallest id.  Only documents in a group of two or more are returned;
+    rows with a null id are in none.
+    """
+    fps = stage(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, seed), "fingerprints")
+    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "fp-nodes")
+    links = fingerprint_links(nodes, max_bits=max_bits, blocks=blocks, agree=agree, seed=seed)
+    ends = nodes.select(F.col("fp").alias("f"), "id")
+    pairs = links.join(ends, links.u == ends.f).select(F.col("id").alias("a"), "v")
+    pairs = stage(pairs.join(ends, pairs.v == ends.f).select("a", F.col("id").alias("b")), "fp-pairs")
+    needed = stage(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "fp-needed")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
+    sets = keep_ids(texts, "id", needed).mapInArrow(_shingle_sets(verify_shingle, seed), "id long, shingles binary")
+    sets = stage(sets.dropDuplicates(["id"]), "fp-shingles")
+    seen = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    alike = seen.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+    one = fps.join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
+    return connected_components(alike.unionAll(one), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """``docs`` with the document of the smallest id of each group; see ``near_copies``."""
+    groups = near_copies(docs, id_col, text_col, **options)
+    return drop_ids(docs, id_col, stage(groups.where("id <> component_id").select("id"), "near-dropped"))
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
