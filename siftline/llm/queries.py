@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import exact_dedup, mixing, packing, simhash, toxicity
+from siftline.llm import exact_dedup, mixing, packing, pivots, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, documents = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -42,6 +46,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_pivots": op3_pivots,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
     "op8_toxicity": op8_toxicity,
