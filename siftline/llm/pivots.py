@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.components import connected_components
+from siftline.llm.runs import run_edges, whole_runs
 from siftline.llm.scratch import stage
-from siftline.llm.simhash import forest, runs
+from siftline.llm.simhash import forest
 
 THRESHOLD, NEAREST, SHARED, SEED = 0.93, 6, 3, 42
 PIVOT_SAMPLE, LEAST_PIVOTS, MOST_PIVOTS, SPREAD = 4096, 96, 4096, 0.8
@@ -121,19 +122,23 @@ def _link_run(cid: np.ndarray, mult: np.ndarray, top: np.ndarray, near: np.ndarr
 
 def _link(threshold: float, nearest: int, shared: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, label, cid, mult, top, near, vec in runs(batches, 7):
-            if len(key) < 2:
-                continue
-            raw_near = np.frombuffer(b"".join(near), np.int16).reshape(-1, nearest)
-            # lists whose keys collide by chance are told apart here
-            own = [(int(lb), int(t), len(v)) for lb, t, v in zip(label, top, vec, strict=True)]
-            for kind in set(own):
-                at = np.array([i for i, o in enumerate(own) if o == kind])
-                if len(at) < 2:
-                    continue
-                links, low = _link_run(cid[at], mult[at], top[at], raw_near[at], _unit([vec[i] for i in at], dtype), threshold, shared)
-                found = np.flatnonzero((links > 0) | (low != np.arange(len(at))))
-                yield pa.RecordBatch.from_arrays([pa.array(cid[at][found], pa.int64()), pa.array(links[found], pa.int64()), pa.array(cid[at][low[found]], pa.int64())], names=["cid", "links", "other"])
+        for key, *cols in whole_runs(batches, 7):
+            edges = run_edges(key)
+            outs: tuple[list, ...] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)])
+            for n in np.flatnonzero(np.diff(edges) > 1).tolist():
+                label, cid, mult, top, near, vec = (c[edges[n] : edges[n + 1]] for c in cols)
+                raw_near = np.frombuffer(b"".join(near), np.int16).reshape(-1, nearest)
+                # lists whose keys collide by chance are told apart here
+                own = [(int(lb), int(t), len(v)) for lb, t, v in zip(label, top, vec, strict=True)]
+                for kind in set(own):
+                    at = np.array([i for i, o in enumerate(own) if o == kind])
+                    if len(at) < 2:
+                        continue
+                    links, low = _link_run(cid[at], mult[at], top[at], raw_near[at], _unit([vec[i] for i in at], dtype), threshold, shared)
+                    found = np.flatnonzero((links > 0) | (low != np.arange(len(at))))
+                    for out, x in zip(outs, (cid[at][found], links[found], cid[at][low[found]]), strict=True):
+                        out.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in outs], names=["cid", "links", "other"])
 
     return run
 

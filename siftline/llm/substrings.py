@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.bitmaps import bitmap, with_maybe
+from siftline.llm.runs import whole_runs
 from siftline.llm.scratch import discard, stage
 from siftline.llm.simhash import _mixed
 from siftline.llm.suffixes import suffix_array
@@ -139,29 +140,9 @@ def _fold(length: int, gram: int):
     return run
 
 
-def _sorted_runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
-    """Whole runs of equal first column, as many at a time as a batch completes."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
-        if not len(cols[0]):
-            continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-        if cut:
-            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in cols], strict=True)]
-            held = [[c[cut:] for c in cols]]
-        elif held and held[0][0][0] != cols[0][0]:
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held = [cols]
-        else:
-            held.append(cols)
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of anchors that more than one document has, folded; ``open`` where contexts differ."""
-    for a, c, doc, several in _sorted_runs(batches, 4):
+    for a, c, doc, several in whole_runs(batches, 4):
         # rows are sorted by anchor, context, doc
         new_c = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
         first = np.flatnonzero(new_c)
@@ -289,7 +270,7 @@ def _resolve(length: int, gram: int):
     """(anchor, context, doc, ids): for contexts under an anchor, the smallest id of each string; rows come sorted by anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, c, doc, left, several, raw in _sorted_runs(batches, 6):
+        for a, c, doc, left, several, raw in whole_runs(batches, 6):
             edges = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
             outs: tuple[list, ...] = ([], [], [], [])
             for lo, hi in itertools.pairwise(edges):
@@ -350,7 +331,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by doc, tag, start; one row for each doc and tag with its merged spans."""
-    for doc, tag, start, end in _sorted_runs(batches, 4):
+    for doc, tag, start, end in whole_runs(batches, 4):
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
         edges = [*np.flatnonzero(new).tolist(), len(doc)]
         rows = [np.stack(merged(start[lo:hi], end[lo:hi])).astype(np.int64).tobytes() for lo, hi in itertools.pairwise(edges)]
