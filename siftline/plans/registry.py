@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("siftline.plans.trust", "siftline.plans.reports")
+MODULES = ("siftline.plans.trust", "siftline.plans.reports", "siftline.plans.relational")
 
 
 def _merged(attribute: str) -> dict:
