@@ -107,7 +107,7 @@ def what_if(fitted: DataFrame, id_col: str, most: int = 5) -> DataFrame:
     ``fitted`` is the output of ``specialization``.
     """
     n = F.size("strong") + F.size("transferable") + F.size("missing")
-    after = js_round((F.size("strong") + 1 + 0.5 * F.size("transferable")) / n * 100)
+    after = js_round(F.try_divide(F.size("strong") + 1 + 0.5 * F.size("transferable"), n.cast("double")) * 100)
     gain = after - F.col("fit")
     skills = F.transform(F.slice(F.array_sort("missing"), 1, most), lambda s: F.struct(gain.alias("gain"), s.alias("skill")))
     return fitted.select(id_col, F.when(gain > 0, skills).otherwise(F.slice(skills, 1, 0)).alias("what_if"))
