@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.bitmaps import drop_ids, keep_ids
 from siftline.llm.components import connected_components
+from siftline.llm.runs import run_edges, whole_runs
 from siftline.llm.scratch import stage
 from siftline.llm.textops import LOWER_TABLE
 
@@ -38,6 +39,8 @@ BLOCKS, AGREE = 5, 3
 RANDOM_REFERENCES = 16
 #: Keys with more fingerprints than this are linked through neighbours.
 PAIRWISE = 64
+#: The same for links wider than 2 bits, which are linked through leaders beyond it.
+PAIRWISE_WIDE = 8
 _MASK = (1 << 64) - 1
 
 
@@ -131,15 +134,31 @@ def _emit_keys(blocks: int, agree: int, seed: int):
     return run
 
 
-def _links_pairwise(fps: np.ndarray, refs: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    table = np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int16)
-    a, b = np.triu_indices(len(fps), 1)
-    near = np.ones(len(a), bool)
-    for p in range(table.shape[1]):
-        near &= np.abs(table[a, p] - table[b, p]) <= max_bits
-    a, b = a[near], b[near]
-    ok = np.bitwise_count(fps[a] ^ fps[b]) <= max_bits
-    return a[ok], b[ok]
+def _near(a: np.ndarray, b: np.ndarray, refs: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which pairs are within ``max_bits``: coordinate by coordinate of the distance table, then verified."""
+    left = np.arange(len(a))
+    for ref in refs[::-1]:
+        if not len(left):
+            return left
+        x, y = (np.bitwise_count(v[left] ^ ref).astype(np.int8) for v in (a, b))
+        left = left[np.abs(x - y) <= max_bits]
+    return left[np.bitwise_count(a[left] ^ b[left]) <= max_bits]
+
+
+def _links_pairwise(key: np.ndarray, fps: np.ndarray, refs: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within ``max_bits`` of the same key, for many keys at once; keys are sorted."""
+    edges = run_edges(key)
+    to_end = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(key)) - 1  # rows of the key that follow
+    us, vs = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    at = np.arange(len(key))
+    for step in range(1, int(to_end.max(initial=0)) + 1):
+        at = at[to_end[at] >= step]
+        for part in range(0, len(at), 1 << 18):
+            i = at[part : part + (1 << 18)]
+            ok = _near(fps[i], fps[i + step], refs, max_bits)
+            us.append(fps[i[ok]])
+            vs.append(fps[i[ok] + step])
+    return np.concatenate(us), np.concatenate(vs)
 
 
 def _links_by_neighbours(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,60 +233,26 @@ def _links_by_leaders(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.nd
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def runs(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
-    """Column arrays of each run of two or more rows with the same first column; rows are sorted by it."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
-        key = cols[0]
-        if not len(key):
-            continue
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        if held and held[0][0][0] != key[0]:
-            yield [np.concatenate(c) for c in zip(*held, strict=True)]
-            held = []
-        sizes = np.diff(cuts)
-        for i in np.flatnonzero(sizes > 1).tolist() if len(cuts) > 2 else []:
-            if i == 0 or i == len(sizes) - 1:
-                continue
-            yield [c[cuts[i] : cuts[i + 1]] for c in cols]
-        if len(cuts) > 2:
-            yield [np.concatenate(c) for c in zip(*held, [c[: cuts[1]] for c in cols], strict=True)]
-            held = [[c[cuts[-2] :] for c in cols]]
-        else:
-            held.append(cols)
-    if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
 def _link_runs(max_bits: int, seed: int):
+    if max_bits < 2:
+        raise ValueError("max_bits below 2 is not supported")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = np.array(references(seed), np.uint64)
-        us, vs, n = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            u, v = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (us, vs))
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-        for _, fp in runs(batches, 2):
-            if len(fp) < 2:
-                continue
-            fps = np.unique(fp.view(np.uint64))
-            if len(fps) <= PAIRWISE:
-                a, b = _links_pairwise(fps, refs, max_bits)
-            elif max_bits <= 2:
-                a, b = _links_by_neighbours(fps)
-                if max_bits < 2:
-                    raise ValueError("max_bits below 2 is not supported")
-            else:
-                a, b = _links_by_leaders(fps, max_bits)
-            us.append(fps[a].view(np.int64))
-            vs.append(fps[b].view(np.int64))
-            n += len(a)
-            if n >= 100_000:
-                yield out()
-                us, vs, n = [], [], 0
-        yield out()
+        for key, fp in whole_runs(batches, 2):
+            edges, fps = run_edges(key), fp.view(np.uint64)
+            sizes = np.diff(edges)
+            most = PAIRWISE if max_bits == 2 else PAIRWISE_WIDE
+            small = np.repeat((sizes > 1) & (sizes <= most), sizes)
+            us, vs = ([x] for x in _links_pairwise(key[small], fps[small], refs, max_bits))
+            for n in np.flatnonzero(sizes > most).tolist():
+                crowd = np.unique(fps[edges[n] : edges[n + 1]])
+                a, b = _links_by_neighbours(crowd) if max_bits == 2 else _links_by_leaders(crowd, max_bits)
+                us.append(crowd[a])
+                vs.append(crowd[b])
+            a, b = (np.concatenate(x).view(np.int64) for x in (us, vs))
+            u, v = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -277,7 +262,7 @@ def fingerprint_links(distinct: DataFrame, *, max_bits: int = MAX_BITS, blocks:
 
     With ``max_bits`` 2 and ``blocks - agree`` >= 2 they connect exactly what all pairs within
     2 bits connect.  With more bits, pairs within ``blocks - agree`` bits are all found in
-    keys of up to PAIRWISE fingerprints, others by chance, larger keys by leaders.
+    keys of up to PAIRWISE_WIDE fingerprints, others by chance, larger keys by leaders.
     """
     keyed = distinct.select("fp").mapInArrow(_emit_keys(blocks, agree, seed), "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link_runs(max_bits, seed), "u long, v long").distinct()
