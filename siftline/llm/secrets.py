@@ -17,9 +17,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.llm.scratch import stage
+
 CANDIDATE = r"(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}"
 WHITE = r"[\x20\x09-\x0D]+"
-TREES, DEPTH, SEED, FINDINGS, THRESHOLD = 40, 7, 42, 6000, 0.5
+TREES, DEPTH, SEED, FINDINGS, THRESHOLD = 24, 7, 42, 6000, 0.5
 
 #: Words whose letters speak against a random string (fixed values).
 DICTIONARY = (
@@ -148,7 +150,8 @@ def train(findings: DataFrame, *, trees: int = TREES, depth: int = DEPTH, seed:
     Findings are a labelled set of bounded size; they are brought to one partition so that
     the fit does not depend on the cluster.
     """
-    rows = findings.withColumn("path", F.when(F.pmod(F.xxhash64(F.lit(seed), "candidate"), F.lit(2)) == 0, F.col("path"))).where("label in (0, 1)")
+    # staged, so that the plans of the fit do not carry how the findings were made
+    rows = stage(findings, "findings").withColumn("path", F.when(F.pmod(F.xxhash64(F.lit(seed), "candidate"), F.lit(2)) == 0, F.col("path"))).where("label in (0, 1)")
     rows = _assembled(rows).select("__features", F.col("label").cast("double").alias("label")).repartition(1)
     return RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, maxBins=64, featureSubsetStrategy="sqrt").fit(rows)
 
