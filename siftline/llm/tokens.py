@@ -5,8 +5,9 @@ The best score of a prefix depends on the prefix alone, so it is computed once,
 node is made, from the scores of the nodes above it; words that share a prefix share the
 work.  A node at which a pre-token ends stores its token count and how often it occurred.
 
-The trie lives in a worker, grows over the batches it sees and is dropped when it reaches
-``MAX_NODES``.  Documents are counted where they lie; nothing is shuffled.
+The trie lives in a worker, grows over the batches it sees and is begun anew when it reaches
+``MAX_NODES``; counts of words already seen are kept apart, up to ``MAX_WORDS``.  Documents
+are counted where they lie; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 #: The marker that the vocabulary writes for a leading space.
 SPACE = "▁"
 MAX_NODES = 400_000
+MAX_WORDS = 500_000
 #: Words longer than this are scored without being kept.
 LONGEST_KEPT = 256
 _WHITE = str.maketrans(dict.fromkeys("\t\n\v\f\r", " "))
@@ -53,44 +55,46 @@ class Trie:
 
     def __init__(self, scores: dict[str, float]) -> None:
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        # what pieces may end with: the score of a piece, None for other endings, absent where no longer piece can follow
+        self.endings: dict[str, float | None] = dict.fromkeys(p[i:] for p in scores for i in range(len(p))) | scores
         self.unknown = min(scores.values(), default=0.0) - 10.0
         self.clear()
 
     def clear(self) -> None:
-        self.children: dict[tuple[int, str], int] = {}
+        self.children: dict[int, int] = {}  # by node and character, as one number
         self.score, self.tokens, self.occurred = [0.0], [0], [0]
 
     def insert(self, word: str) -> int:
         """The node of ``word``; its prefixes are scored where they are new."""
-        node, path, children = 0, [0], self.children
+        node, path, children, score, tokens, ending = 0, [0], self.children, self.score, self.tokens, self.endings.get
         for end, ch in enumerate(word, 1):
-            child = children.get((node, ch))
+            key = node * 0x110000 + ord(ch)
+            child = children.get(key)
             if child is None:
-                child = children[node, ch] = len(self.score)
-                self._score(word, end, path)
+                child = children[key] = len(score)
+                best, fewest = score[node] + self.unknown, tokens[node] + len(ch.encode("utf-8", "surrogatepass"))
+                for start in range(end - 1, -1, -1):
+                    piece = ending(word[start:end], 0)
+                    if piece is None:
+                        continue
+                    if piece == 0:
+                        break
+                    above = path[start]
+                    s = score[above] + piece
+                    if s >= best:
+                        t = tokens[above] + 1
+                        if s > best or t < fewest:
+                            best, fewest = s, t
+                score.append(best)
+                tokens.append(fewest)
+                self.occurred.append(0)
             path.append(child)
             node = child
         return node
 
-    def _score(self, word: str, end: int, path: list[int]) -> None:
-        score, tokens, scores = self.score, self.tokens, self.scores
-        above = path[end - 1]
-        best, fewest = score[above] + self.unknown, tokens[above] + len(word[end - 1].encode("utf-8", "surrogatepass"))
-        for start in range(max(0, end - self.longest), end):
-            piece = scores.get(word[start:end])
-            if piece is not None:
-                node = path[start]
-                s, t = score[node] + piece, tokens[node] + 1
-                if s > best or (s == best and t < fewest):
-                    best, fewest = s, t
-        score.append(best)
-        tokens.append(fewest)
-        self.occurred.append(0)
-
 
 class _Counts(dict):
-    """word -> token count, through the trie; both are dropped together."""
+    """word -> token count, through the trie."""
 
     def __init__(self, trie: Trie) -> None:
         super().__init__()
@@ -99,6 +103,7 @@ class _Counts(dict):
     def __missing__(self, word: str) -> int:
         if len(self.trie.score) > MAX_NODES:
             self.trie.clear()
+        if len(self) > MAX_WORDS:
             self.clear()
         node = self.trie.insert(SPACE + word)
         self.trie.occurred[node] += 1
