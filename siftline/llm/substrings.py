@@ -4,8 +4,8 @@ A byte of a document goes if a string of ``length`` bytes that covers it also st
 document with a smaller id.  To bring equal strings together without one suffix array of
 everything, each string is filed under an anchor: the smallest hash among its ``gram``-byte
 substrings.  An anchor lies at the same place in equal strings, so equal strings meet under
-one anchor, and all strings of an anchor at a place lie within its context, the
-``2 * length - gram`` bytes around it.
+one anchor.  The strings filed under an anchor at a place follow one another; the bytes they
+cover are its context, at most ``2 * length - gram`` of them.
 
 1. anchors: every worker finds the anchors of its documents and folds equal (anchor,
    context) pairs to the smallest id before the shuffle, so that a passage that many
@@ -91,9 +91,29 @@ def _parts(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, byt
         yield group
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, context, row, place) arrays, some texts at a time; context is a hash of the bytes around."""
-    around, windows = length - gram, length - gram + 1
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse; kept for the next call."""
+    held = _powers_held
+    if len(held[0]) < n:
+        with np.errstate(over="ignore"):
+            base = np.array([1], np.uint64), np.array([1], np.uint64)
+            steps = (_STEP, np.uint64(pow(int(_STEP), -1, 1 << 64)))
+            while len(base[0]) < n:
+                base = tuple(np.concatenate([x, x * np.uint64(pow(int(step), len(x), 1 << 64))]) for x, step in zip(base, steps, strict=True))
+        held[:] = base
+    return held[0][:n], held[1][:n]
+
+
+_powers_held: list[np.ndarray] = [np.array([1], np.uint64), np.array([1], np.uint64)]
+
+
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """(anchor, context, row, place, first, last) arrays, some texts at a time.
+
+    first to last are the places at which the strings filed under the anchor start; context
+    is a hash of the bytes they cover and of where the anchor lies among them.
+    """
+    windows = length - gram + 1
     for group in _parts(texts, length):
         pad = np.zeros(length, np.uint64)
         pieces, starts, ends, at = [pad], [], [], length
@@ -111,13 +131,29 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Itera
         least = np.where(inside, least, np.uint64(0))
         edge = np.zeros(windows - 1, np.uint64)
         chosen = np.flatnonzero((_slide(np.concatenate([edge, least, edge]), windows, np.maximum) == h) & (h > 0))
+        least = np.concatenate([least, edge])
+        mine = h[chosen]
+        # walking back from the anchor: the first hit is the last string, and hits follow one another
+        hits, skipped, met = np.zeros(len(chosen), np.int8), np.zeros(len(chosen), np.int8), np.zeros(len(chosen), bool)
+        for back in range(windows):
+            holds = least[chosen - back] == mine
+            met |= holds
+            hits += holds
+            skipped += ~met
+        last = chosen - skipped
+        first = last - hits + 1
+        up, down = _powers(len(values) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(values * up[:-1])])
+            context = (sums[last + length] - sums[first]) * down[first]
+            context = _mixed(_mixed(context, (last - first).astype(np.uint64)), (chosen - first).astype(np.uint64))
         piece = np.searchsorted(np.array(starts), chosen, "right") - 1
-        place = chosen - np.array(starts)[piece]
-        first, last = np.array([g[3] for g in group]), np.array([g[4] for g in group])
-        own = (place >= first[piece]) & (place < last[piece])
-        chosen, piece, place = chosen[own], piece[own], place[own]
-        context = _grams(values, length + around)[chosen - around]
-        yield h[chosen].view(np.int64), context.view(np.int64), np.array([g[0] for g in group])[piece], place + np.array([g[1] for g in group])[piece]
+        shift = np.array(starts)[piece]
+        place = chosen - shift
+        own_first, own_last = np.array([g[3] for g in group])[piece], np.array([g[4] for g in group])[piece]
+        own = (place >= own_first) & (place < own_last)
+        shift = (np.array([g[1] for g in group])[piece] - shift)[own]
+        yield mine[own].view(np.int64), context[own].view(np.int64), np.array([g[0] for g in group])[piece[own]], chosen[own] + shift, first[own] + shift, last[own] + shift
 
 
 def _fold(length: int, gram: int):
@@ -129,7 +165,7 @@ def _fold(length: int, gram: int):
             found = list(anchors(batch.column(1).to_pylist(), length, gram))
             if not found:
                 continue
-            a, c, row, _ = (np.concatenate(x) for x in zip(*found, strict=True))
+            a, c, row = (np.concatenate(x) for x in list(zip(*found, strict=True))[:3])
             doc = ids[row].astype(np.int64)
             order = np.lexsort((doc, c, a))
             a, c, doc = a[order], c[order], doc[order]
@@ -186,21 +222,21 @@ def _key_of(a: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(shared_bits, wanted_bits, bits: int, length: int, gram: int):
-    """(anchor, context, doc, tag, place, bytes) of anchors that may be shared; bytes where the context may be asked for."""
-    around = length - gram
+    """(anchor, context, doc, tag, first, last, left, bytes) of anchors that may be shared; bytes where the context may be asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, wanted = shared_bits.value, wanted_bits.value
         for batch in batches:
             ids, tags, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
-            sizes = np.array([len(t) for t in texts], np.int64)
-            for a, c, row, place in anchors(texts, length, gram):
-                keep = _has(shared, _position(a, bits))
-                a, c, row, place = a[keep], c[keep], row[keep], place[keep]
+            for found in anchors(texts, length, gram):
+                keep = _has(shared, _position(found[0], bits))
+                a, c, row, place, first, last = (x[keep] for x in found)
                 doc = ids[row].astype(np.int64)
                 ask = _has(wanted, _position(_key_of(a, c, doc), bits)).tolist()
-                piece = [texts[r][max(0, p - around) : p + length] if w else None for r, p, w in zip(row.tolist(), place.tolist(), ask, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(doc), pa.array(tags[row].astype(np.int32)), pa.array(place.astype(np.int64)), pa.array(sizes[row]), pa.array(piece, pa.binary())], names=["anchor", "context", "doc", "tag", "place", "n", "bytes"])
+                piece = [texts[r][s : e + length] if w else None for r, s, e, w in zip(row.tolist(), first.tolist(), last.tolist(), ask, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a), pa.array(c), pa.array(doc), pa.array(tags[row].astype(np.int32)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64)), pa.array((place - first).astype(np.int64)), pa.array(piece, pa.binary())],
+                    names=["anchor", "context", "doc", "tag", "first", "last", "left", "bytes"])
 
     return run
 
@@ -255,15 +291,27 @@ def _by_sorting(contexts: list[bytes], docs: list[int], out: list[np.ndarray], p
                 o[at] = found
 
 
-def _related(contexts: list[bytes], lefts: list[int], gram: int, length: int) -> list[int]:
-    """Contexts that agree with another on the anchor and half of what a string holds besides, on one side."""
-    half = (length - gram) // 2
+def _related(contexts: list[bytes], lefts: list[int], gram: int, length: int, step: int = 5) -> dict[int, tuple[int, int]]:
+    """Contexts that may share a string with another, and the part of each that such strings lie in.
+
+    A string reaches some way left of the anchor and the rest of its length right of it; in
+    steps of ``step``, the ``length - step`` bytes inside it are common to both contexts.
+    """
+    reach = length - gram
     seen: dict[tuple[int, bytes], list[int]] = {}
     for i, (c, left) in enumerate(zip(contexts, lefts, strict=True)):
-        for side, part in ((0, c[max(0, left - half) : left + gram]), (1, c[left : left + gram + half])):
-            if len(part) == gram + half:
-                seen.setdefault((side, part), []).append(i)
-    return sorted({i for group in seen.values() if len(group) > 1 for i in group})
+        for back in range(0, min(left, reach) + 1, step):
+            part = c[left - back : left - back + length - step]
+            if len(part) == length - step:
+                seen.setdefault((back, part), []).append(i)
+    spans: dict[int, tuple[int, int]] = {}
+    for (back, part), group in seen.items():
+        if len(group) > 1:
+            for i in group:
+                lo, hi = max(0, lefts[i] - back - step), min(len(contexts[i]), lefts[i] - back + len(part) + step)
+                had = spans.get(i, (lo, hi))
+                spans[i] = min(lo, had[0]), max(hi, had[1])
+    return spans
 
 
 def _resolve(length: int, gram: int):
@@ -278,7 +326,10 @@ def _resolve(length: int, gram: int):
                 ids: dict[int, np.ndarray] = {}
                 near = _related(contexts, lefts, gram, length)
                 if near:
-                    ids = dict(zip(near, smallest_ids([contexts[i] for i in near], [docs[i] for i in near], length), strict=True))
+                    told = smallest_ids([contexts[i][x:y] for i, (x, y) in near.items()], [docs[i] for i in near], length)
+                    for (i, (x, _)), part in zip(near.items(), told, strict=True):
+                        ids[i] = np.full(len(contexts[i]) - length + 1, docs[i], np.int64)
+                        ids[i][x : x + len(part)] = part
                 for i in range(hi - lo):
                     found = ids.get(i)
                     if found is not None and (found < docs[i]).any():
@@ -295,14 +346,12 @@ def _resolve(length: int, gram: int):
     return run
 
 
-def _spans(length: int, gram: int):
+def _spans(length: int):
     """(doc, tag, start, end) of strings that also start in a document with a smaller id."""
-    around = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tag, place, n, least = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            first, last = np.maximum(0, place - around), np.minimum(place, n - length)
+            doc, tag, first, last, least = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             whole = least < doc
             out_d, out_t, out_s, out_e = [doc[whole]], [tag[whole]], [first[whole]], [last[whole] + length]
             ids = batch.column(5)
@@ -359,16 +408,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = still.select("anchor", "context", "doc").mapInArrow(asked, "pos long")
     shared_bits = spark.sparkContext.broadcast(_bits(shared, F.col("anchor").bitwiseAND(F.lit(bits - 1).cast("long")), bits))
     wanted_bits = spark.sparkContext.broadcast(_bits(wanted, F.col("pos"), bits))
-    seen = stage(texts.mapInArrow(_occurrences(shared_bits, wanted_bits, bits, length, gram), "anchor long, context long, doc long, tag int, place long, n long, bytes binary"), "anchor-places")
+    seen = stage(texts.mapInArrow(_occurrences(shared_bits, wanted_bits, bits, length, gram), "anchor long, context long, doc long, tag int, first long, last long, left long, bytes binary"), "anchor-places")
 
     pieces = seen.where("bytes is not null").join(still.select("anchor", "context", "doc", "several"), ["anchor", "context", "doc"])
-    left = F.least("place", F.lit(length - gram))
-    pieces = pieces.groupBy("anchor", "context", "doc").agg(F.min(left).alias("left"), F.first("several").alias("several"), F.first("bytes").alias("bytes"))
+    pieces = pieces.groupBy("anchor", "context", "doc").agg(F.first("left").alias("left"), F.first("several").alias("several"), F.first("bytes").alias("bytes"))
     solved = pieces.select("anchor", "context", "doc", "left", "several", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     solved = solved.mapInArrow(_resolve(length, gram), "anchor long, context long, least long, ids binary")
     known = stage(solved.unionAll(shared.where("not open").select("anchor", "context", F.col("doc").alias("least"), F.lit(None).cast("binary").alias("ids"))), "anchor-ids")
-    hit = seen.select("anchor", "context", "doc", "tag", "place", "n").join(known, ["anchor", "context"]).select("doc", "tag", "place", "n", "least", "ids")
-    spans = hit.mapInArrow(_spans(length, gram), "doc long, tag int, start long, end long")
+    hit = seen.select("anchor", "context", "doc", "tag", "first", "last").join(known, ["anchor", "context"]).select("doc", "tag", "first", "last", "least", "ids")
+    spans = hit.mapInArrow(_spans(length), "doc long, tag int, start long, end long")
     spans = stage(spans.repartition("doc", "tag").sortWithinPartitions("doc", "tag", "start").mapInArrow(_merge, "doc long, tag int, spans binary"), "spans")
     discard(seen, shared, known)
     return spans
