@@ -39,8 +39,10 @@ BLOCKS, AGREE = 5, 3
 RANDOM_REFERENCES = 16
 #: Keys with more fingerprints than this are linked through neighbours.
 PAIRWISE = 64
-#: The same for links wider than 2 bits, which are linked through leaders beyond it.
-PAIRWISE_WIDE = 8
+#: Keys of near copies with more documents than this are linked to a leader first and then compared in blocks.
+CROWD = 8
+#: Documents of a crowded key in one block.
+CROWD_BLOCK = 2048
 _MASK = (1 << 64) - 1
 
 
@@ -210,44 +212,20 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = up
 
 
-def _links_by_leaders(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each fingerprint to up to three leaders; a leader is one no earlier leader is near.
-
-    Leaders are tried from the majority fingerprint outwards.  Used beyond 2 bits only; it
-    keeps groups together whose members are near their centre.
-    """
-    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) * 2 > len(fps)
-    centre = np.frombuffer(np.packbits(bits).tobytes(), ">u8").astype(np.uint64)[0]
-    order = np.argsort(np.bitwise_count(fps ^ centre), kind="stable")
-    times, out_a, out_b = np.zeros(len(fps), np.int8), [], []
-    alone = order
-    while len(alone):
-        lead = alone[0]
-        rest = order[times[order] < 3]
-        hit = rest[(np.bitwise_count(fps[rest] ^ fps[lead]) <= max_bits) & (rest != lead)]
-        times[hit] += 1
-        times[lead] = 3
-        out_a.append(np.full(len(hit), lead))
-        out_b.append(hit)
-        alone = alone[times[alone] == 0]
-    return np.concatenate(out_a), np.concatenate(out_b)
-
-
 def _link_runs(max_bits: int, seed: int):
-    if max_bits < 2:
-        raise ValueError("max_bits below 2 is not supported")
+    if max_bits != 2:
+        raise ValueError("only max_bits 2 is supported")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = np.array(references(seed), np.uint64)
         for key, fp in whole_runs(batches, 2):
             edges, fps = run_edges(key), fp.view(np.uint64)
             sizes = np.diff(edges)
-            most = PAIRWISE if max_bits == 2 else PAIRWISE_WIDE
-            small = np.repeat((sizes > 1) & (sizes <= most), sizes)
+            small = np.repeat((sizes > 1) & (sizes <= PAIRWISE), sizes)
             us, vs = ([x] for x in _links_pairwise(key[small], fps[small], refs, max_bits))
-            for n in np.flatnonzero(sizes > most).tolist():
+            for n in np.flatnonzero(sizes > PAIRWISE).tolist():
                 crowd = np.unique(fps[edges[n] : edges[n + 1]])
-                a, b = _links_by_neighbours(crowd) if max_bits == 2 else _links_by_leaders(crowd, max_bits)
+                a, b = _links_by_neighbours(crowd)
                 us.append(crowd[a])
                 vs.append(crowd[b])
             a, b = (np.concatenate(x).view(np.int64) for x in (us, vs))
@@ -260,9 +238,7 @@ def _link_runs(max_bits: int, seed: int):
 def fingerprint_links(distinct: DataFrame, *, max_bits: int = MAX_BITS, blocks: int = BLOCKS, agree: int = AGREE, seed: int = SEED) -> DataFrame:
     """(u, v): links between the distinct values of column ``fp``.
 
-    With ``max_bits`` 2 and ``blocks - agree`` >= 2 they connect exactly what all pairs within
-    2 bits connect.  With more bits, pairs within ``blocks - agree`` bits are all found in
-    keys of up to PAIRWISE_WIDE fingerprints, others by chance, larger keys by leaders.
+    With ``blocks - agree`` >= 2 they connect exactly what all pairs within 2 bits connect.
     """
     keyed = distinct.select("fp").mapInArrow(_emit_keys(blocks, agree, seed), "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link_runs(max_bits, seed), "u long, v long").distinct()
@@ -318,31 +294,107 @@ def _similar(least: float):
     return run
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_bits: int = 12, blocks: int = 8, agree: int = 3,
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, u, v): all pairs of small keys, without the key; each document v of a crowded key with the key's smallest u."""
+    for key, ids in whole_runs(batches, 2):
+        edges = run_edges(key)
+        sizes = np.diff(edges)
+        small = np.repeat((sizes > 1) & (sizes <= CROWD), sizes)
+        k, i = key[small], ids[small]
+        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for step in range(1, CROWD):
+            same = np.flatnonzero(k[step:] == k[:-step])
+            us.append(i[same])
+            vs.append(i[same + step])
+        u, v = np.concatenate(us), np.concatenate(vs)
+        u, v = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
+        crowd = sizes > CROWD
+        there = np.repeat(crowd, sizes)
+        lead = np.repeat(np.minimum.reduceat(ids, edges[:-1])[crowd], sizes[crowd])
+        keys = pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(key[there], pa.int64())])
+        yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([u, lead]), pa.int64()), pa.array(np.concatenate([v, ids[there]]), pa.int64())], names=["key", "u", "v"])
+
+
+def crowd_links(part: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links that join all documents with a similar one in another part.
+
+    A pair is left out only if verified links join it already.  One end of every pair across
+    parts lies outside the largest part, so only those documents are held against all.
+    """
+    size = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    starts = ends - size
+    label = np.unique(part, return_inverse=True)[1]
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for x in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+        mark = np.zeros(len(codes) + 1, bool)
+        mark[codes[starts[x] : ends[x]]] = True
+        upto = np.concatenate([[0], np.cumsum(mark[codes])])
+        both = upto[ends] - upto[starts]
+        hit = np.flatnonzero((label != label[x]) & (both >= least * (size[x] + size - both)))
+        if len(hit):
+            out_a.append(np.full(len(hit), x))
+            out_b.append(hit)
+            label[np.isin(label, label[hit])] = label[x]
+            if (label == label[x]).all():
+                break
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _compare_crowds(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, ids, part, raw in whole_runs(batches, 4):
+            edges = run_edges(key)
+            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for lo, hi in itertools.pairwise(edges.tolist()):
+                a, b = crowd_links(part[lo:hi], [np.frombuffer(x, np.uint32) for x in raw[lo:hi]], least)
+                us.append(ids[lo:hi][a])
+                vs.append(ids[lo:hi][b])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (us, vs)], names=["a", "b"])
+
+    return run
+
+
+def _crowd_rows(crowd: DataFrame, parts: DataFrame) -> DataFrame:
+    """(run, id, part): the documents of crowded keys that are not all joined, each pair of a key's blocks as a run."""
+    told = crowd.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    open_keys = told.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    blocks = F.ceil(F.col("n") / CROWD_BLOCK)
+    dealt = told.join(open_keys, "key").withColumn("i", F.pmod(F.xxhash64("id"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return dealt.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("run"), "id", "part")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, blocks: int = 8, agree: int = 3,
                 shingle: int = SHINGLE, verify_shingle: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
     """(id, component_id): documents grouped by SimHash and then verified on word shingles.
 
-    Fingerprints (of ``shingle`` words) within ``max_bits`` bits are candidates; a link needs
-    a Jaccard similarity of at least ``similarity`` over ``verify_shingle``-word shingles.
-    Pairs within ``blocks - agree`` bits are sure to be looked at, pairs further apart if
-    ``agree`` blocks happen to be equal.  Documents with one fingerprint are one node, seen as
-    the one with the smallest id.  Only documents in a group of two or more are returned;
-    rows with a null id are in none.
+    Fingerprints (of ``shingle`` words) that are equal in ``agree`` of ``blocks`` blocks are
+    candidates; a link needs a Jaccard similarity of at least ``similarity`` over
+    ``verify_shingle``-word shingles.  Pairs within ``blocks - agree`` bits are sure to be
+    looked at, pairs further apart if ``agree`` blocks happen to be equal.  Documents of a
+    crowded key are held against its smallest id first; those of keys that this leaves in
+    several groups are then all compared across the groups, in blocks.  Documents with one
+    fingerprint are one node, seen as the one with the smallest id.  Only documents in a group
+    of two or more are returned; rows with a null id are in none.
     """
     fps = stage(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, seed), "fingerprints")
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "fp-nodes")
-    links = fingerprint_links(nodes, max_bits=max_bits, blocks=blocks, agree=agree, seed=seed)
-    ends = nodes.select(F.col("fp").alias("f"), "id")
-    pairs = links.join(ends, links.u == ends.f).select(F.col("id").alias("a"), "v")
-    pairs = stage(pairs.join(ends, pairs.v == ends.f).select("a", F.col("id").alias("b")), "fp-pairs")
-    needed = stage(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "fp-needed")
+    keyed = nodes.select("fp", "id").mapInArrow(_emit_keys(blocks, agree, seed), "key long, fp long").join(nodes, "fp").select("key", "id")
+    links = stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "key long, u long, v long"), "near-links")
+    pairs = stage(links.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "near-pairs")
+    needed = stage(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "near-needed")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
     sets = keep_ids(texts, "id", needed).mapInArrow(_shingle_sets(verify_shingle, seed), "id long, shingles binary")
-    sets = stage(sets.dropDuplicates(["id"]), "fp-shingles")
+    sets = stage(sets.dropDuplicates(["id"]), "near-shingles")
     seen = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     alike = seen.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
     one = fps.join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
-    return connected_components(alike.unionAll(one), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("component_id"))
+    parts = stage(connected_components(alike.unionAll(one), "a", "b"), "near-parts")
+    crowds = _crowd_rows(links.where("key is not null").select("key", F.col("v").alias("id")), parts).join(sets, "id").select("run", "id", "part", "shingles")
+    more = stage(crowds.repartition("run").sortWithinPartitions("run").mapInArrow(_compare_crowds(similarity), "a long, b long"), "near-crowds")
+    groups = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b")
+    return groups.select(F.col("node").alias("id"), F.col("component").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
