@@ -266,6 +266,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _marks(shingle: int, verify_shingle: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() or b"" for t in batch.column(1)]
+            fps = [fingerprint(t, shingle, seed) for t in texts]
+            whole = [xxhash.xxh128_digest(np.unique(np.frombuffer(shingle_digests(t, verify_shingle, seed), np.uint64)).tobytes(), seed) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.array(fps, pa.int64())], names=["doc_id", "whole", "fp"])
+
+    return run
+
+
 def _shingle_sets(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,22 +385,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``verify_shingle``-word shingles.  Pairs within ``blocks - agree`` bits are sure to be
     looked at, pairs further apart if ``agree`` blocks happen to be equal.  Documents of a
     crowded key are held against its smallest id first; those of keys that this leaves in
-    several groups are then all compared across the groups, in blocks.  Documents with one
-    fingerprint are one node, seen as the one with the smallest id.  Only documents in a group
-    of two or more are returned; rows with a null id are in none.
+    several groups are then all compared across the groups, in blocks.  Documents with one set
+    of ``verify_shingle``-word shingles are one node, seen as the one with the smallest id.
+    Only documents in a group of two or more are returned; rows with a null id are in none.
     """
-    fps = stage(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, seed), "fingerprints")
-    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "fp-nodes")
-    keyed = nodes.select("fp", "id").mapInArrow(_emit_keys(blocks, agree, seed), "key long, fp long").join(nodes, "fp").select("key", "id")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
+    marks = stage(texts.mapInArrow(_marks(shingle, verify_shingle, seed), "doc_id long, whole binary, fp long"), "near-marks")
+    nodes = stage(marks.groupBy("whole").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "near-nodes")
+    keyed = nodes.select("fp").distinct().mapInArrow(_emit_keys(blocks, agree, seed), "key long, fp long").join(nodes, "fp").select("key", "id")
     links = stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "key long, u long, v long"), "near-links")
     pairs = stage(links.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "near-pairs")
     needed = stage(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "near-needed")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
     sets = keep_ids(texts, "id", needed).mapInArrow(_shingle_sets(verify_shingle, seed), "id long, shingles binary")
     sets = stage(sets.dropDuplicates(["id"]), "near-shingles")
     seen = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     alike = seen.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
-    one = fps.join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
+    one = marks.join(nodes, "whole").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
     parts = stage(connected_components(alike.unionAll(one), "a", "b"), "near-parts")
     crowds = _crowd_rows(links.where("key is not null").select("key", F.col("v").alias("id")), parts).join(sets, "id").select("run", "id", "part", "shingles")
     more = stage(crowds.repartition("run").sortWithinPartitions("run").mapInArrow(_compare_crowds(similarity), "a long, b long"), "near-crowds")

@@ -60,3 +60,12 @@ def test_crowded_template(spark, monkeypatch):
     assert sum(got.get(i) == c for i, c in want.items()) >= 0.92 * len(want)
     monkeypatch.setattr(simhash, "CROWD_BLOCK", 100)
     assert found(spark, docs) == got
+
+
+def test_equal_fingerprints_are_verified(spark):
+    rng = random.Random(1)
+    line = " ".join("r%d" % i for i in range(11))
+    docs = [(i, " ".join([line] * 200 + ["w%d" % rng.randrange(10**6) for _ in range(100)])) for i in range(12)]
+    docs += [(12, docs[3][1].upper()), (13, docs[5][1] + " " + line), (14, None), (15, " ")]
+    assert len({simhash.fingerprint(t.encode()) for _, t in docs[:12]}) < 12
+    assert found(spark, docs) == plain([(i, t or "") for i, t in docs[:14]]) | {14: 14, 15: 14}
