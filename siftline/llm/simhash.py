@@ -39,6 +39,8 @@ BLOCKS, AGREE = 5, 3
 RANDOM_REFERENCES = 16
 #: Keys with more fingerprints than this are linked through neighbours.
 PAIRWISE = 64
+#: Keys of near copies, and the permutations of each: a pair of similarity 0.8 shares none with probability 2e-9.
+BANDS, BAND_ROWS = 50, 5
 #: Keys of near copies with more documents than this are linked to a leader first and then compared in blocks.
 CROWD = 8
 #: Documents of a crowded key in one block.
@@ -266,17 +268,48 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _marks(shingle: int, verify_shingle: int, seed: int):
+def _permutations(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 1 << 32, (2, BANDS * BAND_ROWS), dtype=np.uint32)
+    return a | np.uint32(1), b
+
+
+def band_keys(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of 32-bit shingles, each of the least shingles under BAND_ROWS permutations.
+
+    Sets of similarity s agree in a key with probability s ** BAND_ROWS.
+    """
+    least = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(shingles), 256):
+        np.minimum(least, (shingles[at : at + 256, None] * a + b).min(0), out=least)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        h = _mixed(h, column.astype(np.uint64))
+    return h
+
+
+def _marks(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _permutations(seed)
         for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column(1)]
-            fps = [fingerprint(t, shingle, seed) for t in texts]
-            whole = [xxhash.xxh128_digest(np.unique(np.frombuffer(shingle_digests(t, verify_shingle, seed), np.uint64)).tobytes(), seed) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.array(fps, pa.int64())], names=["doc_id", "whole", "fp"])
+            whole, keys = [], []
+            for t in batch.column(1):
+                digests = np.unique(np.frombuffer(shingle_digests(t.as_py() or b"", size, seed), np.uint64))
+                whole.append(xxhash.xxh128_digest(digests.tobytes(), seed))
+                keys.append(band_keys(np.unique(digests.view(np.uint32)[::2]), a, b).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "whole", "keys"])
 
     return run
 
 
+def _spread_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+        ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
+        for at in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(ids[at : at + (1 << 16)], pa.int64())], names=["key", "id"])
+
+
 def _shingle_sets(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,23 +409,23 @@ def _crowd_rows(crowd: DataFrame, parts: DataFrame) -> DataFrame:
     return dealt.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("run"), "id", "part")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, blocks: int = 8, agree: int = 3,
-                shingle: int = SHINGLE, verify_shingle: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
-    """(id, component_id): documents grouped by SimHash and then verified on word shingles.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, verify_shingle: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
+    """(id, component_id): documents grouped by their ``verify_shingle``-word shingles.
 
-    Fingerprints (of ``shingle`` words) that are equal in ``agree`` of ``blocks`` blocks are
-    candidates; a link needs a Jaccard similarity of at least ``similarity`` over
-    ``verify_shingle``-word shingles.  Pairs within ``blocks - agree`` bits are sure to be
-    looked at, pairs further apart if ``agree`` blocks happen to be equal.  Documents of a
+    A link needs a Jaccard similarity of at least ``similarity``, taken from whole sets.
+    Candidates share one of BANDS keys of BAND_ROWS least shingles; SimHash is of no use here,
+    as copies of similarity 0.8 may be 13 bits and more apart.  Pairs of similarity s share
+    none with probability (1 - s ** BAND_ROWS) ** BANDS, whatever the size of the table: 2e-9
+    at 0.8, but 0.004 at 0.64; a smaller ``similarity`` needs more keys.  Documents of a
     crowded key are held against its smallest id first; those of keys that this leaves in
     several groups are then all compared across the groups, in blocks.  Documents with one set
     of ``verify_shingle``-word shingles are one node, seen as the one with the smallest id.
     Only documents in a group of two or more are returned; rows with a null id are in none.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    marks = stage(texts.mapInArrow(_marks(shingle, verify_shingle, seed), "doc_id long, whole binary, fp long"), "near-marks")
-    nodes = stage(marks.groupBy("whole").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "near-nodes")
-    keyed = nodes.select("fp").distinct().mapInArrow(_emit_keys(blocks, agree, seed), "key long, fp long").join(nodes, "fp").select("key", "id")
+    marks = stage(texts.mapInArrow(_marks(verify_shingle, seed), "doc_id long, whole binary, keys binary"), "near-marks")
+    nodes = stage(marks.groupBy("whole").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys")), "near-nodes")
+    keyed = nodes.select("id", "keys").mapInArrow(_spread_keys, "key long, id long")
     links = stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "key long, u long, v long"), "near-links")
     pairs = stage(links.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "near-pairs")
     needed = stage(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "near-needed")
