@@ -1,7 +1,7 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-Documents overlap if they share a rare line (one that at most ``rare`` documents have) or
-two lines in a row.  Each such signature leads a document to the first one that has it, not
+Documents overlap if they share a line, however many documents have it, or two lines in a
+row (``rare`` leaves single lines out that more documents than that have).  Each such signature leads a document to the first one that has it, not
 to all, so pairs grow with the number of lines and not with the square of a group; the
 first holder of every repeated passage is still among a document's partners.  A pair is
 aligned by patience diff on line hashes, and aligned common blocks go from the later
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from siftline.llm.bitmaps import bitmap, with_maybe
 from siftline.llm.scratch import discard, stage
 
-RARE, BLANK = 50, 0
+BLANK = 0
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -104,7 +104,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_removed, pa.int64()), batch.column(4), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_removed", "n_partners", "kept"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rare: int = RARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rare: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, n_partners, kept (the text that stays) for every row.
 
     n_partners counts the earlier documents it was aligned with.  Null text is empty, one
@@ -121,7 +121,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     double = F.when(F.size("lines") > 1, F.array_distinct(F.array_compact(pair_at))).otherwise(F.array().cast("array<long>"))
     signs = lined.select("doc", "tag", F.explode(single).alias("sign"), F.lit(True).alias("alone")).unionAll(lined.select("doc", "tag", F.explode(double).alias("sign"), F.lit(False).alias("alone")))
     held = signs.groupBy("sign", "alone").agg(F.min(F.struct("doc", "tag")).alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("holders"))
-    held = stage(held.where((F.col("last") > F.col("first.doc")) & (~F.col("alone") | (F.col("holders") <= rare))).select("sign", "alone", "first"), "line-signs")
+    told = ~F.col("alone") | (F.col("holders") <= rare) if rare is not None else F.lit(True)
+    held = stage(held.where((F.col("last") > F.col("first.doc")) & told).select("sign", "alone", "first"), "line-signs")
     # signatures without a second holder stay where they are
     maybe = with_maybe(signs, F.col("sign"), bitmap(held, F.col("sign"))).where("__maybe").drop("__maybe")
     pairs = stage(maybe.join(held, ["sign", "alone"]).where("doc > first.doc").select("doc", "tag", "first").distinct(), "line-pairs")

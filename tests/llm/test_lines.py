@@ -55,3 +55,10 @@ def test_against_brute_force(spark):
     got = sorted((tuple(r) for r in lines.dedup_lines(df, rare=6).collect()), key=repr)
     assert got == brute(docs, 6)
     assert lines.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_lines_of_many_documents_go(spark):
+    docs = [(i, f"own {i}\n\ncommon line\n\nanother own {i}") for i in range(70)]
+    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if "common line" in r.kept} == {0}
+    assert all(f"own {r.doc_id}\n" in r.kept and f"another own {r.doc_id}" in r.kept for r in got)
