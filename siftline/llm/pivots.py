@@ -8,8 +8,8 @@ shares, once.  Cosines are then taken in double precision from the vectors thems
 
 Pivots come from a bounded seeded sample (PIVOT_SAMPLE vectors), spread out so that a dense
 group gives one pivot and not all; their number follows the cube root of the number of
-vectors of a label, which keeps the lists of a set of three pivots equally long at any
-size.  Equal vectors of a label are folded to one with a count before that.  Rows of a list
+vectors of a label.  More pivots come with longer prefixes (``prefix_length``), so that a
+pair is found at any size.  Equal vectors of a label are folded to one with a count before that.  Rows of a list
 are streamed in key order and compared in blocks; only links that join groups leave a
 list, not pairs.
 """
@@ -29,11 +29,18 @@ from siftline.llm.runs import run_edges, whole_runs
 from siftline.llm.scratch import stage
 from siftline.llm.simhash import forest
 
-THRESHOLD, NEAREST, SHARED, SEED = 0.93, 6, 3, 42
+THRESHOLD, SHARED, SEED = 0.93, 2, 42
+#: Pivots of a prefix for up to so many pivots: 0.998 and more of random pairs at cosine 0.93 in 64 dimensions share SHARED.
+NEAREST = ((200, 7), (400, 8), (2480, 10), (1 << 15, 12))
 PIVOT_SAMPLE, LEAST_PIVOTS, MOST_PIVOTS, SPREAD = 4096, 96, 4096, 0.8
 BLOCK = 512
 
 
+def prefix_length(count: int) -> int:
+    """Pivots of a prefix where there are ``count`` pivots."""
+    return next(n for most, n in NEAREST if count <= most)
+
+
 def spread_pivots(sample: np.ndarray, count: int, dim: int, seed: int = SEED) -> np.ndarray:
     """Up to ``count`` unit vectors of the sample no two of which have a cosine above SPREAD; random ones fill up."""
     chosen = np.empty((0, dim))
@@ -144,7 +151,7 @@ def _link(threshold: float, nearest: int, shared: int, dtype: str):
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, threshold: float = THRESHOLD,
-                 nearest: int = NEAREST, shared: int = SHARED, seed: int = SEED) -> DataFrame:
+                 nearest: int | None = None, shared: int = SHARED, seed: int = SEED) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors are linked if labels are equal and not null and the cosine is at least
@@ -166,6 +173,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     most = classes.groupBy("lab").count().agg(F.max("count")).first()[0] or 0
     count = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 8 * round(most ** (1 / 3)))))
+    nearest = nearest or prefix_length(count)
     width = np.dtype(dtype).itemsize
     dims = classes.groupBy(F.octet_length("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     pivots_of: dict[int, np.ndarray] = {}

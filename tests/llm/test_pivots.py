@@ -51,3 +51,16 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert pivots.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_recall_does_not_depend_on_the_number_of_pivots():
+    rng, unit = np.random.default_rng(1), lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(2000, 64)))
+    z = rng.normal(size=x.shape)
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * unit(z - (z * x).sum(1, keepdims=True) * x)
+    for count in (96, 200, 400, 800, 2480, 4096):
+        spread, nearest = pivots.spread_pivots(np.empty((0, 64)), count, 64), pivots.prefix_length(count)
+        a, b = (pivots.prefixes(v, spread, nearest) for v in (x, y))
+        recall = ((a[:, :, None] == b[:, None, :]).any(2).sum(1) >= pivots.SHARED).mean()
+        print(count, nearest, recall)
+        assert recall >= 0.995
