@@ -10,12 +10,17 @@ cover are its context, at most ``2 * length - gram`` of them.
 1. anchors: every worker finds the anchors of its documents and folds equal (anchor,
    context) pairs to the smallest id before the shuffle, so that a passage that many
    documents share costs a row per batch;
-2. by anchor: those seen in one document only are done.  Where all contexts are equal, all
-   strings in them are repeated.  Where they differ, a suffix array (``suffixes``, linear
-   grouping) over the distinct contexts groups equal strings and gives each the smallest id;
-3. the spans that follow are merged by document and cut out.
-
-Anchors that were not shared are kept away from the later shuffles by bitmaps of fixed size.
+2. by anchor: those seen in one document only are done.  Where several documents have one
+   context, all strings in it are repeated, whatever the anchor's other contexts hold.
+   Where an anchor has different contexts, their bytes are fetched, parted by what lies
+   beside the anchor (``sides``), and a suffix array (``suffixes``, linear grouping) over
+   the parts groups equal strings and gives each the smallest id.  The contexts of a crowded
+   anchor are resolved batch by batch, and equal strings of all batches are then folded;
+3. a last pass over the texts keeps what is in a known context; the spans that follow are
+   merged by document and cut out.
+
+Bytes travel once for each context in doubt, and what is not shared is kept away from the
+later shuffles by bitmaps of fixed size.
 """
 
 from __future__ import annotations
@@ -25,29 +30,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.bitmaps import bitmap, with_maybe
-from siftline.llm.runs import whole_runs
+from siftline.llm.runs import run_edges, whole_runs
 from siftline.llm.scratch import discard, stage
 from siftline.llm.simhash import _mixed
 from siftline.llm.suffixes import suffix_array
 
 LENGTH, GRAM = 50, 20
-#: Bits of the bitmaps of anchors (16 MiB each, whatever the input).
+#: Bits of the bitmap of contexts (16 MiB, whatever the input).
 BITS = 1 << 27
-#: Bytes handled at once; longer texts are cut into overlapping parts.
-CHUNK = 1 << 20
-#: Contexts under one anchor beyond which equal strings are found by sorting them, place by place.
-MOST_CONTEXTS = 20_000
-_NONE = np.iinfo(np.int64).max
+#: Bytes handled at once, so that the arrays stay in a core's cache; longer texts are cut into overlapping parts.
+CHUNK = 1 << 17
+#: Open contexts under one anchor beyond which they are resolved batch by batch and no longer as one run.
+CROWD = 4096
 _STEP = np.uint64(0x100000001B3)
+_STEP32 = np.uint32(0x01000193)
 
 
 def _grams(values: np.ndarray, size: int) -> np.ndarray:
-    """Mixed polynomial hash of every run of ``size`` values."""
-    parts, powers, n = {1: values}, {1: _STEP}, 1
+    """Mixed 32-bit polynomial hash of every run of ``size`` values."""
+    parts, powers, n = {1: values}, {1: _STEP32}, 1
     with np.errstate(over="ignore"):
         while n * 2 <= size:
             parts[2 * n] = parts[n][:-n] * powers[n] + parts[n][n:]
@@ -59,10 +65,10 @@ def _grams(values: np.ndarray, size: int) -> np.ndarray:
                 m = len(values) - have - p + 1
                 out = out[:m] * powers[p] + parts[p][have : have + m]
                 have += p
-        out = out * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+        out = out * np.uint32(0x9E3779B1)
+        out ^= out >> np.uint32(15)
+        out *= np.uint32(0x85EBCA77)
+    return out ^ (out >> np.uint32(13))
 
 
 def _slide(a: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -110,50 +116,41 @@ _powers_held: list[np.ndarray] = [np.array([1], np.uint64), np.array([1], np.uin
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
     """(anchor, context, row, place, first, last) arrays, some texts at a time.
 
-    first to last are the places at which the strings filed under the anchor start; context
-    is a hash of the bytes they cover and of where the anchor lies among them.
+    first to last are the places at which the strings filed under the anchor start; anchor
+    is a hash of its bytes, context one of the bytes those strings cover and of where the
+    anchor lies among them.  Of several equal smallest hashes in a string the first counts.
     """
     windows = length - gram + 1
+    nowhere = np.uint32(0xFFFFFFFF)
     for group in _parts(texts, length):
-        pad = np.zeros(length, np.uint64)
-        pieces, starts, ends, at = [pad], [], [], length
-        for _, _, b, _, _ in group:
-            pieces += [np.frombuffer(b, np.uint8).astype(np.uint64) + np.uint64(1), pad]
-            starts.append(at)
-            ends.append(at + len(b))
-            at += len(b) + length
-        values = np.concatenate(pieces)
-        h = _grams(values, gram)
-        least = _slide(h, windows, np.minimum)  # by first byte of a string
-        inside = np.zeros(len(least), bool)
-        for s, e in zip(starts, ends, strict=True):
-            inside[s : e - length + 1] = True
-        least = np.where(inside, least, np.uint64(0))
-        edge = np.zeros(windows - 1, np.uint64)
-        chosen = np.flatnonzero((_slide(np.concatenate([edge, least, edge]), windows, np.maximum) == h) & (h > 0))
-        least = np.concatenate([least, edge])
-        mine = h[chosen]
-        # walking back from the anchor: the first hit is the last string, and hits follow one another
-        hits, skipped, met = np.zeros(len(chosen), np.int8), np.zeros(len(chosen), np.int8), np.zeros(len(chosen), bool)
-        for back in range(windows):
-            holds = least[chosen - back] == mine
-            met |= holds
-            hits += holds
-            skipped += ~met
-        last = chosen - skipped
-        first = last - hits + 1
-        up, down = _powers(len(values) + 1)
+        sizes = np.array([len(g[2]) for g in group])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        raw = np.frombuffer(b"".join(g[2] for g in group), np.uint8)
+        h = _grams(raw.astype(np.uint32) + np.uint32(1), gram)
+        ranked = h.astype(np.uint64) << np.uint64(32) | np.arange(len(h), dtype=np.uint64)
+        at = _slide(ranked, windows, np.minimum).astype(np.uint32)  # the place of the anchor, by first byte of a string
+        for e in ends[:-1].tolist():
+            at[e - length + 1 : e] = nowhere  # strings across two texts
+        new = np.flatnonzero(at[1:] != at[:-1]) + 1
+        first, last = np.concatenate([[0], new]), np.append(new, len(at)) - 1
+        inside = at[first] != nowhere
+        first, last = first[inside], last[inside]
+        place = at[first].astype(np.int64)
+        up, down = _powers(len(raw) + 1)
         with np.errstate(over="ignore"):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(values * up[:-1])])
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+            name = (sums[place + gram] - sums[place]) * down[place]
+            name = _mixed(_mixed(name, np.uint64(gram)), np.uint64(1))
             context = (sums[last + length] - sums[first]) * down[first]
-            context = _mixed(_mixed(context, (last - first).astype(np.uint64)), (chosen - first).astype(np.uint64))
-        piece = np.searchsorted(np.array(starts), chosen, "right") - 1
-        shift = np.array(starts)[piece]
-        place = chosen - shift
-        own_first, own_last = np.array([g[3] for g in group])[piece], np.array([g[4] for g in group])[piece]
-        own = (place >= own_first) & (place < own_last)
-        shift = (np.array([g[1] for g in group])[piece] - shift)[own]
-        yield mine[own].view(np.int64), context[own].view(np.int64), np.array([g[0] for g in group])[piece[own]], chosen[own] + shift, first[own] + shift, last[own] + shift
+            context = _mixed(_mixed(context, (last - first).astype(np.uint64)), (place - first).astype(np.uint64))
+        piece = np.searchsorted(starts, place, "right") - 1
+        row, offset, own_first, own_last = (np.array([g[k] for g in group])[piece] for k in (0, 1, 3, 4))
+        here = place - starts[piece]
+        own = (here >= own_first) & (here < own_last)
+        shift = (offset - starts[piece])[own]
+        yield name[own].view(np.int64), context[own].view(np.int64), row[own], place[own] + shift, first[own] + shift, last[own] + shift
 
 
 def _fold(length: int, gram: int):
@@ -166,18 +163,23 @@ def _fold(length: int, gram: int):
             if not found:
                 continue
             a, c, row = (np.concatenate(x) for x in list(zip(*found, strict=True))[:3])
-            doc = ids[row].astype(np.int64)
-            order = np.lexsort((doc, c, a))
-            a, c, doc = a[order], c[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
-            top = np.maximum.reduceat(doc, first)
-            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(c[first]), pa.array(doc[first]), pa.array(top > doc[first])], names=["anchor", "context", "doc", "several"])
+            both = _key_of(a, c)
+            order = np.argsort(both)
+            a, c, both, doc = a[order], c[order], both[order], ids[row[order]].astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+            # keys of two columns that collide are told apart by a slower sort
+            if (np.maximum.reduceat(a, first) != np.minimum.reduceat(a, first)).any() or (np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first)).any():
+                order = np.lexsort((c, a))
+                a, c, doc = a[order], c[order], doc[order]
+                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
+            least, most = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(c[first]), pa.array(least), pa.array(most > least)], names=["anchor", "context", "doc", "several"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of anchors that more than one document has, folded; ``open`` where contexts differ."""
+    """Rows of anchors that more than one document has, folded; ``others`` counts the anchor's other contexts."""
     for a, c, doc, several in whole_runs(batches, 4):
         # rows are sorted by anchor, context, doc
         new_c = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
@@ -189,8 +191,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(run, len(a)))
         least, most = np.minimum.reduceat(doc, run), np.maximum.reduceat(doc, run)
         shared = np.repeat((least < most) | np.logical_or.reduceat(more, run), sizes)
-        alone = np.repeat(sizes == 1, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(a[shared]), pa.array(c[shared]), pa.array(doc[shared]), pa.array(more[shared]), pa.array(~alone[shared])], names=["anchor", "context", "doc", "several", "open"])
+        others = np.repeat(sizes - 1, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(a[shared]), pa.array(c[shared]), pa.array(doc[shared]), pa.array(more[shared]), pa.array(others[shared])], names=["anchor", "context", "doc", "several", "others"])
 
 
 def _bits(rows: DataFrame, position: Column, bits: int) -> np.ndarray:
@@ -213,30 +215,49 @@ def _has(table: np.ndarray, position: np.ndarray) -> np.ndarray:
     return table[position >> 3] >> (position & 7).astype(np.uint8) & 1 == 1
 
 
-def _key_of(a: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    h = np.full(len(a), 7, np.uint64)
+def _key_of(*columns: np.ndarray) -> np.ndarray:
+    h = np.full(len(columns[0]), 7, np.uint64)
     with np.errstate(over="ignore"):
-        for x in (a, c, doc):
+        for x in columns:
             h = _mixed(h, x.view(np.uint64))
     return h
 
 
-def _occurrences(shared_bits, wanted_bits, bits: int, length: int, gram: int):
-    """(anchor, context, doc, tag, first, last, left, bytes) of anchors that may be shared; bytes where the context may be asked for."""
+def _positions(bits: int):
+    """pos: the place of (anchor, context) in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(_position(_key_of(a, c), bits))], names=["pos"])
+
+    return run
+
+
+_SEEN = "anchor long, context long, doc long, tag int, first int, width short, left short"
+
+
+def _occurrences(table, bits: int, length: int, gram: int, with_bytes: bool):
+    """Rows of _SEEN for (anchor, context) pairs that may be in the bitmap; with the context's bytes, once per batch, if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, wanted = shared_bits.value, wanted_bits.value
+        held = table.value
         for batch in batches:
             ids, tags, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
             for found in anchors(texts, length, gram):
-                keep = _has(shared, _position(found[0], bits))
+                key = _key_of(found[0], found[1])
+                keep = _has(held, _position(key, bits))
+                if with_bytes:  # one of equal contexts is enough
+                    once = np.zeros(len(keep), bool)
+                    once[np.unique(key, return_index=True)[1]] = True
+                    keep &= once
                 a, c, row, place, first, last = (x[keep] for x in found)
-                doc = ids[row].astype(np.int64)
-                ask = _has(wanted, _position(_key_of(a, c, doc), bits)).tolist()
-                piece = [texts[r][s : e + length] if w else None for r, s, e, w in zip(row.tolist(), first.tolist(), last.tolist(), ask, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.array(c), pa.array(doc), pa.array(tags[row].astype(np.int32)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64)), pa.array((place - first).astype(np.int64)), pa.array(piece, pa.binary())],
-                    names=["anchor", "context", "doc", "tag", "first", "last", "left", "bytes"])
+                columns = [pa.array(a), pa.array(c), pa.array(ids[row].astype(np.int64)), pa.array(tags[row].astype(np.int32)), pa.array(first.astype(np.int32)), pa.array((last - first).astype(np.int16)), pa.array((place - first).astype(np.int16))]
+                names = ["anchor", "context", "doc", "tag", "first", "width", "left"]
+                if with_bytes:
+                    piece = [texts[r][s : e + length] for r, s, e in zip(row.tolist(), first.tolist(), last.tolist(), strict=True)]
+                    columns, names = [*columns[:2], columns[6], pa.array(piece, pa.binary())], ["anchor", "context", "left", "bytes"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -245,10 +266,6 @@ def smallest_ids(contexts: list[bytes], docs: list[int], length: int = LENGTH) -
     """For each context and each string of ``length`` bytes that starts in it, the smallest id among contexts with an equal string."""
     lengths = [len(c) for c in contexts]
     out = [np.full(max(0, n - length + 1), d, np.int64) for n, d in zip(lengths, docs, strict=True)]
-    if len(contexts) > MOST_CONTEXTS:
-        for place in range(max(lengths) - length + 1):
-            _by_sorting(contexts, docs, out, place, length)
-        return out
     text, owner, offset = [], [], []
     separators = len(contexts)
     for i, c in enumerate(contexts):
@@ -277,71 +294,74 @@ def smallest_ids(contexts: list[bytes], docs: list[int], length: int = LENGTH) -
     return out
 
 
-def _by_sorting(contexts: list[bytes], docs: list[int], out: list[np.ndarray], place: int, length: int) -> None:
-    """Equal strings at ``place`` and at any other place, for crowded anchors; memory of one dict of strings."""
-    least: dict[bytes, int] = {}
-    for c, d in zip(contexts, docs, strict=True):
-        s = c[place : place + length]
-        if len(s) == length:
-            least[s] = min(d, least.get(s, d))
-    for c, o in zip(contexts, out, strict=True):
-        for at in range(len(o)):
-            found = least.get(c[at : at + length])
-            if found is not None and found < o[at]:
-                o[at] = found
+def sides(context: bytes, left: int, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[bytes, int, int]]:
+    """(key, start, end): parts of a context and what all strings in a part have in common.
 
+    A string has at least half of what it holds beside the anchor on one side of it.  So
+    equal strings of an anchor lie in parts with equal keys, and contexts without an equal
+    key share no string.
+    """
+    half = (length - gram) // 2
+    last = len(context) - length
+    if left >= half:
+        yield b"<" + context[left - half : left + gram], 0, min(left - half, last) + length
+    if left - half + 1 <= last:
+        yield b">" + context[left : left + length - half + 1], max(0, left - half + 1), len(context)
 
-def _related(contexts: list[bytes], lefts: list[int], gram: int, length: int, step: int = 5) -> dict[int, tuple[int, int]]:
-    """Contexts that may share a string with another, and the part of each that such strings lie in.
 
-    A string reaches some way left of the anchor and the rest of its length right of it; in
-    steps of ``step``, the ``length - step`` bytes inside it are common to both contexts.
-    """
-    reach = length - gram
-    seen: dict[tuple[int, bytes], list[int]] = {}
+def _solve(contexts: list[bytes], docs: list[int], lefts: list[int], length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(context, start, smallest ids) of the parts of contexts under one anchor that may share a string."""
+    groups: dict[bytes, list[tuple[int, int, int]]] = {}
     for i, (c, left) in enumerate(zip(contexts, lefts, strict=True)):
-        for back in range(0, min(left, reach) + 1, step):
-            part = c[left - back : left - back + length - step]
-            if len(part) == length - step:
-                seen.setdefault((back, part), []).append(i)
-    spans: dict[int, tuple[int, int]] = {}
-    for (back, part), group in seen.items():
+        for key, start, end in sides(c, left, length, gram):
+            groups.setdefault(key, []).append((i, start, end))
+    for group in groups.values():
         if len(group) > 1:
-            for i in group:
-                lo, hi = max(0, lefts[i] - back - step), min(len(contexts[i]), lefts[i] - back + len(part) + step)
-                had = spans.get(i, (lo, hi))
-                spans[i] = min(lo, had[0]), max(hi, had[1])
-    return spans
+            told = smallest_ids([contexts[i][s:e] for i, s, e in group], [docs[i] for i, _, _ in group], length)
+            yield from ((i, s, ids) for (i, s, _), ids in zip(group, told, strict=True))
+
+
+_KNOWN = "anchor long, context long, least long, start int, ids binary"
+
+
+def _known(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "context", "least", "start", "ids"])
 
 
 def _resolve(length: int, gram: int):
-    """(anchor, context, doc, ids): for contexts under an anchor, the smallest id of each string; rows come sorted by anchor."""
+    """_KNOWN rows of contexts under an anchor: the smallest id of each string of a part; rows come sorted by anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, c, doc, left, raw in whole_runs(batches, 5):
+            rows = []
+            for lo, hi in itertools.pairwise(run_edges(a).tolist()):
+                docs = doc[lo:hi].tolist()
+                for i, start, ids in _solve(list(raw[lo:hi]), docs, left[lo:hi].tolist(), length, gram):
+                    if (ids < docs[i]).any():
+                        rows.append((a[lo + i], c[lo + i], docs[i], start, ids.tobytes()))
+            yield _known(rows)
+
+    return run
+
+
+def _strings(length: int, gram: int):
+    """(anchor, context, doc, start, string, least): the strings of crowded anchors' contexts, the smallest id within the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, c, doc, left, several, raw in whole_runs(batches, 6):
-            edges = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
-            outs: tuple[list, ...] = ([], [], [], [])
-            for lo, hi in itertools.pairwise(edges):
-                contexts, docs, lefts = list(raw[lo:hi]), doc[lo:hi].tolist(), left[lo:hi].tolist()
-                ids: dict[int, np.ndarray] = {}
-                near = _related(contexts, lefts, gram, length)
-                if near:
-                    told = smallest_ids([contexts[i][x:y] for i, (x, y) in near.items()], [docs[i] for i in near], length)
-                    for (i, (x, _)), part in zip(near.items(), told, strict=True):
-                        ids[i] = np.full(len(contexts[i]) - length + 1, docs[i], np.int64)
-                        ids[i][x : x + len(part)] = part
-                for i in range(hi - lo):
-                    found = ids.get(i)
-                    if found is not None and (found < docs[i]).any():
-                        outs[3].append(found.tobytes())
-                    elif several[lo + i]:
-                        outs[3].append(None)
-                    else:
-                        continue
-                    outs[0].append(a[lo + i])
-                    outs[1].append(c[lo + i])
-                    outs[2].append(docs[i])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in outs[:3]] + [pa.array(outs[3], pa.binary())], names=["anchor", "context", "least", "ids"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, CROWD):
+                a, c, doc, raw = (x.to_pylist() for x in batch.slice(at, CROWD).columns)
+                by_anchor: dict[int, list[int]] = {}
+                for i, x in enumerate(a):
+                    by_anchor.setdefault(x, []).append(i)
+                rows = []
+                for anchor, members in by_anchor.items():
+                    told = smallest_ids([raw[i] for i in members], [doc[i] for i in members], length)
+                    for i, ids in zip(members, told, strict=True):
+                        rows += [(anchor, c[i], doc[i], s, raw[i][s : s + length], least) for s, least in enumerate(ids.tolist())]
+                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["anchor", "context", "doc", "start", "string", "least"])
 
     return run
 
@@ -351,12 +371,14 @@ def _spans(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tag, first, last, least = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            whole = least < doc
-            out_d, out_t, out_s, out_e = [doc[whole]], [tag[whole]], [first[whole]], [last[whole] + length]
-            ids = batch.column(5)
-            for i in np.flatnonzero(~whole & ids.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                starts = np.flatnonzero(np.frombuffer(ids[i].as_py(), np.int64) < doc[i]) + first[i]
+            doc, tag, first, width, least, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            first = first.astype(np.int64)
+            ids = batch.column(6)
+            partly = ids.is_valid().to_numpy(zero_copy_only=False)
+            whole = ~partly & (least < doc)
+            out_d, out_t, out_s, out_e = [doc[whole]], [tag[whole]], [first[whole]], [first[whole] + width[whole] + length]
+            for i in np.flatnonzero(partly).tolist():
+                starts = np.flatnonzero(np.frombuffer(ids[i].as_py(), np.int64) < doc[i]) + first[i] + int(start[i])
                 if not len(starts):
                     continue
                 cut = np.flatnonzero(np.diff(starts) > 1)
@@ -396,32 +418,38 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), _tag(text_col).alias("tag"), F.col(text_col).cast("string").cast("binary").alias("t"))
     folded = texts.select("doc", "t").mapInArrow(_fold(length, gram), "anchor long, context long, doc long, several boolean")
     by_anchor = folded.repartition("anchor").sortWithinPartitions("anchor", "context", "doc")
-    shared = stage(by_anchor.mapInArrow(_shared, "anchor long, context long, doc long, several boolean, open boolean"), "anchors")
-    still = shared.where("open")
-
-    # the hash by which occurrences recognise the contexts that are asked for
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c, d = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(_position(_key_of(a, c, d), bits))], names=["pos"])
-
-    wanted = still.select("anchor", "context", "doc").mapInArrow(asked, "pos long")
-    shared_bits = spark.sparkContext.broadcast(_bits(shared, F.col("anchor").bitwiseAND(F.lit(bits - 1).cast("long")), bits))
-    wanted_bits = spark.sparkContext.broadcast(_bits(wanted, F.col("pos"), bits))
-    seen = stage(texts.mapInArrow(_occurrences(shared_bits, wanted_bits, bits, length, gram), "anchor long, context long, doc long, tag int, first long, last long, left long, bytes binary"), "anchor-places")
-
-    pieces = seen.where("bytes is not null").join(still.select("anchor", "context", "doc", "several"), ["anchor", "context", "doc"])
-    pieces = pieces.groupBy("anchor", "context", "doc").agg(F.first("left").alias("left"), F.first("several").alias("several"), F.first("bytes").alias("bytes"))
-    solved = pieces.select("anchor", "context", "doc", "left", "several", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    solved = solved.mapInArrow(_resolve(length, gram), "anchor long, context long, least long, ids binary")
-    known = stage(solved.unionAll(shared.where("not open").select("anchor", "context", F.col("doc").alias("least"), F.lit(None).cast("binary").alias("ids"))), "anchor-ids")
-    hit = seen.select("anchor", "context", "doc", "tag", "first", "last").join(known, ["anchor", "context"]).select("doc", "tag", "first", "last", "least", "ids")
+    shared = stage(by_anchor.mapInArrow(_shared, "anchor long, context long, doc long, several boolean, others long"), "anchors")
+    opened = shared.where("others > 0").select("anchor", "context", "doc", "others")
+
+    def table(rows: DataFrame) -> Broadcast:
+        return spark.sparkContext.broadcast(_bits(rows.select("anchor", "context").mapInArrow(_positions(bits), "pos long"), F.col("pos"), bits))
+
+    pieces = texts.mapInArrow(_occurrences(table(opened), bits, length, gram, True), "anchor long, context long, left short, bytes binary")
+    pieces = pieces.groupBy("anchor", "context").agg(F.first("left").alias("left"), F.first("bytes").alias("bytes")).join(opened, ["anchor", "context"])
+    pieces = stage(pieces.select("anchor", "context", "doc", "left", "bytes", "others"), "contexts")
+    runs = pieces.where(F.col("others") < CROWD).select("anchor", "context", "doc", "left", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    solved = runs.mapInArrow(_resolve(length, gram), _KNOWN)
+    crowded = pieces.where(F.col("others") >= CROWD)
+    if not crowded.isEmpty():
+        strings = stage(crowded.select("anchor", "context", "doc", "bytes").mapInArrow(_strings(length, gram), "anchor long, context long, doc long, start int, string binary, least long"), "context-strings")
+        least = strings.groupBy("anchor", "string").agg(F.min("least").alias("smallest"))
+        found = strings.join(least, ["anchor", "string"]).where("smallest < doc")
+        solved = solved.unionAll(found.select("anchor", "context", F.col("doc").alias("least"), "start", _little_endian(F.col("smallest")).alias("ids")))
+    equal = shared.where("several").select("anchor", "context", F.col("doc").alias("least"), F.lit(0).alias("start"), F.lit(None).cast("binary").alias("ids"))
+    known = stage(solved.unionAll(equal), "anchor-ids")
+    seen = texts.mapInArrow(_occurrences(table(known), bits, length, gram, False), _SEEN)
+    hit = seen.select("anchor", "context", "doc", "tag", "first", "width").join(known, ["anchor", "context"]).select("doc", "tag", "first", "width", "least", "start", "ids")
     spans = hit.mapInArrow(_spans(length), "doc long, tag int, start long, end long")
     spans = stage(spans.repartition("doc", "tag").sortWithinPartitions("doc", "tag", "start").mapInArrow(_merge, "doc long, tag int, spans binary"), "spans")
-    discard(seen, shared, known)
+    discard(shared, pieces, known)
     return spans
 
 
+def _little_endian(x: Column) -> Column:
+    """A long as 8 bytes, lowest first."""
+    return F.unhex(F.concat(*[F.substring(F.lpad(F.hex(x), 16, "0"), 15 - 2 * i, 2) for i in range(8)]))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept, removed, count = [], [], []

@@ -5,36 +5,41 @@ order; the previous smaller pointer of a suffix leads to the nearest suffix befo
 in a lower group, and suffixes that such pointers lead to move to a new group right above
 their old one, those with more pointers higher.  Phase 2 emits the order: the smallest
 suffix is known, and each suffix that is placed places the one before it and, through the
-pointers, those whose groups it opens.  No names are assigned and nothing is recursive.
+pointers, those whose groups it opens.  No names are assigned, nothing is recursive, and no
+step sorts by comparison: first characters are dealt into buckets, and the members of a
+group are taken as they lie, a pointer that another member needs first being found first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+_UNKNOWN = -2
+
 
 def suffix_array(text: Sequence[int]) -> list[int]:
-    """Start positions of the suffixes of ``text`` in order; a shorter prefix sorts first."""
+    """Start positions of the suffixes of ``text`` (integers from 0) in order; a shorter prefix sorts first."""
     n = len(text)
     if n < 2:
         return list(range(n))
-    # a sentinel below all values ends the text
-    order = sorted(range(n), key=text.__getitem__)
-    order.insert(0, n)
+    buckets: list[list[int]] = [[] for _ in range(max(text) + 1)]
+    for i, value in enumerate(text):
+        buckets[value].append(i)
     size = n + 1
+    order = [n]  # a sentinel below all values ends the text
     start = [0] * size  # of a suffix's group, as a place in ``order``
     place = [0] * size
     members = [0] * size  # of a group, by its start
-    head, last = 0, None
-    for at, i in enumerate(order):
-        value = text[i] if i < n else None
-        if at == 0 or value != last:
-            head, last = at, value
-            members[head] = 0
-        start[i], place[i] = head, at
-        members[head] += 1
+    members[0] = 1
+    for bucket in buckets:
+        if bucket:
+            head = len(order)
+            members[head] = len(bucket)
+            for at, i in enumerate(bucket, head):
+                start[i], place[i] = head, at
+            order += bucket
 
-    before = [-1] * size  # previous smaller pointers
+    before = [_UNKNOWN] * size  # previous smaller pointers
     end = size - 1
     while end >= 0:
         low = start[order[end]]
@@ -55,20 +60,30 @@ def suffix_array(text: Sequence[int]) -> list[int]:
                     start[j] = tail
                     members[g], members[tail] = m, 1
         else:
+            group = order[low : end + 1]
+            for i in group:
+                waiting = [i] if before[i] == _UNKNOWN else []
+                while waiting:
+                    k = waiting[-1]
+                    j = k - 1
+                    while j >= 0 and start[j] >= low:
+                        if before[j] == _UNKNOWN:  # an earlier member of the same group
+                            waiting.append(j)
+                            break
+                        j = before[j]
+                    else:
+                        before[k] = j
+                        waiting.pop()
             pointed: dict[int, int] = {}
-            for i in sorted(order[low : end + 1]):
-                j = i - 1
-                while j >= 0 and start[j] >= low:
-                    j = before[j]
-                before[i] = j
+            for i in group:
+                j = before[i]
                 if j >= 0:
                     pointed[j] = pointed.get(j, 0) + 1
-            by_count: dict[int, list[int]] = {}
+            by_count: list[list[int]] = [[] for _ in range(max(pointed.values(), default=0) + 1)]
             for j, times in pointed.items():
-                by_count.setdefault(times, []).append(j)
-            for times in sorted(by_count, reverse=True):
+                by_count[times].append(j)
+            for moved in reversed(by_count):
                 left: dict[int, int] = {}
-                moved = by_count[times]
                 for j in moved:
                     g = start[j]
                     m = members[g] - left.get(g, 0) - 1

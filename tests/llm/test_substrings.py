@@ -45,9 +45,9 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "crowd", "chunk"), [(1, 20_000, 1 << 20), (2, 1, 300)])
+@pytest.mark.parametrize(("seed", "crowd", "chunk"), [(1, 4096, 1 << 17), (2, 1, 300), (3, 3, 1 << 10)])
 def test_against_brute_force(spark, monkeypatch, seed, crowd, chunk):
-    monkeypatch.setattr(substrings, "MOST_CONTEXTS", crowd)
+    monkeypatch.setattr(substrings, "CROWD", crowd)
     monkeypatch.setattr(substrings, "CHUNK", chunk)
     docs = corpus(seed)
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n_bytes int").repartition(3)
@@ -56,5 +56,14 @@ def test_against_brute_force(spark, monkeypatch, seed, crowd, chunk):
     assert got == brute(docs, 50)
 
 
+def test_long_periodic_texts(spark):
+    rng = random.Random(7)
+    period = "".join(rng.choices("abc ", k=37))
+    own = "".join(rng.choices("abcdefghijklmnop ", k=400_000))
+    docs = [(1, period * 9000), (2, own), (3, "x" + period * 800 + "y" + own[1000:300_000]), (4, " " * 1_000_000), (5, "q" + " " * 70 + "q"), (6, own[::-1][:2000] + period * 2)]
+    got = sorted(tuple(r) for r in substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())
+    assert [(i, n, g, s, bytes(k)) for i, n, g, s, k in got] == brute(docs, 50)
+
+
 def test_empty_table(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
