@@ -12,9 +12,9 @@ cover are its context, at most ``2 * length - gram`` of them.
    documents share costs a row per batch;
 2. by anchor: those seen in one document only are done.  Where several documents have one
    context, all strings in it are repeated, whatever the anchor's other contexts hold.
-   Where an anchor has different contexts, their bytes are fetched, parted by what lies
-   beside the anchor (``sides``), and a suffix array (``suffixes``, linear grouping) over
-   the parts groups equal strings and gives each the smallest id.  The contexts of a crowded
+   Where an anchor has different contexts, their bytes are fetched, and a suffix array
+   (``suffixes``, linear grouping) over the parts that may hold a common string (``related``)
+   groups equal strings and gives each the smallest id.  The contexts of a crowded
    anchor are resolved batch by batch, and equal strings of all batches are then folded;
 3. a last pass over the texts keeps what is in a known context; the spans that follow are
    merged by document and cut out.
@@ -294,31 +294,34 @@ def smallest_ids(contexts: list[bytes], docs: list[int], length: int = LENGTH) -
     return out
 
 
-def sides(context: bytes, left: int, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[bytes, int, int]]:
-    """(key, start, end): parts of a context and what all strings in a part have in common.
+def related(contexts: list[bytes], lefts: list[int], length: int = LENGTH, gram: int = GRAM, step: int = 3) -> dict[int, tuple[int, int]]:
+    """Contexts of an anchor that may share a string with another, and the part of each that such strings lie in.
 
-    A string has at least half of what it holds beside the anchor on one side of it.  So
-    equal strings of an anchor lie in parts with equal keys, and contexts without an equal
-    key share no string.
+    A string reaches some way left of the anchor and the rest of its length right of it; in
+    steps of ``step``, the ``length - step`` bytes inside it are common to both contexts.
     """
-    half = (length - gram) // 2
-    last = len(context) - length
-    if left >= half:
-        yield b"<" + context[left - half : left + gram], 0, min(left - half, last) + length
-    if left - half + 1 <= last:
-        yield b">" + context[left : left + length - half + 1], max(0, left - half + 1), len(context)
+    size = length - step
+    seen: dict[tuple[int, bytes], list[int]] = {}
+    for i, (c, left) in enumerate(zip(contexts, lefts, strict=True)):
+        for back in range(0, min(left, length - gram) + 1, step):
+            if left - back + size <= len(c):
+                seen.setdefault((back, c[left - back : left - back + size]), []).append(i)
+    parts: dict[int, tuple[int, int]] = {}
+    for (back, _), group in seen.items():
+        if len(group) > 1:
+            for i in group:
+                start, end = max(0, lefts[i] - back - step), min(len(contexts[i]), lefts[i] - back + length)
+                had = parts.get(i, (start, end))
+                parts[i] = min(start, had[0]), max(end, had[1])
+    return parts
 
 
 def _solve(contexts: list[bytes], docs: list[int], lefts: list[int], length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(context, start, smallest ids) of the parts of contexts under one anchor that may share a string."""
-    groups: dict[bytes, list[tuple[int, int, int]]] = {}
-    for i, (c, left) in enumerate(zip(contexts, lefts, strict=True)):
-        for key, start, end in sides(c, left, length, gram):
-            groups.setdefault(key, []).append((i, start, end))
-    for group in groups.values():
-        if len(group) > 1:
-            told = smallest_ids([contexts[i][s:e] for i, s, e in group], [docs[i] for i, _, _ in group], length)
-            yield from ((i, s, ids) for (i, s, _), ids in zip(group, told, strict=True))
+    parts = related(contexts, lefts, length, gram)
+    if parts:
+        told = smallest_ids([contexts[i][s:e] for i, (s, e) in parts.items()], [docs[i] for i in parts], length)
+        yield from ((i, s, ids) for (i, (s, _)), ids in zip(parts.items(), told, strict=True))
 
 
 _KNOWN = "anchor long, context long, least long, start int, ids binary"
@@ -329,17 +332,30 @@ def _known(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "context", "least", "start", "ids"])
 
 
+#: Stands for the id that a row of bytes does not carry.
+_NO_DOC = np.iinfo(np.int64).min
+
+
 def _resolve(length: int, gram: int):
-    """_KNOWN rows of contexts under an anchor: the smallest id of each string of a part; rows come sorted by anchor."""
+    """_KNOWN rows of contexts under an anchor: the smallest id of each string of a part.
+
+    Rows come sorted by anchor and context, those with a context's id beside those with its bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, c, doc, left, raw in whole_runs(batches, 5):
+            head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
+            ends = np.append(head[1:], len(a)).tolist()
+            a, c, doc, left = a[head], c[head], np.maximum.reduceat(doc, head), np.maximum.reduceat(left, head)
+            pieces = [max(raw[lo:hi], key=len) for lo, hi in zip(head.tolist(), ends, strict=True)]
             rows = []
             for lo, hi in itertools.pairwise(run_edges(a).tolist()):
-                docs = doc[lo:hi].tolist()
-                for i, start, ids in _solve(list(raw[lo:hi]), docs, left[lo:hi].tolist(), length, gram):
+                # bytes without an id were let through by the bitmap alone
+                at = [i for i in range(lo, hi) if doc[i] != _NO_DOC]
+                docs = doc[at].tolist()
+                for i, start, ids in _solve([pieces[i] for i in at], docs, left[at].tolist(), length, gram):
                     if (ids < docs[i]).any():
-                        rows.append((a[lo + i], c[lo + i], docs[i], start, ids.tobytes()))
+                        rows.append((a[at[i]], c[at[i]], docs[i], start, ids.tobytes()))
             yield _known(rows)
 
     return run
@@ -425,12 +441,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return spark.sparkContext.broadcast(_bits(rows.select("anchor", "context").mapInArrow(_positions(bits), "pos long"), F.col("pos"), bits))
 
     pieces = texts.mapInArrow(_occurrences(table(opened), bits, length, gram, True), "anchor long, context long, left short, bytes binary")
-    pieces = pieces.groupBy("anchor", "context").agg(F.first("left").alias("left"), F.first("bytes").alias("bytes")).join(opened, ["anchor", "context"])
-    pieces = stage(pieces.select("anchor", "context", "doc", "left", "bytes", "others"), "contexts")
-    runs = pieces.where(F.col("others") < CROWD).select("anchor", "context", "doc", "left", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    solved = runs.mapInArrow(_resolve(length, gram), _KNOWN)
-    crowded = pieces.where(F.col("others") >= CROWD)
-    if not crowded.isEmpty():
+    crowd = opened.where(F.col("others") >= CROWD)
+    told = opened.where(F.col("others") < CROWD).select("anchor", "context", "doc", F.lit(0).cast("short").alias("left"), F.lit(b"").alias("bytes"))
+    some = not crowd.isEmpty()
+    if some:
+        pieces = stage(pieces, "contexts")
+    rows = told.unionAll((pieces.join(crowd.select("anchor").distinct(), "anchor", "left_anti") if some else pieces).select("anchor", "context", F.lit(_NO_DOC).alias("doc"), "left", "bytes"))
+    solved = rows.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(_resolve(length, gram), _KNOWN)
+    if some:
+        crowded = pieces.groupBy("anchor", "context").agg(F.first("bytes").alias("bytes")).join(crowd, ["anchor", "context"])
         strings = stage(crowded.select("anchor", "context", "doc", "bytes").mapInArrow(_strings(length, gram), "anchor long, context long, doc long, start int, string binary, least long"), "context-strings")
         least = strings.groupBy("anchor", "string").agg(F.min("least").alias("smallest"))
         found = strings.join(least, ["anchor", "string"]).where("smallest < doc")
@@ -441,7 +460,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hit = seen.select("anchor", "context", "doc", "tag", "first", "width").join(known, ["anchor", "context"]).select("doc", "tag", "first", "width", "least", "start", "ids")
     spans = hit.mapInArrow(_spans(length), "doc long, tag int, start long, end long")
     spans = stage(spans.repartition("doc", "tag").sortWithinPartitions("doc", "tag", "start").mapInArrow(_merge, "doc long, tag int, spans binary"), "spans")
-    discard(shared, pieces, known)
+    discard(shared, known, *([pieces, strings] if some else []))
     return spans
 
 
