@@ -9,17 +9,20 @@ other workers:
 
 1. every task tokenises its documents and fills sequences of each class; at its end fewer
    than k pieces of class k are left over;
-2. the left-overs meet by class, where full sequences are made in the same way;
+2. the left-overs of TASKS tasks meet by class, and what those leave meets by class again;
+   full sequences are made in the same way;
 3. fewer than k pieces of each class remain, a bound that does not grow with the data; one
    task lays them out by first fit over decreasing lengths.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,6 +37,10 @@ SMALL = 128
 SLACK = 64
 #: Entries of the word -> ids cache of a worker.
 CACHE_WORDS = 400_000
+#: Tasks whose left-overs meet first, so that no class is one task's work however many tasks there are.
+TASKS = 256
+#: Longer words are encoded again each time.
+LONGEST_CACHED = 64
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, class int, ids binary"
 _FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("class", pa.int32()), ("ids", pa.binary())]
@@ -44,51 +51,53 @@ _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Text -> little-endian uint32 ids, through a bounded cache of words.
+    """Text -> little-endian uint32 ids of a byte-level vocabulary file of ``tokenizers``, through a bounded cache of words.
 
-    A byte-level pre-tokeniser never joins what stands on either side of a space that a
-    non-space follows, so the words split there are encoded one by one.  Words that are not
-    cached go to the tokenizer itself; strings of special tokens are ordinary text.
+    The pre-tokeniser never joins what stands on either side of a space that a non-space
+    follows, so the words split there are known one by one.  Those that are not cached go to
+    the tokenizer together; the bytes of each id tell where a word ends.  Texts that hold a
+    special token's string go to the tokenizer whole, which gives that string its own id.
     """
 
     def __init__(self, path: str) -> None:
-        if path.endswith(".tiktoken"):
-            import base64
-
-            import public_tokenizers
-            import tiktoken
-
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-            encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self._ids = encoding.encode_ordinary
-        else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
-            self._ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(path)
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self._width[i] = len(token)  # one character stands for each byte
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._words: dict[str, bytes] = {}
 
-    def _encode(self, text: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self._ids(text))
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, each with a space before it."""
+        ids = self._encode(" " + " ".join(words))
+        raw, ends = ids.tobytes(), np.cumsum(self._width[ids])
+        upto = np.cumsum([len(w.encode()) + 1 for w in words])
+        cuts = [0, *((np.searchsorted(ends, upto) + 1) * 4).tolist()]
+        return {w: raw[x:y] for w, x, y in zip(words, cuts[:-1], cuts[1:], strict=True)}
 
     def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self._special):
+            return self._encode(text).tobytes()
         words = _BREAK.split(text) if _ODD.search(text) else text.split(" ")
         cache = self._words
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        out = [self._encode(words[0])] if words[0] else []
+        out = [self._encode(words[0]).tobytes()] if words[0] else []
         rest = words[1:]
         try:
             out += map(cache.__getitem__, rest)
         except KeyError:
             del out[bool(words[0]) :]
-            for w in rest:
-                if (ids := cache.get(w)) is None:
-                    ids = self._encode(" " + w)
-                    if len(w) <= 64:
-                        cache[w] = ids
-                out.append(ids)
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+            told = self._learn(list(dict.fromkeys(w for w in rest if w not in cache)))
+            cache.update((w, ids) for w, ids in told.items() if len(w) <= LONGEST_CACHED)
+            out += [told[w] if w in told else cache[w] for w in rest]
         return b"".join(out)
 
 
@@ -141,6 +150,14 @@ class _Filler:
         out, self.done = self.done, []
         return out
 
+    def left(self, mark: int) -> list[list]:
+        """Rows without a sequence, which carry ``mark`` in its place."""
+        out = [row for bin_ in self.pending.values() for row in bin_]
+        for row in out:
+            row[5] = mark
+        self.pending = {}
+        return out
+
 
 def _batch(rows: list[list], id_type: pa.DataType) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[] for _ in range(9)]
@@ -151,7 +168,8 @@ def _tokenise(path: str, capacity: int, separator: int | None, with_ids: bool):
     end = b"" if separator is None else separator.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, fill = encoder(path), _Filler(TaskContext.get().partitionId() << 36)
+        task = TaskContext.get().partitionId()
+        encode, fill = encoder(path), _Filler(task << 36)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = encode(text.as_py() or "") + end
@@ -162,7 +180,7 @@ def _tokenise(path: str, capacity: int, separator: int | None, with_ids: bool):
                     at += length
                 if len(fill.done) >= 20_000:
                     yield _batch(fill.take(), pa.int64())
-        yield _batch(fill.take() + [r for bin_ in fill.pending.values() for r in bin_], pa.int64())
+        yield _batch(fill.take() + fill.left(-1 - task // TASKS), pa.int64())
 
     return run
 
@@ -172,17 +190,24 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         yield from map(list, zip(*(c.to_pylist() for c in batch.columns), strict=True))
 
 
-def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a class are together; sequence ids are of the class."""
-    fill, current = _Filler(0), None
-    for row in _rows(batches):
-        k = row[7]
-        if k != current:
-            current, fill.next = k, (1 << 61) + (k << 40)
-        fill.add(row, k)
-        if len(fill.done) >= 20_000:
-            yield _batch(fill.take(), pa.int64())
-    yield _batch(fill.take() + [r for bin_ in fill.pending.values() for r in bin_], pa.int64())
+def _by_class(last: bool):
+    """Rows of a class and group of tasks (by class alone at last) are together; sequence ids are of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fill, current = _Filler(0), None
+        for row in _rows(batches):
+            key = (row[7], -1 if last else row[5])
+            if key != current:
+                if current:
+                    fill.done += fill.left(-1)
+                current = key
+                fill.next = (1 << 61) + (last << 60) + (key[0] << 48) + (-1 - key[1] << 36)
+            fill.add(row, key[0])
+            if len(fill.done) >= 20_000:
+                yield _batch(fill.take(), pa.int64())
+        yield _batch(fill.take() + fill.left(-1), pa.int64())
+
+    return run
 
 
 def _first_fit(capacity: int):
@@ -207,11 +232,14 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     Null text is empty; an empty document is its separator alone, or no piece at all without
     one.  ``ids`` (little-endian uint32) is filled with ``with_ids``.  Repeated rows are
     packed each for itself.  An empty table gives an empty result.  Other columns of
-    ``docs`` are ignored.  Ids must be integers; null ids are carried along.
+    ``docs`` are ignored.  Ids must be integers; null ids are carried along.  A very long
+    text is encoded in one task, in memory of a few times its size.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = stage(texts.mapInArrow(_tokenise(tokenizer_path, capacity, separator, with_ids), SCHEMA), "pack-pieces")
-    left = first.where("sequence_id is null").repartition("class").sortWithinPartitions("class", "doc_id", "start", "ids_crc32")
-    second = stage(left.mapInArrow(_by_class, SCHEMA), "pack-classes")
-    tail = second.where("sequence_id is null").coalesce(1).sortWithinPartitions("class", "doc_id", "start", "ids_crc32").mapInArrow(_first_fit(capacity), SCHEMA)
-    return first.where("sequence_id is not null").unionAll(second.where("sequence_id is not null")).unionAll(tail)
+    order, open_, done = ["class", "doc_id", "start", "ids_crc32"], F.col("sequence_id") < 0, F.col("sequence_id") >= 0
+    grouped = first.where(open_).repartition("class", "sequence_id").sortWithinPartitions("class", "sequence_id", *order[1:])
+    second = stage(grouped.mapInArrow(_by_class(False), SCHEMA), "pack-groups")
+    third = stage(second.where(open_).repartition("class").sortWithinPartitions(*order).mapInArrow(_by_class(True), SCHEMA), "pack-classes")
+    tail = third.where(open_).coalesce(1).sortWithinPartitions(*order).mapInArrow(_first_fit(capacity), SCHEMA)
+    return first.where(done).unionAll(second.where(done)).unionAll(third.where(done)).unionAll(tail)
