@@ -234,7 +234,7 @@ def _positions(bits: int):
     return run
 
 
-_SEEN = "anchor long, context long, doc long, tag int, first int, width short, left short"
+_SEEN = "anchor long, context long, doc long, tag int, first int, width short"
 
 
 def _occurrences(table, bits: int, length: int, gram: int, with_bytes: bool):
@@ -252,11 +252,11 @@ def _occurrences(table, bits: int, length: int, gram: int, with_bytes: bool):
                     once[np.unique(key, return_index=True)[1]] = True
                     keep &= once
                 a, c, row, place, first, last = (x[keep] for x in found)
-                columns = [pa.array(a), pa.array(c), pa.array(ids[row].astype(np.int64)), pa.array(tags[row].astype(np.int32)), pa.array(first.astype(np.int32)), pa.array((last - first).astype(np.int16)), pa.array((place - first).astype(np.int16))]
-                names = ["anchor", "context", "doc", "tag", "first", "width", "left"]
+                columns = [pa.array(a), pa.array(c), pa.array(ids[row].astype(np.int64)), pa.array(tags[row].astype(np.int32)), pa.array(first.astype(np.int32)), pa.array((last - first).astype(np.int16))]
+                names = ["anchor", "context", "doc", "tag", "first", "width"]
                 if with_bytes:
                     piece = [texts[r][s : e + length] for r, s, e in zip(row.tolist(), first.tolist(), last.tolist(), strict=True)]
-                    columns, names = [*columns[:2], columns[6], pa.array(piece, pa.binary())], ["anchor", "context", "left", "bytes"]
+                    columns, names = [*columns[:2], pa.array((place - first).astype(np.int16)), pa.array(piece, pa.binary())], ["anchor", "context", "left", "bytes"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -294,34 +294,52 @@ def smallest_ids(contexts: list[bytes], docs: list[int], length: int = LENGTH) -
     return out
 
 
-def related(contexts: list[bytes], lefts: list[int], length: int = LENGTH, gram: int = GRAM, step: int = 3) -> dict[int, tuple[int, int]]:
-    """Contexts of an anchor that may share a string with another, and the part of each that such strings lie in.
+def related(anchor: np.ndarray, left: np.ndarray, contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the part of each context that may hold strings of another context of its anchor; equal where there is none.
 
-    A string reaches some way left of the anchor and the rest of its length right of it; in
-    steps of ``step``, the ``length - step`` bytes inside it are common to both contexts.
+    Equal strings have equal hashes and the anchor at the same place, so contexts without a
+    common hash share nothing.  What is let through is compared as bytes later.
     """
-    size = length - step
-    seen: dict[tuple[int, bytes], list[int]] = {}
-    for i, (c, left) in enumerate(zip(contexts, lefts, strict=True)):
-        for back in range(0, min(left, length - gram) + 1, step):
-            if left - back + size <= len(c):
-                seen.setdefault((back, c[left - back : left - back + size]), []).append(i)
-    parts: dict[int, tuple[int, int]] = {}
-    for (back, _), group in seen.items():
-        if len(group) > 1:
-            for i in group:
-                start, end = max(0, lefts[i] - back - step), min(len(contexts[i]), lefts[i] - back + length)
-                had = parts.get(i, (start, end))
-                parts[i] = min(start, had[0]), max(end, had[1])
-    return parts
-
-
-def _solve(contexts: list[bytes], docs: list[int], lefts: list[int], length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(context, start, smallest ids) of the parts of contexts under one anchor that may share a string."""
-    parts = related(contexts, lefts, length, gram)
-    if parts:
-        told = smallest_ids([contexts[i][s:e] for i, (s, e) in parts.items()], [docs[i] for i in parts], length)
-        yield from ((i, s, ids) for (i, (s, _)), ids in zip(parts.items(), told, strict=True))
+    sizes = np.array([len(c) for c in contexts])
+    at = np.cumsum(sizes) - sizes
+    raw = np.frombuffer(b"".join(contexts), np.uint8)
+    up, down = _powers(len(raw) + 1)
+    counts = sizes - length + 1
+    row = np.repeat(np.arange(len(sizes)), counts)
+    begin = np.cumsum(counts) - counts
+    place = np.arange(len(row)) - begin[row]
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+        x = at[row] + place
+        key = _mixed((sums[x + length] - sums[x]) * down[x], anchor.view(np.uint64)[row])
+        key = _mixed(key, (left[row] - place).astype(np.uint64))
+    slot = key & np.uint64((1 << max(10, int(len(key)).bit_length() + 2)) - 1)
+    twice = np.flatnonzero(np.bincount(slot.astype(np.int64))[slot.astype(np.int64)] > 1)
+    few = key[twice]
+    order = np.argsort(few)
+    same = few[order][1:] == few[order][:-1]
+    common = np.zeros(len(key), bool)
+    common[twice[order[1:][same]]] = True
+    common[twice[order[:-1][same]]] = True
+    first = np.minimum.reduceat(np.where(common, place, 1 << 40), begin)
+    last = np.maximum.reduceat(np.where(common, place, -length), begin)
+    return np.where(last < 0, 0, first), last + length
+
+
+def _solve(contexts: list[bytes], docs: list[int], spans: list[tuple[int, int]], length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(context, start, smallest ids) of the parts of contexts under one anchor; equal parts are one text of the suffix array."""
+    parts: dict[bytes, list[int]] = {}
+    for i, (s, e) in enumerate(spans):
+        if e > s:
+            parts.setdefault(contexts[i][s:e], []).append(i)
+    least = [min(docs[i] for i in members) for members in parts.values()]
+    if len(parts) > 1:
+        told = smallest_ids(list(parts), least, length)
+    else:
+        told = [np.full(len(part) - length + 1, d, np.int64) for part, d in zip(parts, least, strict=True)]
+    for members, ids in zip(parts.values(), told, strict=True):
+        yield from ((i, spans[i][0], ids) for i in members)
 
 
 _KNOWN = "anchor long, context long, least long, start int, ids binary"
@@ -336,7 +354,7 @@ def _known(rows: list[tuple]) -> pa.RecordBatch:
 _NO_DOC = np.iinfo(np.int64).min
 
 
-def _resolve(length: int, gram: int):
+def _resolve(length: int):
     """_KNOWN rows of contexts under an anchor: the smallest id of each string of a part.
 
     Rows come sorted by anchor and context, those with a context's id beside those with its bytes.
@@ -346,22 +364,27 @@ def _resolve(length: int, gram: int):
         for a, c, doc, left, raw in whole_runs(batches, 5):
             head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
             ends = np.append(head[1:], len(a)).tolist()
-            a, c, doc, left = a[head], c[head], np.maximum.reduceat(doc, head), np.maximum.reduceat(left, head)
-            pieces = [max(raw[lo:hi], key=len) for lo, hi in zip(head.tolist(), ends, strict=True)]
-            rows = []
-            for lo, hi in itertools.pairwise(run_edges(a).tolist()):
-                # bytes without an id were let through by the bitmap alone
-                at = [i for i in range(lo, hi) if doc[i] != _NO_DOC]
-                docs = doc[at].tolist()
-                for i, start, ids in _solve([pieces[i] for i in at], docs, left[at].tolist(), length, gram):
-                    if (ids < docs[i]).any():
-                        rows.append((a[at[i]], c[at[i]], docs[i], start, ids.tobytes()))
+            doc, left = np.maximum.reduceat(doc, head), np.maximum.reduceat(left, head)
+            # bytes without an id were let through by the bitmap alone
+            ok = doc != _NO_DOC
+            pieces = [max(raw[lo:hi], key=len) for lo, hi, use in zip(head.tolist(), ends, ok.tolist(), strict=True) if use]
+            a, c, doc, left = a[head][ok], c[head][ok], doc[ok], left[ok]
+            rows: list[tuple] = []
+            if len(a):
+                start, end = related(a, left, pieces, length)
+                edges = run_edges(a)
+                some = np.maximum.reduceat(end - start, edges[:-1]) > 0
+                for lo, hi in zip(edges[:-1][some].tolist(), edges[1:][some].tolist(), strict=True):
+                    docs = doc[lo:hi].tolist()
+                    for i, s, ids in _solve(pieces[lo:hi], docs, list(zip(start[lo:hi].tolist(), end[lo:hi].tolist(), strict=True)), length):
+                        if (ids < docs[i]).any():
+                            rows.append((a[lo + i], c[lo + i], docs[i], s, ids.tobytes()))
             yield _known(rows)
 
     return run
 
 
-def _strings(length: int, gram: int):
+def _strings(length: int):
     """(anchor, context, doc, start, string, least): the strings of crowded anchors' contexts, the smallest id within the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,17 +470,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if some:
         pieces = stage(pieces, "contexts")
     rows = told.unionAll((pieces.join(crowd.select("anchor").distinct(), "anchor", "left_anti") if some else pieces).select("anchor", "context", F.lit(_NO_DOC).alias("doc"), "left", "bytes"))
-    solved = rows.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(_resolve(length, gram), _KNOWN)
+    solved = rows.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(_resolve(length), _KNOWN)
     if some:
         crowded = pieces.groupBy("anchor", "context").agg(F.first("bytes").alias("bytes")).join(crowd, ["anchor", "context"])
-        strings = stage(crowded.select("anchor", "context", "doc", "bytes").mapInArrow(_strings(length, gram), "anchor long, context long, doc long, start int, string binary, least long"), "context-strings")
+        strings = stage(crowded.select("anchor", "context", "doc", "bytes").mapInArrow(_strings(length), "anchor long, context long, doc long, start int, string binary, least long"), "context-strings")
         least = strings.groupBy("anchor", "string").agg(F.min("least").alias("smallest"))
         found = strings.join(least, ["anchor", "string"]).where("smallest < doc")
         solved = solved.unionAll(found.select("anchor", "context", F.col("doc").alias("least"), "start", _little_endian(F.col("smallest")).alias("ids")))
     equal = shared.where("several").select("anchor", "context", F.col("doc").alias("least"), F.lit(0).alias("start"), F.lit(None).cast("binary").alias("ids"))
     known = stage(solved.unionAll(equal), "anchor-ids")
     seen = texts.mapInArrow(_occurrences(table(known), bits, length, gram, False), _SEEN)
-    hit = seen.select("anchor", "context", "doc", "tag", "first", "width").join(known, ["anchor", "context"]).select("doc", "tag", "first", "width", "least", "start", "ids")
+    hit = seen.select("anchor", "context", "doc", "tag", "first", "width").join(known.hint("merge"), ["anchor", "context"]).select("doc", "tag", "first", "width", "least", "start", "ids")
     spans = hit.mapInArrow(_spans(length), "doc long, tag int, start long, end long")
     spans = stage(spans.repartition("doc", "tag").sortWithinPartitions("doc", "tag", "start").mapInArrow(_merge, "doc long, tag int, spans binary"), "spans")
     discard(shared, known, *([pieces, strings] if some else []))
@@ -494,7 +517,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = with_maybe(rows, F.xxhash64("doc_id", "tag"), bitmap(spans, F.xxhash64("doc", "tag")))
     zero = F.lit(0).cast("long")
     clear = marked.where("not __maybe").select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("bytes").alias("kept"))
-    doubt = marked.where("__maybe").join(spans.withColumnRenamed("doc", "doc_id"), ["doc_id", "tag"], "left").select("doc_id", "bytes", "spans")
+    doubt = marked.where("__maybe").join(spans.withColumnRenamed("doc", "doc_id").hint("merge"), ["doc_id", "tag"], "left").select("doc_id", "bytes", "spans")
     cut = doubt.mapInArrow(_cut, "doc_id long, bytes binary, kept binary, n_removed long, n_spans long")
     return clear.unionAll(cut.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept"))
 
