@@ -8,7 +8,8 @@ with the same lines are folded first: the one with the smallest id stands for al
 others are aligned with it alone.  A pair is aligned by patience diff on line hashes, and
 aligned common blocks go from the later document (the one with the larger id).
 
-Lines are compared without spaces at their ends; blank lines are no signature and go only
+Joins that shuffle at any real size are asked to do so at small ones too, so that figures
+taken there hold.  Lines are compared without spaces at their ends; blank lines are no signature and go only
 within a block.  Only hashes travel: the earlier document of a pair's run once for up to RUN
 later ones, the later ones once for each pair.  Texts are joined at the end for documents
 that lose lines.
@@ -129,7 +130,7 @@ def _pairs(lined: DataFrame, rare: int) -> DataFrame:
     # two lines that few documents hold are told by each of the two
     held = stage(held.where((F.col("last") > F.col("first.doc")) & (F.col("alone") | (F.col("holders") > rare))).select("sign", "alone", "first", "holders"), "line-signs")
     # signatures without a second holder stay where they are
-    told = with_maybe(signs, F.col("sign"), bitmap(held, F.col("sign"))).where("__maybe").drop("__maybe").join(held, ["sign", "alone"])
+    told = with_maybe(signs, F.col("sign"), bitmap(held, F.col("sign"))).where("__maybe").drop("__maybe").join(held.hint("merge"), ["sign", "alone"])
     told = stage(told, "line-holders")
     frequent = told.where((F.col("holders") > rare) & (F.col("doc") > F.col("first.doc"))).select("doc", "tag", F.col("first").alias("earlier"))
     # at most ``rare`` rows in a group
@@ -144,9 +145,9 @@ def _aligned(pairs: DataFrame, lined: DataFrame) -> DataFrame:
     """(doc, tag, gone) of pairs whose later document loses lines."""
     runs = pairs.groupBy("earlier").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("runs"))
     one = F.xxhash64(F.col("earlier.doc"), F.col("earlier.tag"), "n").alias("run")
-    late = pairs.join(runs, "earlier").withColumn("n", F.pmod(F.xxhash64("doc", "tag"), F.col("runs"))).select(one, "earlier", F.lit(True).alias("later"), "doc", "tag")
+    late = pairs.join(runs.hint("merge"), "earlier").withColumn("n", F.pmod(F.xxhash64("doc", "tag"), F.col("runs"))).select(one, "earlier", F.lit(True).alias("later"), "doc", "tag")
     early = runs.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1))).select(one, "earlier", F.lit(False).alias("later"), F.col("earlier.doc").alias("doc"), F.col("earlier.tag").alias("tag"))
-    rows = late.unionAll(early).join(lined, ["doc", "tag"])
+    rows = late.unionAll(early).join(lined.hint("merge"), ["doc", "tag"])
     rows = rows.repartition("run").sortWithinPartitions("run", "earlier", "later").select("later", "doc", "tag", "lines")
     return rows.mapInArrow(_align, "doc long, tag int, gone array<int>")
 
@@ -154,8 +155,8 @@ def _aligned(pairs: DataFrame, lined: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rare: int = RARE) -> DataFrame:
     """doc_id, n_lines, n_removed, n_partners, kept (the text that stays) for every row.
 
-    n_partners counts the earlier documents it was aligned with; a document with the same
-    lines as an earlier one has one.  Null text is empty, one blank line.  Rows with a null id
+    n_partners counts the earlier documents it loses lines to, 1 for a document with the same
+    lines as an earlier one.  Null text is empty, one blank line.  Rows with a null id
     are kept whole and are no partner.  Rows that repeat an id are no partners of each other.
     Pairs are judged on the input.  A very long text is one array of line hashes.  Other
     columns are ignored; an empty table gives an empty result.
@@ -166,24 +167,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = stage(rows.where("doc is not null").select("doc", "tag", hashed.alias("lines")).distinct(), "lines")
     alike = every.select("doc", "tag", F.xxhash64("lines").alias("k1"), F.xxhash64(F.lit(1), "lines").alias("k2"), F.exists("lines", lambda x: x != BLANK).alias("told"))
     least = alike.groupBy("k1", "k2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2", "least")
-    copies = stage(alike.where("told").join(least, ["k1", "k2"]).where("doc > least").select("doc", "tag"), "line-copies")
+    copies = stage(alike.where("told").join(least.hint("merge"), ["k1", "k2"]).where("doc > least").select("doc", "tag"), "line-copies")
     marked = with_maybe(every, F.xxhash64("doc", "tag"), bitmap(copies, F.xxhash64("doc", "tag")))
-    lined = stage(marked.where("not __maybe").drop("__maybe").unionAll(marked.where("__maybe").drop("__maybe").join(copies, ["doc", "tag"], "left_anti")), "line-documents")
+    lined = stage(marked.where("not __maybe").drop("__maybe").unionAll(marked.where("__maybe").drop("__maybe").join(copies.hint("merge"), ["doc", "tag"], "left_anti")), "line-documents")
 
     pairs = _pairs(lined, rare)
-    gone = _aligned(pairs, lined).select("doc", "tag", F.explode("gone").alias("line")).distinct()
+    aligned = stage(_aligned(pairs, lined), "line-blocks")
+    lost = aligned.select("doc", "tag", F.explode("gone").alias("line")).distinct()
     # as many lines as the document has, at most
-    gone = gone.groupBy("doc", "tag").agg(F.collect_list("line").alias("gone"))
-    partners = pairs.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("n_partners"))
+    gone = lost.groupBy("doc", "tag").agg(F.collect_list("line").alias("gone"))
+    partners = aligned.groupBy("doc", "tag").agg(F.count(F.lit(1)).alias("n_partners"))
     whole = copies.select("doc", "tag", F.lit(None).cast("array<int>").alias("gone"), F.lit(True).alias("told"), F.lit(1).cast("long").alias("n_partners"))
-    gone = stage(partners.join(gone, ["doc", "tag"], "left").select("doc", "tag", "gone", F.lit(False).alias("told"), "n_partners").unionAll(whole), "line-removals")
-    discard(every, copies, lined, pairs)
+    gone = stage(partners.join(gone.hint("merge"), ["doc", "tag"]).select("doc", "tag", "gone", F.lit(False).alias("told"), "n_partners").unionAll(whole), "line-removals")
+    discard(every, copies, lined, pairs, aligned)
 
     n_lines = F.size(F.split("text", "\n")).cast("long")
     marked = with_maybe(rows, F.xxhash64("doc", "tag"), bitmap(gone, F.xxhash64("doc", "tag")))
     zero = F.lit(0).cast("long")
     clear = marked.where("not __maybe").select(F.col("doc").alias("doc_id"), n_lines.alias("n_lines"), zero.alias("n_removed"), zero.alias("n_partners"), F.col("text").alias("kept"))
-    # a copy loses all its lines, a document without partners none
+    # a copy loses all its lines
     places = F.when(F.col("told"), F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1)).otherwise(F.col("gone"))
-    doubt = marked.where("__maybe").join(gone, ["doc", "tag"], "left").select("doc", n_lines.alias("n_lines"), "text", places.alias("gone"), F.coalesce("n_partners", zero).alias("n_partners"))
+    doubt = marked.where("__maybe").join(gone.hint("merge"), ["doc", "tag"], "left").select("doc", n_lines.alias("n_lines"), "text", places.alias("gone"), F.coalesce("n_partners", zero).alias("n_partners"))
     return clear.unionAll(doubt.mapInArrow(_remove, "doc_id long, n_lines long, n_removed long, n_partners long, kept string"))

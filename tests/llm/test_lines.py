@@ -31,18 +31,20 @@ def brute(docs, rare):
             holders.setdefault(s, []).append((i, t))
     out = []
     for i, t in docs:
-        ls, gone, partners = split(t), set(), set()
+        ls, gone, partners, losing = split(t), set(), set(), 0
         if i is not None and (i, t or "") not in alone:
-            partners, gone = {least[ls]}, set(range(len(ls)))
+            losing, gone = 1, set(range(len(ls)))
         elif i is not None:
             for s, h in holders.items():
                 if (i, t or "") in h and (len(s) == 1 or len(h) > rare):
                     partners |= {x for x in h if x[0] < i and (len(h) <= rare or x[0] == min(h)[0])}
             for other in map(split, (x[1] for x in partners)):
                 key = {x: n + 1 for n, x in enumerate(sorted({*ls, *other} - {""}))} | {"": 0}
-                gone.update(lines.common_lines([key[x] for x in ls], [key[x] for x in other]))
+                lost = lines.common_lines([key[x] for x in ls], [key[x] for x in other])
+                gone.update(lost)
+                losing += bool(lost)
         kept = "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone)
-        out.append((i, len(ls), len(gone), len(partners), kept))
+        out.append((i, len(ls), len(gone), losing, kept))
     return sorted(out, key=repr)
 
 
