@@ -28,15 +28,23 @@ def with_maybe(df: DataFrame, key: Column, bitmap_rows: DataFrame, bits: int = F
     return joined.drop("__pos", "__bucket", "__bit", "__bitmap")
 
 
+def packed(df: DataFrame, *keys: Column) -> DataFrame:
+    """Rows as one column ``__row`` beside ``keys``, so that no name of theirs can clash with a column's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *keys)
+
+
+def _marked(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    return with_maybe(packed(df, F.col(id_col).alias("__id")), F.xxhash64("__id"), bitmap(ids, F.xxhash64("id")))
+
+
 def drop_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """``df`` without the rows whose id is in ``ids`` (long column ``id``, staged); only rows that may be are shuffled."""
-    marked = with_maybe(df, F.xxhash64(id_col), bitmap(ids, F.xxhash64("id")))
-    clear = marked.where("not __maybe").select(df.columns)
-    doubt = marked.where("__maybe").join(ids.select(F.col("id").alias("__drop")), F.col(id_col) == F.col("__drop"), "left_anti")
-    return clear.unionAll(doubt.select(df.columns))
+    marked = _marked(df, id_col, ids)
+    doubt = marked.where("__maybe").join(ids.select(F.col("id").alias("__drop")), F.col("__id") == F.col("__drop"), "left_anti")
+    return marked.where("not __maybe").select("__row.*").unionAll(doubt.select("__row.*"))
 
 
 def keep_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows of ``df`` whose id is in ``ids`` (long column ``id``, staged); other rows are not shuffled."""
-    marked = with_maybe(df, F.xxhash64(id_col), bitmap(ids, F.xxhash64("id"))).where("__maybe")
-    return marked.join(ids.select(F.col("id").alias("__keep")), F.col(id_col) == F.col("__keep"), "left_semi").select(df.columns)
+    marked = _marked(df, id_col, ids).where("__maybe")
+    return marked.join(ids.select(F.col("id").alias("__keep")), F.col("__id") == F.col("__keep"), "left_semi").select("__row.*")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.bitmaps import FILTER_BITS, bitmap, with_maybe
+from siftline.llm.bitmaps import FILTER_BITS, bitmap, packed, with_maybe
 from siftline.llm.scratch import stage
 from siftline.llm.textops import lower_ascii
 
@@ -77,13 +77,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # one row per group that has copies, with the number of rows that share id and text with the row that stays
     grouped = found.where("group_size > 1").select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), (F.col(id_col).eqNullSafe(F.col("keep_id"))).cast("int").alias("__same"))
     grouped = stage(grouped.groupBy("__sha").agg(F.first("__keep").alias("__keep"), F.sum("__same").alias("__n")), "exact-groups")
-    cols = docs.columns
     digest = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
     # only rows that may have copies are shuffled with their text
-    marked = with_maybe(docs.withColumn("__key", digest), F.xxhash64("__key"), bitmap(grouped, F.xxhash64("__sha")))
-    clear = marked.where("not __maybe").select(cols)
-    joined = marked.where("__maybe").join(grouped.withColumnRenamed("__sha", "__key"), "__key", "left").where(F.col("__n").isNull() | F.col(id_col).eqNullSafe(F.col("__keep")))
-    once = clear.unionAll(joined.where("__n is null or __n = 1").select(cols))
+    rows = packed(docs, F.col(id_col).alias("__id"), digest.alias("__key"))
+    marked = with_maybe(rows, F.xxhash64("__key"), bitmap(grouped, F.xxhash64("__sha")))
+    clear = marked.where("not __maybe").select("__row.*")
+    joined = marked.where("__maybe").join(grouped.withColumnRenamed("__sha", "__key"), "__key", "left").where(F.col("__n").isNull() | F.col("__id").eqNullSafe(F.col("__keep")))
+    once = clear.unionAll(joined.where("__n is null or __n = 1").select("__row.*"))
     if grouped.where("__n > 1").isEmpty():
         return once
-    return once.unionAll(joined.where("__n > 1").dropDuplicates(["__key"]).select(cols))
+    return once.unionAll(joined.where("__n > 1").dropDuplicates(["__key"]).select("__row.*"))

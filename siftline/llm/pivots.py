@@ -61,6 +61,7 @@ def prefixes(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
 
 def _unit(raw: list[bytes], dtype: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), dtype).reshape(len(raw), -1).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -156,16 +157,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Vectors are linked if labels are equal and not null and the cosine is at least
     ``threshold``.  A null, empty or zero vector, one with a null or non-finite component,
-    one without label or id links with nothing.  Vectors of different length never link.
+    one without label or id links with nothing.  Labels may be of any type that casts to a string.  Vectors of different length never link.
     n_links counts other rows.  Rows that repeat an id count as rows and are one node for
     component_id.  A row with a null id has 0 links, a null component and is not kept.  Other
     columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     dtype = "<f4" if "float" in vectors.schema[vector_col].dataType.simpleString() else "<f8"
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("lab"), F.col(vector_col).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(label_col).cast("string")).alias("lab"), F.col(label_col).isNotNull().alias("labelled"), F.col(vector_col).alias("v"))
     finite = F.forall("v", lambda e: F.coalesce(F.abs(e) < float("inf"), F.lit(False)))
-    valid = F.coalesce(F.col("id").isNotNull() & F.col("lab").isNotNull() & finite & F.exists("v", lambda e: e != 0), F.lit(False))
+    valid = F.coalesce(F.col("id").isNotNull() & F.col("labelled") & finite & F.exists("v", lambda e: e != 0), F.lit(False))
     rows = rows.withColumn("ok", valid).withColumn("k1", F.when(valid, F.xxhash64("v"))).withColumn("k2", F.when(valid, F.xxhash64(F.lit(seed), "v", F.size("v"))))
     classes = rows.where("ok").groupBy("lab", "k1", "k2").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v"))
     as_bytes = _to_bytes(dtype)

@@ -8,12 +8,15 @@ unset (tests, a laptop) a folder of the driver is used, which needs a local mast
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+_folders: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,15 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return it read back."""
+    """Write ``df`` as Parquet in the shared folder and return it read back.
+
+    Tables of an application lie in a folder of their own, which goes when the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+    _clear_at_end(spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
+def _clear_at_end(spark: SparkSession, folder: str) -> None:
+    if folder not in _folders:
+        _folders.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+        def clear() -> None:
+            with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone before Python
+                files.delete(path, True)
+
+        atexit.register(clear)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in frames:

@@ -1,8 +1,9 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 12 or more characters of A-Z a-z 0-9 + / _ - that holds a digit.
-The forest sees its length, its character transitions, how much of it dictionary words
-cover, the path it lies in and the neighbouring words.  It is trained from labelled
+A candidate is a whole run of 12 or more characters of A-Z a-z 0-9 + / _ - that holds a digit.
+The forest sees its length, its character transitions (between classes, and pairs of letters
+that are common in words), how much of it dictionary words cover, the path it lies in (of
+the document, or the last one named before it) and the neighbouring words.  It is trained from labelled
 findings; a seeded set of them is generated where none is given.
 
 DataFrame and SQL functions and the JVM's own forest only; no text is shuffled and no
@@ -11,6 +12,8 @@ Python runs on executors.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,9 +22,14 @@ from pyspark.sql import functions as F
 
 from siftline.llm.scratch import stage
 
-CANDIDATE = r"(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}"
+#: Looked for only where a run begins, so that a long run is read once.
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}"
+#: A word that names a place in a file tree.
+PATH_WORD = r"(?i)^[\"'(\[]?(\.{0,2}/)?([\w.\-]+/)+[\w\-]+\.[a-z]{1,5}\b"
 WHITE = r"[\x20\x09-\x0D]+"
 TREES, DEPTH, SEED, FINDINGS, THRESHOLD = 24, 7, 42, 6000, 0.5
+#: Words before a candidate among which a path is looked for.
+PATH_WORDS = 12
 
 #: Words whose letters speak against a random string (fixed values).
 DICTIONARY = (
@@ -34,12 +42,15 @@ DICTIONARY = (
     "section", "server", "service", "session", "source", "state", "status", "street", "string", "student", "style", "system", "table", "template", "test", "text",
     "thing", "time", "title", "update", "upload", "user", "value", "version", "video", "view", "water", "week", "window", "word", "work", "world", "year",
 )
+#: Pairs of letters that begin at least three places of dictionary words.
+COMMON_PAIRS = tuple(sorted(p for p, n in Counter(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1)).items() if n >= 3))
+CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "symbol": r"+/_\-"}
 KEYWORD = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|bearer|private|signing|aws|key)"
 HARMLESS = r"(?i)(example|sample|dummy|test|fake|placeholder|commit|md5|sha1|sha256|checksum|digest|uuid|guid|version|build|isbn|page|order|invoice|ref|id|hash|etag|trace|request|phone|tel)"
 TEST_PATH = r"(?i)(^|/)(tests?|examples?|samples?|docs?|fixtures?|mocks?|vendor|node_modules)(/|$)"
 FEATURES = (
     "length", "digits", "uppers", "lowers", "symbols", "changes", "case_changes", "digit_runs", "vowels", "distinct_share", "hexadecimal", "covered",
-    "test_path", "has_path", "inside_path", "keyword_here", "keyword_before", "keyword_near", "assigned", "quoted", "harmless_before", "harmless_after", "at_sign", "known_form",
+    "common_pairs", *(f"{a}_to_{b}" for a in CLASSES for b in CLASSES), "test_path", "has_path", "inside_path", "keyword_here", "keyword_before", "keyword_near", "assigned", "quoted", "harmless_before", "harmless_after", "at_sign", "known_form",
 )
 
 
@@ -68,6 +79,8 @@ def features(candidate: Column, word: Column, before: Column, before2: Column, a
         "distinct_share": F.size(F.array_distinct(F.split(candidate, ""))) / n,
         "hexadecimal": flag(candidate.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "covered": covered,
+        "common_pairs": F.regexp_count(F.lower(candidate), F.lit(f"(?=({'|'.join(COMMON_PAIRS)}))")) / n,
+        **{f"{a}_to_{b}": F.regexp_count(candidate, F.lit(f"(?<=[{x}])(?=[{y}])")) / n for a, x in CLASSES.items() for b, y in CLASSES.items()},
         "test_path": flag(path.rlike(TEST_PATH)),
         "has_path": flag(path.isNotNull()),
         "inside_path": flag(lead.rlike(r"[./\\]$")),
@@ -91,7 +104,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     numbered = F.filter(F.transform("__w", lambda w, i: F.when(F.length(w) >= 12, F.when(w.rlike(CANDIDATE), i))), lambda i: i.isNotNull())
     hits = rows.select("doc_id", "path", words.alias("__w")).withColumn("word_pos", F.explode(numbered))
     at = lambda d: F.coalesce(F.get("__w", F.col("word_pos") + d), F.lit(""))
-    hits = hits.select("doc_id", "path", F.col("word_pos").cast("long").alias("word_pos"), at(0).alias("word"), at(-1).alias("before"), at(-2).alias("before2"), at(1).alias("after"))
+    # without a path of the document, the last path among the words before
+    lately = F.filter(F.slice("__w", F.greatest(F.col("word_pos") - PATH_WORDS + 1, F.lit(1)), F.least(F.col("word_pos"), F.lit(PATH_WORDS))), lambda w: w.rlike(PATH_WORD))
+    told = F.coalesce("path", F.when(F.col("word_pos") > 0, F.element_at(lately, F.when(F.size(lately) > 0, -1))))
+    hits = hits.select("doc_id", told.alias("path"), F.col("word_pos").cast("long").alias("word_pos"), at(0).alias("word"), at(-1).alias("before"), at(-2).alias("before2"), at(1).alias("after"))
     return hits.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("nth", "candidate"))
 
 
@@ -159,7 +175,7 @@ def train(findings: DataFrame, *, trees: int = TREES, depth: int = DEPTH, seed:
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per candidate: doc_id, word_pos, nth, candidate, score, is_secret.
 
-    Null and empty texts have no candidates; repeated rows give repeated findings; other
+    Null and empty texts have no candidates; a very long word is read once; repeated rows give repeated findings; other
     columns are ignored; an empty table gives an empty result.
     """
     rows = _assembled(candidates(docs, id_col, text_col, path_col))

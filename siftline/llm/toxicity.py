@@ -21,11 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.scratch import discard, stage
+
 #: Labelled texts gathered for training.
 SAMPLE = 10_000
+#: Bytes of hashed terms gathered for training.
+SAMPLE_BYTES = 128 << 20
 HASH_BITS, FACTORS, EPOCHS, BATCH, RATE, L2, SEED = 20, 4, 20, 64, 0.1, 1e-4, 42
 PREFIXES = (4, 5, 6)
-#: A term is used if its share among toxic texts differs from that among others by this many standard errors.
+#: A term is used if its share among toxic texts differs from that among others by this many
+#: standard errors, among all texts or among those that hold a term of the toxic ones.
 LEAST_Z, LEAST_TEXTS = 3.0, 3
 THRESHOLD = 0.7
 _PUNCTUATION = ".,;:!?\"'`()[]{}<>*_-/\\|~#@&%+=«»“”‘’…¡¿"
@@ -87,6 +92,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _separation(flat: np.ndarray, row: np.ndarray, y: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(z, texts) of every term among some texts: by how many standard errors its share differs between the labels."""
+    n, positive = int(among.sum()), float(y[among].sum())
+    used = flat[among[row]]
+    df = np.bincount(used, minlength=1 << HASH_BITS)
+    if not positive or positive == n:
+        return np.zeros(1 << HASH_BITS), df
+    toxic = np.bincount(used, weights=y[row[among[row]]], minlength=1 << HASH_BITS)
+    share = df / n
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / positive + 1 / (n - positive)))
+    return (toxic / positive - (df - toxic) / (n - positive)) / error, df
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Machine:
     """Fit on arrays of hashed terms (distinct in each) and 0/1 labels, by AdaGrad on the log loss.
 
@@ -101,12 +119,15 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Machin
         return nothing
     lengths = np.array([len(t) for t in texts])
     flat = np.concatenate(texts).astype(np.int64)
-    df = np.bincount(flat, minlength=1 << HASH_BITS)
-    toxic = np.bincount(flat, weights=np.repeat(y, lengths), minlength=1 << HASH_BITS)
-    share = df / n
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / positive + 1 / (n - positive)))
-    z = (toxic / positive - (df - toxic) / (n - positive)) / error
-    terms = np.flatnonzero((df >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z))
+    row = np.repeat(np.arange(n), lengths)
+    z, df = _separation(flat, row, y, np.ones(n, bool))
+    chosen = (df >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z)
+    # terms that tell nothing alone may tell the label of texts that hold a strong term
+    strong = (df >= LEAST_TEXTS) & (z >= LEAST_Z)
+    beside = np.zeros(n, bool)
+    beside[row[strong[flat]]] = True
+    z, df = _separation(flat, row, y, beside)
+    terms = np.flatnonzero(chosen | ((df >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z)))
     if not len(terms):
         return nothing
     place = np.full(1 << HASH_BITS, -1)
@@ -151,14 +172,16 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = _Terms()
     for batch in batches:
         terms = [np.fromiter(sorted(_text_terms(t.as_py(), cache)), np.int32).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary())], names=["label", "terms"])
+        order = [zlib.crc32(str(i).encode()) for i in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.binary()), pa.array(order, pa.int64())], names=["label", "terms", "h"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = SAMPLE, seed: int = SEED) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, seed: int = SEED) -> Machine:
     """Fit on the labelled rows of ``docs`` whose crc32(id as text) mod 3 is not 1.
 
     Labels other than 0 and 1 and null ids are left out; of several labels of an id the
-    larger counts; of several texts each counts.  About ``sample`` texts are gathered.
+    larger counts; of several texts each counts.  About ``sample`` texts are gathered, in the
+    order of a hash of the id and up to ``sample_bytes`` bytes of terms; each counts whole.
     """
     label = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1) and crc32(cast(id as string)) % 3 <> 1")
     label = label.groupBy("id").agg(F.max("label").alias("label"))
@@ -168,7 +191,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         label = label.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # at most about ``sample`` rows of two numbers
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(label), "id")
-    rows = texts.select("label", "text", "id").mapInArrow(_terms_of, "label int, terms binary").collect()
+    found = stage(texts.select("label", "text", "id").mapInArrow(_terms_of, "label int, terms binary, h long"), "toxic-terms")
+    sizes = sorted((r.h, r.n) for r in found.groupBy("h").agg(F.sum(F.length("terms")).alias("n")).collect())
+    last, held = None, 0
+    for h, n in sizes:
+        held += n
+        if held > sample_bytes:
+            break
+        last = h
+    rows = found.where(F.col("h") <= last).select("label", "terms").collect() if last is not None else []
+    discard(found)
     rows.sort(key=lambda r: (r.label, bytes(r.terms)))  # so that a rerun fits the same machine
     return fit([np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.label for r in rows]), seed)
 
@@ -201,7 +233,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, unchanged."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index(text_col)
+    shared, at = docs.sparkSession.sparkContext.broadcast(machine), [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _scorer(shared.value)

@@ -64,3 +64,9 @@ def test_recall_does_not_depend_on_the_number_of_pivots():
         recall = ((a[:, :, None] == b[:, None, :]).any(2).sum(1) >= pivots.SHARED).mean()
         print(count, nearest, recall)
         assert recall >= 0.995
+
+
+def test_labels_of_any_type_and_extreme_components(spark):
+    rows = [(1, [1e200, 2e200], "a"), (2, [1.0, 2.0], "a"), (3, [1e-200, 2e-200], "a"), (4, [1.0, 2.0], "b"), (5, [1.0, 2.0], None), (6, [float("inf"), 1.0], "a"), (7, [0.0, 0.0], "a"), (8, [-1.0, -2.0], "a")]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False)} | {i: (0, i, True) for i in (4, 5, 6, 7, 8)}

@@ -60,3 +60,23 @@ def test_documents(spark, monkeypatch):
         want.append((i, len(w), sum(trie.tokens[trie.insert("▁" + x)] for x in w)))
     assert got == sorted(want, key=repr)
     assert tokens.token_counts(df.limit(0), path).count() == 0
+
+
+def test_terminals_store_how_often_a_word_came():
+    counts = tokens.Counts(tokens.Trie(SCORES))
+    assert counts.of([["ab", "abc", "ab"], [], ["ab"]]) == [sum(counts.trie.tokens[counts.nodes[w]] for w in ("ab", "abc", "ab")), 0, counts.trie.tokens[counts.nodes["ab"]]]
+    assert counts.trie.occurred[counts.nodes["ab"]] == 3 and counts.trie.occurred[counts.nodes["abc"]] == 1
+
+
+def test_long_words_are_scored_without_nodes():
+    word = "ababc" * 60_000
+    counts = tokens.Counts(tokens.Trie(SCORES))
+    got = counts.of([[word, "ab"]])[0]
+    assert len(counts.trie.score) == 4
+    whole = tokens.Trie(SCORES)
+    assert got == whole.tokens[whole.insert("▁" + word)] + whole.tokens[whole.insert("▁ab")]
+
+
+def test_pieces_of_score_zero_count():
+    trie = tokens.Trie({"▁": -1.0, "a": 0.0, "aa": -5.0})
+    assert trie.tokens[trie.insert("▁aa")] == 3

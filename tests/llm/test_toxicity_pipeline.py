@@ -108,3 +108,58 @@ def test_pipeline(spark, tmp_path):
 def test_terms_ignore_punctuation_at_ends(text):
     for token in text.lower().split():
         assert toxicity.word_terms(token) == toxicity.word_terms(token.strip("!,"))
+
+
+def test_machine_against_plain_formulas():
+    rng = np.random.default_rng(3)
+    n, factors = 9, rng.normal(size=(9, 4))
+    machine = toxicity.Machine(np.arange(n), 0.3, rng.normal(size=n), factors)
+    found = [0, 3, 4, 8]
+    pairs = sum(float(factors[a] @ factors[b]) for i, a in enumerate(found) for b in found[i + 1 :])
+    assert machine.decision(found) == pytest.approx(0.3 + sum(machine.weights[found]) + pairs)
+    assert machine.decision([]) == 0.3
+
+
+def test_pairs_that_only_matter_together_are_learned():
+    rng = np.random.default_rng(5)
+    insult, group, filler = 7, 11, list(range(100, 160))
+    texts, labels = [], []
+    for _ in range(3000):
+        has = rng.random(2) < 0.4
+        # an insult is somewhat more frequent in toxic texts; a group alone is as frequent in both
+        toxic = bool(has.all())
+        terms = {*rng.choice(filler, 8).tolist(), *([insult] if has[0] else []), *([group] if has[1] or (not has[0] and rng.random() < 0.66) else [])}
+        texts.append(np.array(sorted(terms), np.int32))
+        labels.append(int(toxic))
+    machine = toxicity.fit(texts, np.array(labels))
+    at = {int(t): i for i, t in enumerate(machine.terms)}
+    assert insult in at and group in at
+    score = lambda *terms: toxicity._sigmoid(np.array([machine.decision([at[t] for t in terms])]))[0]
+    assert score(insult, group) > 0.7 > 0.3 > max(score(insult), score(group))
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and other words " * 3) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels, sample_bytes=1).bias == toxicity.fit([], np.array([])).bias
+    assert toxicity.train(docs, labels).bias == pytest.approx(0.0, abs=0.5)
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, __pos int, __bucket int, __id string, __key string, __maybe string"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long = " ".join(f"w{i}" for i in range(60_000))
+    tables = [[], [(i, None, None, None, None) for i in range(4)], [(1, "", "en", "a", 0), (2, long, "en", "a", 1), (3, long + " end", "en", None, 1), (4, "Same text", "en", "a", 9), (5, "same text", None, "b", 9), (None, "same text", "x", "b", 9), (7, "x" * 1_000_000, "en", "a", 1)]]
+    for rows in tables:
+        docs = spark.createDataFrame([(*r, 1, 2, "x", "y", "z") for r in rows], schema)
+        for name, function in corpus_pipeline.STAGES:
+            out = function(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert out.columns == docs.columns, name
+                docs = spark.createDataFrame(out.collect(), schema)
+            else:
+                out.collect()
+        if len(rows) == 7:
+            assert {r.doc_id for r in docs.collect()} <= {2, 5, 7}
