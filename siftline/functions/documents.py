@@ -234,14 +234,33 @@ def page_metadata(html: Column) -> Column:
     return F.struct(F.nullif(title, L("")).alias("title"), F.nullif(about, L("")).alias("description"), links.alias("career_links"))
 
 
+# Names that are labels of teams or roles.
+NOT_A_PERSON = r"(?i)^(the |our )?(team|staff|editor(ial)?|admin|guest|contributor|engineering|marketing|content|blog|company|community|newsroom|press|careers?|hr|people|talent)\b"
+LABEL_WORD = r"(?i)(^|\s)(team|staff|editor(ial)?|admin|guest|bot|official|hq|inc|llc|blog|news|press|careers?|hr|marketing|engineering|content|community|labs)(\s|$)"
+NAME_WORDS = r"^[A-Z][A-Za-z'.\-]+(\s+[A-Z][A-Za-z'.\-]+){1,2}$"
+
+
 def author_names(html: Column, most: int = 8) -> Column:
-    """Distinct person names from author metadata and bylines."""
-    raw = F.concat(F.regexp_extract_all(html, L(r"(?is)\"author\"\s*:\s*\{[^}]*?\"name\"\s*:\s*\"([^\"]+)\""), L(1)), F.regexp_extract_all(html, L(r"(?i)<meta[^>]+name=[\"']author[\"'][^>]+content=[\"']([^\"']+)"), L(1)), F.regexp_extract_all(html, L(r"(?i)rel=[\"']author[\"'][^>]*>([^<]+)<"), L(1)))
-    named = F.filter(F.transform(raw, lambda n: F.trim(n)), lambda n: n.rlike(r"^\p{Lu}[\p{L}.'-]+( \p{Lu}[\p{L}.'-]*){1,3}$"))
+    """Distinct person names from author metadata and bylines: two or three capitalised words, 4 to 40 characters, no label of a team."""
+    raw = F.concat(F.regexp_extract_all(html, L(r"(?is)\"author\"\s*:\s*\{[^}]*?\"name\"\s*:\s*\"([^\"]+)\""), L(1)), F.regexp_extract_all(html, L(r"(?i)<meta[^>]+name=[\"']author[\"'][^>]+content=[\"']([^\"]+)"), L(1)), F.regexp_extract_all(html, L(r"(?i)rel=[\"']author[\"'][^>]*>([^<]+)<"), L(1)))
+    named = F.filter(F.transform(raw, lambda n: F.trim(n)), lambda n: F.length(n).between(4, 40) & n.rlike(NAME_WORDS) & ~n.rlike(NOT_A_PERSON) & ~n.rlike(LABEL_WORD))
     lower = F.array_distinct(F.transform(named, lambda n: F.lower(n)))
     return F.slice(F.transform(lower, lambda k: F.get(F.filter(named, lambda n: F.lower(n) == k), 0)), 1, most)
 
 
+def suggested_skills(parsed: Column, confirmed: Column, text: Column) -> Column:
+    """Parsed skills (canonical names) that are not confirmed, case aside, and that the text names."""
+    known = F.transform(confirmed, lambda w: F.lower(w))
+    return F.array_intersect(F.filter(parsed, lambda w: ~F.array_contains(known, F.lower(w))), printed_technologies(text))
+
+
+def copied_forward(rows: DataFrame) -> DataFrame:
+    """Classifications (family, confidence, intensity) fit to be copied: not ambiguous, and confidence does not contradict intensity."""
+    sure = F.col("confidence") >= 0.7
+    conflict = (sure & F.col("intensity").isin("NONE", "INCIDENTAL")) | (~sure & (F.col("intensity") == "PRIMARY"))
+    return rows.where((F.col("family") != "AMBIGUOUS") & ~conflict)
+
+
 def slug_candidates(name: Column) -> Column:
     """Possible account names of an organisation."""
     base = F.trim(F.regexp_replace(F.lower(name), r"[,.]|\b(inc|llc|ltd|limited|corp|technologies|labs|pvt|private)\b", ""))

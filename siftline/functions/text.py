@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 
@@ -135,11 +136,11 @@ def board_root(provider: Column, identifier: Column) -> Column:
 
 # --- HTML and plain text ---------------------------------------------------------------
 
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "))
 
 
 def decode_entities(text: Column) -> Column:
-    """Named entities once; the ampersand last, so that a double-encoded one keeps one layer."""
+    """Named entities; the ampersand first, so that a double-encoded one is decoded whole."""
     for name, ch in ENTITIES:
         text = F.replace(text, L(name), L(ch))
     return text
@@ -218,9 +219,9 @@ def company_tier(name: Column) -> Column:
 
 
 def looks_like_text(text: Column) -> Column:
-    """At least 200 characters, 70 % letters and spaces, five of the commonest words."""
+    """At least 200 characters, 70 % letters and spaces, five occurrences of the commonest words."""
     letters = F.length(text) - F.length(F.regexp_replace(text, r"[A-Za-z\s]", ""))
-    common = F.size(F.array_intersect(F.split(F.lower(text), r"[^a-z]+"), F.array(*map(L, ("the", "and", "of", "to", "in", "with", "for", "a", "on", "as", "is", "by")))))
+    common = F.regexp_count(F.lower(text), L(r"(?<![a-z0-9_])(the|and|of|in|to|with|for|a)(?![a-z0-9_])"))
     return (F.length(text) >= 200) & (letters / F.length(text) >= 0.7) & (common >= 5)
 
 
@@ -235,9 +236,18 @@ def first_match(text: Column, pattern: str) -> Column:
 PHONE = r"\+?\d[\d\s().-]{8,}\d"
 
 
-def json_object(text: Column) -> Column:
-    """First JSON object of a model's reply as text: the reply itself, without fences, or its outermost braces; null if none parses."""
-    bare = F.regexp_replace(text, r"(?is)^\s*```(json)?|```\s*$", "")
-    span = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    tried = [F.when(F.try_parse_json(t).isNotNull() & F.trim(t).startswith("{"), F.trim(t)) for t in (text, bare, span)]
-    return F.coalesce(*tried)
+def _first_object(text: str | None) -> str | None:
+    at = -1 if text is None else text.find("{")
+    while at >= 0:
+        try:
+            return text[at : json.JSONDecoder().raw_decode(text, at)[1]]
+        except ValueError:
+            at = text.find("{", at + 1)
+    return None
+
+
+@F.pandas_udf(StringType())
+def json_object(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """First whole JSON object of a model's reply as text, whatever stands around it; null if there is none."""
+    for s in texts:
+        yield s.map(_first_object)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("siftline.plans.trust", "siftline.plans.reports", "siftline.plans.relational", "siftline.plans.texts", "siftline.plans.scored")
+MODULES = ("siftline.plans.trust", "siftline.plans.reports", "siftline.plans.relational", "siftline.plans.texts", "siftline.plans.scored", "siftline.plans.boards", "siftline.plans.careers")
 
 
 def _merged(attribute: str) -> dict:

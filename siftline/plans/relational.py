@@ -238,10 +238,10 @@ def latest_turn(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-, r as (select doc_id, row_number() over (partition by lang, left(text, 20) order by doc_id) as rn from documents) select doc_id from r where rn = 1""")
+, r as (select doc_id, row_number() over (partition by lang, sha256(text) order by doc_id) as rn from documents) select doc_id from r where rn = 1""")
 def first_in_batch(spark: SparkSession, d: str) -> DataFrame:
     """WIN-2, STR-2: the first occurrence of a key in batch order."""
-    t = table(spark, d, "documents").select("doc_id", "lang", F.left("text", L(20)).alias("head"))
+    t = table(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("head"))
     return keyed.top_per_key(t, ["lang", "head"], ["doc_id"]).select("doc_id")
 
 
@@ -316,12 +316,12 @@ def action_plan(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).unionByName(c).orderBy(F.desc("stars"), "o", "id").limit(7).drop("o")
 
 
-@query("select job_id from jobs where status='ACTIVE' and company_id % 2 = 0 and (posted_at < timestamp '1996-01-01' or (priority='1-URGENT' and posted_at < timestamp '1997-01-01')) order by posted_at asc nulls first, job_id limit 50")
+@query("select job_id from jobs where status='ACTIVE' and (posted_at < timestamp '1996-01-01' or (priority='1-URGENT' and posted_at < timestamp '1997-01-01')) order by posted_at asc nulls first, job_id limit 50")
 def cooldown_due(spark: SparkSession, d: str) -> DataFrame:
     """FLT-10, FLT-11, FLT-18, SRT-4, STR-16: an OR of ANDs, never-processed rows first."""
     t = F.col("posted_at")
     due = (t < C.as_of_lit("1996-01-01 00:00:00")) | ((F.col("priority") == "1-URGENT") & (t < C.as_of_lit("1997-01-01 00:00:00")))
-    return jobs(spark, d).where((F.col("status") == "ACTIVE") & (F.col("company_id") % 2 == 0) & due).orderBy(F.asc_nulls_first("posted_at"), "job_id").limit(50).select("job_id")
+    return jobs(spark, d).where((F.col("status") == "ACTIVE") & due).orderBy(F.asc_nulls_first("posted_at"), "job_id").limit(50).select("job_id")
 
 
 # --- sets over arrays ----------------------------------------------------------------
