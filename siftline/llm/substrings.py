@@ -15,7 +15,8 @@ cover are its context, at most ``2 * length - gram`` of them.
    Where an anchor has different contexts, their bytes are fetched, and a suffix array
    (``suffixes``, linear grouping) over the parts that may hold a common string (``related``)
    groups equal strings and gives each the smallest id.  The contexts of a crowded
-   anchor are resolved batch by batch, and equal strings of all batches are then folded;
+   anchor are parted by what lies beside it (``sides``) first; where a part is still crowded,
+   it is resolved batch by batch and equal strings of all batches are then folded;
 3. a last pass over the texts keeps what is in a known context; the spans that follow are
    merged by document and cut out.
 
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -369,38 +371,83 @@ def _resolve(length: int):
             ok = doc != _NO_DOC
             pieces = [max(raw[lo:hi], key=len) for lo, hi, use in zip(head.tolist(), ends, ok.tolist(), strict=True) if use]
             a, c, doc, left = a[head][ok], c[head][ok], doc[ok], left[ok]
-            rows: list[tuple] = []
-            if len(a):
-                start, end = related(a, left, pieces, length)
-                edges = run_edges(a)
-                some = np.maximum.reduceat(end - start, edges[:-1]) > 0
-                for lo, hi in zip(edges[:-1][some].tolist(), edges[1:][some].tolist(), strict=True):
-                    docs = doc[lo:hi].tolist()
-                    for i, s, ids in _solve(pieces[lo:hi], docs, list(zip(start[lo:hi].tolist(), end[lo:hi].tolist(), strict=True)), length):
-                        if (ids < docs[i]).any():
-                            rows.append((a[lo + i], c[lo + i], docs[i], s, ids.tobytes()))
-            yield _known(rows)
+            yield _known([(a[i], c[i], doc[i], start, ids) for i, start, ids in _answers(a, left, doc, pieces, length)])
+
+    return run
+
+
+def _answers(run: np.ndarray, left: np.ndarray, doc: np.ndarray, contexts: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]:
+    """(row, start, smallest ids) for contexts sorted by run, where an id is smaller than the context's own."""
+    if not len(run):
+        return
+    start, end = related(run, left, contexts, length)
+    edges = run_edges(run)
+    some = np.maximum.reduceat(end - start, edges[:-1]) > 0
+    for lo, hi in zip(edges[:-1][some].tolist(), edges[1:][some].tolist(), strict=True):
+        docs = doc[lo:hi].tolist()
+        for i, s, ids in _solve(contexts[lo:hi], docs, list(zip(start[lo:hi].tolist(), end[lo:hi].tolist(), strict=True)), length):
+            if (ids < docs[i]).any():
+                yield lo + i, s, ids.tobytes()
+
+
+def sides(context: bytes, left: int, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[bytes, int, int]]:
+    """(key, start, end): parts of a context and what all strings in a part have in common.
+
+    A string has at least half of what it holds beside the anchor on one side of it.  So
+    equal strings of an anchor lie in parts with equal keys.
+    """
+    half, last = (length - gram) // 2, len(context) - length
+    if left >= half:
+        yield b"<" + context[left - half : left + gram], 0, min(left - half, last) + length
+    if left - half + 1 <= last:
+        yield b">" + context[left : left + length - half + 1], max(0, left - half + 1), len(context)
+
+
+_PARTS = "run long, anchor long, context long, doc long, start int, left short, bytes binary"
+
+
+def _parted(length: int, gram: int):
+    """Rows of _PARTS: the contexts of crowded anchors in two parts, a run for each anchor and key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, c, doc, left, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                for key, start, end in sides(raw, left, length, gram):
+                    rows.append((xxhash.xxh64_intdigest(key, a & 0xFFFFFFFFFFFFFFFF) - (1 << 63), a, c, doc, start, left - start, raw[start:end]))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary()), strict=True)], names=["run", "anchor", "context", "doc", "start", "left", "bytes"])
+
+    return run
+
+
+def _resolve_parts(length: int):
+    """_KNOWN rows of parts; rows come sorted by run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, a, c, doc, start, left, raw in whole_runs(batches, 7):
+            yield _known([(a[i], c[i], doc[i], int(start[i]) + s, ids) for i, s, ids in _answers(key, left, doc, list(raw), length)])
 
     return run
 
 
 def _strings(length: int):
-    """(anchor, context, doc, start, string, least): the strings of crowded anchors' contexts, the smallest id within the batch."""
+    """(run, anchor, context, doc, start, string, least): the strings of crowded runs' parts, the smallest id within the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, CROWD):
-                a, c, doc, raw = (x.to_pylist() for x in batch.slice(at, CROWD).columns)
-                by_anchor: dict[int, list[int]] = {}
-                for i, x in enumerate(a):
-                    by_anchor.setdefault(x, []).append(i)
+                key, a, c, doc, start, raw = (x.to_pylist() for x in batch.slice(at, CROWD).columns)
+                by_run: dict[int, list[int]] = {}
+                for i, x in enumerate(key):
+                    by_run.setdefault(x, []).append(i)
                 rows = []
-                for anchor, members in by_anchor.items():
+                for k, members in by_run.items():
                     told = smallest_ids([raw[i] for i in members], [doc[i] for i in members], length)
                     for i, ids in zip(members, told, strict=True):
-                        rows += [(anchor, c[i], doc[i], s, raw[i][s : s + length], least) for s, least in enumerate(ids.tolist())]
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["anchor", "context", "doc", "start", "string", "least"])
+                        rows += [(k, a[i], c[i], doc[i], start[i] + s, raw[i][s : s + length], least) for s, least in enumerate(ids.tolist())]
+                columns = list(zip(*rows, strict=True)) or [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["run", "anchor", "context", "doc", "start", "string", "least"])
 
     return run
 
@@ -472,10 +519,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = told.unionAll((pieces.join(crowd.select("anchor").distinct(), "anchor", "left_anti") if some else pieces).select("anchor", "context", F.lit(_NO_DOC).alias("doc"), "left", "bytes"))
     solved = rows.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(_resolve(length), _KNOWN)
     if some:
-        crowded = pieces.groupBy("anchor", "context").agg(F.first("bytes").alias("bytes")).join(crowd, ["anchor", "context"])
-        strings = stage(crowded.select("anchor", "context", "doc", "bytes").mapInArrow(_strings(length), "anchor long, context long, doc long, start int, string binary, least long"), "context-strings")
-        least = strings.groupBy("anchor", "string").agg(F.min("least").alias("smallest"))
-        found = strings.join(least, ["anchor", "string"]).where("smallest < doc")
+        held = pieces.groupBy("anchor", "context").agg(F.first("left").alias("left"), F.first("bytes").alias("bytes")).join(crowd, ["anchor", "context"])
+        parts = stage(held.select("anchor", "context", "doc", "left", "bytes").mapInArrow(_parted(length, gram), _PARTS), "context-parts")
+        sizes = parts.groupBy("run").count()
+        small = parts.join(sizes.where((F.col("count") > 1) & (F.col("count") < CROWD)).select("run"), "run", "left_semi")
+        solved = solved.unionAll(small.repartition("run").sortWithinPartitions("run").mapInArrow(_resolve_parts(length), _KNOWN))
+        large = parts.join(sizes.where(F.col("count") >= CROWD).select("run"), "run", "left_semi")
+        strings = stage(large.select("run", "anchor", "context", "doc", "start", "bytes").mapInArrow(_strings(length), "run long, anchor long, context long, doc long, start int, string binary, least long"), "context-strings")
+        least = strings.groupBy("run", "string").agg(F.min("least").alias("smallest"))
+        found = strings.join(least, ["run", "string"]).where("smallest < doc")
         solved = solved.unionAll(found.select("anchor", "context", F.col("doc").alias("least"), "start", _little_endian(F.col("smallest")).alias("ids")))
     equal = shared.where("several").select("anchor", "context", F.col("doc").alias("least"), F.lit(0).alias("start"), F.lit(None).cast("binary").alias("ids"))
     known = stage(solved.unionAll(equal), "anchor-ids")
@@ -483,7 +535,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hit = seen.select("anchor", "context", "doc", "tag", "first", "width").join(known.hint("merge"), ["anchor", "context"]).select("doc", "tag", "first", "width", "least", "start", "ids")
     spans = hit.mapInArrow(_spans(length), "doc long, tag int, start long, end long")
     spans = stage(spans.repartition("doc", "tag").sortWithinPartitions("doc", "tag", "start").mapInArrow(_merge, "doc long, tag int, spans binary"), "spans")
-    discard(shared, known, *([pieces, strings] if some else []))
+    discard(shared, known, *([pieces, parts, strings] if some else []))
     return spans
 
 
