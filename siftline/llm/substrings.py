@@ -511,15 +511,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return spark.sparkContext.broadcast(_bits(rows.select("anchor", "context").mapInArrow(_positions(bits), "pos long"), F.col("pos"), bits))
 
     pieces = texts.mapInArrow(_occurrences(table(opened), bits, length, gram, True), "anchor long, context long, left short, bytes binary")
-    crowd = opened.where(F.col("others") >= CROWD)
-    told = opened.where(F.col("others") < CROWD).select("anchor", "context", "doc", F.lit(0).cast("short").alias("left"), F.lit(b"").alias("bytes"))
+    crowd = opened.where(F.col("others") >= CROWD).select("anchor")
     some = not crowd.isEmpty()
+    told, met = opened, pieces
     if some:
+        # contexts and bytes part alike by a bitmap, without a shuffle; anchors that it lets through by chance do no harm
         pieces = stage(pieces, "contexts")
-    rows = told.unionAll((pieces.join(crowd.select("anchor").distinct(), "anchor", "left_anti") if some else pieces).select("anchor", "context", F.lit(_NO_DOC).alias("doc"), "left", "bytes"))
+        marks = bitmap(crowd, F.xxhash64("anchor"))
+        (told, told_crowd), (met, met_crowd) = (tuple(with_maybe(x, F.xxhash64("anchor"), marks).where(w).drop("__maybe") for w in ("not __maybe", "__maybe")) for x in (opened, pieces))
+    told = told.select("anchor", "context", "doc", F.lit(0).cast("short").alias("left"), F.lit(b"").alias("bytes"))
+    rows = told.unionAll(met.select("anchor", "context", F.lit(_NO_DOC).alias("doc"), "left", "bytes"))
     solved = rows.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(_resolve(length), _KNOWN)
     if some:
-        held = pieces.groupBy("anchor", "context").agg(F.first("left").alias("left"), F.first("bytes").alias("bytes")).join(crowd, ["anchor", "context"])
+        held = met_crowd.groupBy("anchor", "context").agg(F.first("left").alias("left"), F.first("bytes").alias("bytes")).join(told_crowd, ["anchor", "context"])
         parts = stage(held.select("anchor", "context", "doc", "left", "bytes").mapInArrow(_parted(length, gram), _PARTS), "context-parts")
         sizes = parts.groupBy("run").count()
         small = parts.join(sizes.where((F.col("count") > 1) & (F.col("count") < CROWD)).select("run"), "run", "left_semi")
