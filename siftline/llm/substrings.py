@@ -226,12 +226,23 @@ def _key_of(*columns: np.ndarray) -> np.ndarray:
 
 
 def _positions(bits: int):
-    """pos: the place of (anchor, context) in the bitmap."""
+    """pos: the place in the bitmap of what all columns hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(_position(_key_of(a, c), bits))], names=["pos"])
+            key = _key_of(*(c.to_numpy(zero_copy_only=False) for c in b.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(_position(key, bits))], names=["pos"])
+
+    return run
+
+
+def _among(table: Broadcast, bits: int, wanted: bool):
+    """Rows whose first column may be (or, if not ``wanted``, is not) in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = _has(table.value, _position(_key_of(b.column(0).to_numpy(zero_copy_only=False)), bits))
+            yield b.filter(pa.array(hit == wanted))
 
     return run
 
@@ -508,17 +519,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     opened = shared.where("others > 0").select("anchor", "context", "doc", "others")
 
     def table(rows: DataFrame) -> Broadcast:
-        return spark.sparkContext.broadcast(_bits(rows.select("anchor", "context").mapInArrow(_positions(bits), "pos long"), F.col("pos"), bits))
+        return spark.sparkContext.broadcast(_bits(rows.mapInArrow(_positions(bits), "pos long"), F.col("pos"), bits))
 
-    pieces = texts.mapInArrow(_occurrences(table(opened), bits, length, gram, True), "anchor long, context long, left short, bytes binary")
+    pieces = texts.mapInArrow(_occurrences(table(opened.select("anchor", "context")), bits, length, gram, True), "anchor long, context long, left short, bytes binary")
     crowd = opened.where(F.col("others") >= CROWD).select("anchor")
     some = not crowd.isEmpty()
     told, met = opened, pieces
     if some:
         # contexts and bytes part alike by a bitmap, without a shuffle; anchors that it lets through by chance do no harm
         pieces = stage(pieces, "contexts")
-        marks = bitmap(crowd, F.xxhash64("anchor"))
-        (told, told_crowd), (met, met_crowd) = (tuple(with_maybe(x, F.xxhash64("anchor"), marks).where(w).drop("__maybe") for w in ("not __maybe", "__maybe")) for x in (opened, pieces))
+        marks = table(crowd)
+        (told, told_crowd), (met, met_crowd) = (tuple(x.mapInArrow(_among(marks, bits, w), x.schema) for w in (False, True)) for x in (opened, pieces))
     told = told.select("anchor", "context", "doc", F.lit(0).cast("short").alias("left"), F.lit(b"").alias("bytes"))
     rows = told.unionAll(met.select("anchor", "context", F.lit(_NO_DOC).alias("doc"), "left", "bytes"))
     solved = rows.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(_resolve(length), _KNOWN)
@@ -535,7 +546,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         solved = solved.unionAll(found.select("anchor", "context", F.col("doc").alias("least"), "start", _little_endian(F.col("smallest")).alias("ids")))
     equal = shared.where("several").select("anchor", "context", F.col("doc").alias("least"), F.lit(0).alias("start"), F.lit(None).cast("binary").alias("ids"))
     known = stage(solved.unionAll(equal), "anchor-ids")
-    seen = texts.mapInArrow(_occurrences(table(known), bits, length, gram, False), _SEEN)
+    seen = texts.mapInArrow(_occurrences(table(known.select("anchor", "context")), bits, length, gram, False), _SEEN)
     hit = seen.select("anchor", "context", "doc", "tag", "first", "width").join(known.hint("merge"), ["anchor", "context"]).select("doc", "tag", "first", "width", "least", "start", "ids")
     spans = hit.mapInArrow(_spans(length), "doc long, tag int, start long, end long")
     spans = stage(spans.repartition("doc", "tag").sortWithinPartitions("doc", "tag", "start").mapInArrow(_merge, "doc long, tag int, spans binary"), "spans")
