@@ -92,15 +92,28 @@ class Trie:
 
     def insert(self, word: str) -> int:
         """The node of ``word``; its prefixes are scored where they are new."""
-        node, path, children = 0, [0], self.children
+        # the loop of _best, written out: this is where the time goes
+        node, path, children, score, tokens, ending, absent = 0, [0], self.children, self.score, self.tokens, self.endings.get, _ABSENT
         for end, ch in enumerate(word, 1):
             key = node * 0x110000 + ord(ch)
             child = children.get(key)
             if child is None:
-                best, fewest = self._best(word, end, self.score, self.tokens, path)
-                child = children[key] = len(self.score)
-                self.score.append(best)
-                self.tokens.append(fewest)
+                child = children[key] = len(score)
+                best, fewest = score[node] + self.unknown, tokens[node] + len(ch.encode("utf-8", "surrogatepass"))
+                for start in range(end - 1, -1, -1):
+                    piece = ending(word[start:end], absent)
+                    if piece is None:
+                        continue
+                    if piece is absent:
+                        break
+                    above = path[start]
+                    s = score[above] + piece
+                    if s >= best:
+                        t = tokens[above] + 1
+                        if s > best or t < fewest:
+                            best, fewest = s, t
+                score.append(best)
+                tokens.append(fewest)
                 self.occurred.append(0)
             path.append(child)
             node = child
