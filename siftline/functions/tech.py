@@ -76,20 +76,24 @@ def canonical_table(skills: DataFrame) -> DataFrame:
     return skills.select("raw").distinct().withColumn("tech", canonical(F.col("raw"))).where("tech is not null")
 
 
+def _asked(df: DataFrame, id_col: str, wanted_col: str, mine: tuple[str, ...]) -> DataFrame:
+    """id, pos, raw, tech, kind of the known skills of each row, distinct by spelling."""
+    asked = df.select(id_col, F.posexplode(F.array_distinct(wanted_col)).alias("pos", "raw"))
+    reach = tuple(k for k, v in TRANSFERABLE.items() if set(v) & set(mine))
+    tech = F.col("tech")
+    return asked.join(canonical_table(asked), "raw").withColumn("kind", F.when(tech.isin(*mine), "strong").when(tech.isin(*reach), "transferable").otherwise("missing"))
+
+
 def specialization(df: DataFrame, id_col: str, wanted_col: str, mine: tuple[str, ...]) -> DataFrame:
     """id, fit, strong, transferable, missing, off_path of each row's array of skills against canonical tokens ``mine``.
 
     Skills are distinct by spelling; unknown ones do not count; fit is null if none is
     known.  off_path is the first discipline, in order, that is asked for and not in ``mine``.
     """
-    asked = df.select(id_col, F.posexplode(F.array_distinct(wanted_col)).alias("pos", "raw"))
-    known = asked.join(canonical_table(asked), "raw")
-    reach = tuple(k for k, v in TRANSFERABLE.items() if set(v) & set(mine))
-    tech = F.col("tech")
-    kind = F.when(tech.isin(*mine), "strong").when(tech.isin(*reach), "transferable").otherwise("missing")
+    known, tech = _asked(df, id_col, wanted_col, mine), F.col("tech")
     order = F.when(~tech.isin(*mine), F.try_element_at(_map({k: n for n, k in enumerate(DISCIPLINES)}), tech))
     listed = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "raw")))), lambda s: s["raw"]).alias(k)
-    per = known.withColumn("kind", kind).withColumn("order", order).groupBy(id_col).agg(F.count(L(1)).alias("n"), *[listed(k) for k in ("strong", "transferable", "missing")], F.min("order").alias("order"))
+    per = known.withColumn("order", order).groupBy(id_col).agg(F.count(L(1)).alias("n"), *[listed(k) for k in ("strong", "transferable", "missing")], F.min("order").alias("order"))
     none = F.array().cast("array<string>")
     out = df.select(id_col).join(per, id_col, "left")
     fit = js_round((F.size("strong") + 0.5 * F.size("transferable")) / F.col("n") * 100)
@@ -101,13 +105,27 @@ def names_foreign_discipline(wanted: Column) -> Column:
     return F.arrays_overlap(canonical_all(wanted), F.array(*map(L, MARKERS)))
 
 
-def what_if(fitted: DataFrame, id_col: str, most: int = 5) -> DataFrame:
-    """id, what_if: array<struct<gain, skill>> of missing skills by what each would add to the fit, gains above 0.
+def what_if(df: DataFrame, id_col: str, wanted_col: str, mine: tuple[str, ...], most: int = 5) -> DataFrame:
+    """id, what_if: array<struct<gain, skill>>: what each skill not in ``mine`` would add to the fit, gains above 0.
 
-    ``fitted`` is the output of ``specialization``.
+    The fit is taken anew with each skill: other spellings of it become strong too, and
+    missing skills that it prepares for become transferable.  Largest gains first; of equal
+    ones missing skills before transferable ones, each in the order asked for.
     """
-    n = F.size("strong") + F.size("transferable") + F.size("missing")
-    after = js_round(F.try_divide(F.size("strong") + 1 + 0.5 * F.size("transferable"), n.cast("double")) * 100)
-    gain = after - F.col("fit")
-    skills = F.transform(F.slice(F.array_sort("missing"), 1, most), lambda s: F.struct(gain.alias("gain"), s.alias("skill")))
-    return fitted.select(id_col, F.when(gain > 0, skills).otherwise(F.slice(skills, 1, 0)).alias("what_if"))
+    prepares = F.create_map(*[x for k, v in TRANSFERABLE.items() for x in (L(k), F.array(*map(L, v)))])
+    rows = _asked(df, id_col, wanted_col, mine).withColumn("near", F.coalesce(F.try_element_at(prepares, F.col("tech")), F.array().cast("array<string>")))
+    rank = F.when(F.col("kind") == "missing", 0).otherwise(1).alias("rank")
+    per = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(rank, "pos", "raw", "tech", "kind", "near"))).alias("all"))
+
+    def fit(strong, transferable):
+        count = lambda of: F.size(F.filter("all", of))
+        return js_round((count(strong) + 0.5 * count(lambda s: ~strong(s) & transferable(s))) / F.size("all") * 100)
+
+    has = lambda s: s["kind"] == "strong"
+    half = lambda s: s["kind"] == "transferable"
+    per = per.withColumn("now", fit(has, half))
+    lost = lambda c: F.col("now") - fit(lambda s: has(s) | (s["tech"] == c["tech"]), lambda s: half(s) | F.array_contains(s["near"], c["tech"]))
+    told = F.transform(F.filter("all", lambda c: ~has(c)), lambda c, at: F.struct(lost(c).alias("lost"), at.alias("at"), c["raw"].alias("skill")))
+    best = F.slice(F.array_sort(F.filter(told, lambda x: x["lost"] < 0)), 1, most)
+    gains = F.transform(best, lambda x: F.struct((-x["lost"]).alias("gain"), x["skill"].alias("skill")))
+    return df.select(id_col).join(per.select(id_col, gains.alias("what_if")), id_col, "left").withColumn("what_if", F.coalesce("what_if", F.array().cast("array<struct<gain:bigint,skill:string>>")))

@@ -176,3 +176,18 @@ def specialization_fit(spark: SparkSession, d: str) -> DataFrame:
     wanted = F.array("p_type", F.element_at(F.split("p_name", " "), 2), F.when(s % 3 == 0, "React.js").otherwise("MySQL"), F.when(s % 5 == 0, "go to market").otherwise("PostgreSQL"), L("node js"), F.when(s % 2 == 0, "Rust").otherwise("GraphQL"))
     t = T.specialization(table(spark, d, "part").select("p_partkey", wanted.alias("wanted")), "p_partkey", "wanted", ("react", "node", "rest"))
     return t.select("p_partkey", F.size("strong").cast("long").alias("strong"), F.size("transferable").cast("long").alias("transferable"), "fit", "off_path")
+
+
+@query(r"""
+with v as (select * from (values (0,'React.js',null,2.5,2.5),(1,'Next.js',null,2.0,2.0),(2,'TypeScript',null,2.0,2.0),(3,'JavaScript',1,2.5,2.5),(3,'GraphQL',0,2.0,2.0),(5,'REST API',null,2.0,2.5),(6,'Kafka',null,2.0,2.0)) t(pos, skill, parity, odd, even)),
+k as (select p_partkey, p_size, case when p_size % 3 = 0 then 6 else 7 end as n from part),
+g as (select p_partkey, skill, pos, cast(floor((case when p_size % 2 = 1 then odd else even end)::double/n*100+0.5) - floor(1.0::double/n*100+0.5) as bigint) as gain
+  from k join v on (parity is null or parity = p_size % 2) and (skill <> 'REST API' or p_size % 3 <> 0)),
+r as (select *, row_number() over (partition by p_partkey order by gain desc, pos) as place from g)
+select p_partkey, cast(place as int) as place, skill, gain from r where place <= 5""")
+def skill_gains(spark: SparkSession, d: str) -> DataFrame:
+    """SCO-28 for a person who knows rust: the five skills that would raise the fit most."""
+    s = F.col("p_size")
+    wanted = F.array(*map(L, ("React.js", "Next.js", "TypeScript")), F.when(s % 2 == 1, "JavaScript").otherwise("GraphQL"), L("Rust"), F.when(s % 3 == 0, "go to market").otherwise("REST API"), L("Kafka"))
+    t = T.what_if(table(spark, d, "part").select("p_partkey", wanted.alias("wanted")), "p_partkey", "wanted", ("rust",))
+    return t.select("p_partkey", F.posexplode("what_if").alias("at", "x")).select("p_partkey", (F.col("at") + 1).alias("place"), "x.skill", "x.gain")

@@ -2,7 +2,8 @@
 
 State lives in versioned Parquet tables: a batch reads the version its predecessor wrote and
 writes its own, named by the batch id.  A batch that is replayed after a failure reads and
-writes the same versions again, so replays change nothing.
+writes the same versions again, so replays change nothing.  Only the last batch can be
+replayed, so versions older than the one it read are removed.
 """
 
 from __future__ import annotations
@@ -26,10 +27,13 @@ class VersionedTable:
         self.spark, self.path = spark, path.rstrip("/")
         self.schema = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
 
-    def _versions(self) -> list[int]:
+    def _folder(self) -> tuple:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(conf)
+        return jvm, folder, folder.getFileSystem(conf)
+
+    def _versions(self) -> list[int]:
+        jvm, folder, fs = self._folder()
         if not fs.exists(folder):
             return []
         done = [str(s.getPath().getName()) for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
@@ -44,6 +48,9 @@ class VersionedTable:
 
     def write(self, version: int, df: DataFrame) -> None:
         df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        jvm, folder, fs = self._folder()
+        for old in [v for v in self._versions() if v < version][:-1]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(folder, f"v={old}"), True)
 
 
 def ingest_stream(postings: DataFrame, state: VersionedTable, checkpoint: str, *, full_snapshot: bool, on_new: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

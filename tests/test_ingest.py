@@ -68,6 +68,11 @@ def test_stream_and_replay(spark, tmp_path):
     batch = spark.createDataFrame([("c", "1", "f1", "t", "lever", 0), ("c", "3", "f3", "t", "lever", 1)], POSTS)
     table.write(1, ingest.apply_batch(table.before(1), batch, F.lit(dt.datetime(2026, 1, 2)), full_snapshot=True))
     assert shown(table.latest()) == first
+    # a third batch needs the second one's version alone
+    feed("3", [("c", "1", "f1", "t", "lever", 0)], 3)
+    run("cp")
+    assert table._versions() == [1, 2]
+    assert [x[2] for x in shown(table.latest())] == ["ACTIVE", "REMOVED", "REMOVED"]
 
 
 def test_quarantine_and_windows(spark):

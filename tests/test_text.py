@@ -92,8 +92,12 @@ def test_specialization(spark):
     got = {r.id: r for r in T.specialization(df, "id", "w", ("react", "mysql")).collect()}
     assert (got[1].fit, got[1].strong, got[1].transferable, got[1].missing, got[1].off_path) == (50, ["React.js"], ["PostgreSQL"], ["Rust"], "rust")
     assert got[2].fit is None and got[3].missing == []
-    gains = {r.id: r.what_if for r in T.what_if(T.specialization(df, "id", "w", ("react", "mysql")), "id").collect()}
-    assert [(g.gain, g.skill) for g in gains[1]] == [(33, "Rust")]
+    gains = {r.id: r.what_if for r in T.what_if(df, "id", "w", ("react", "mysql")).collect()}
+    # half of what PostgreSQL would give is there already
+    assert [(g.gain, g.skill) for g in gains[1]] == [(33, "Rust"), (17, "PostgreSQL")]
+    assert gains[2] == gains[3] == []
+    df = spark.createDataFrame([(1, ["TypeScript", "JS", "JavaScript", "Rust"])], "id long, w array<string>")
+    assert [(g.gain, g.skill) for g in T.what_if(df, "id", "w", ("go",)).first().what_if] == [(63, "JS"), (63, "JavaScript"), (25, "TypeScript"), (25, "Rust")]
 
 
 def test_tier(value):
