@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 Every tree gives a vector a long hash string: DEPTH symbols, each naming the coordinate of
-largest magnitude, and its sign, among GROUP seeded random directions (a cross-polytope
-symbol of 5 bits).  Similar vectors agree in longer prefixes.  A tree is the sorted array of
+largest magnitude, and its sign, among GROUP directions of seeded random rotations (a
+cross-polytope symbol of 7 bits).  Similar vectors agree in longer prefixes.  A tree is the sorted array of
 its strings.  A query descends by binary search to the longest matching prefix of each tree;
 then all trees ascend together, one bit at a time, until the subtrees they stand on hold
 enough different candidates, and those are compared by cosine in double precision.
@@ -11,7 +11,7 @@ Rows are folded to distinct vectors (each keeps its k + 1 smallest ids, so that
 repeated a million times is one entry and loses no answer), and dealt by hash into blocks of
 at most BLOCK vectors.  A task holds the forest of one block; queries, a bounded share of the
 rows, go to every block and are streamed through it.  Nothing is broadcast or collected but
-counts.  There is no sample: random directions need no fit.
+counts.  There is no sample: random rotations need no fit.
 
 Candidates: CANDIDATES * n^0.75 of n vectors, shared out evenly over the blocks.  That is set
 by the hardest case, independent random vectors, whose nearest neighbours are hardly nearer
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from siftline.llm.scratch import stage
 
-TREES, DEPTH, GROUP, SEED, CANDIDATES = 64, 6, 16, 42, 3
+TREES, DEPTH, GROUP, SEED, CANDIDATES = 64, 4, 64, 42, 2.5
 BLOCK = 1 << 18
-_SYMBOL_BITS = 5
+_SYMBOL_BITS = 7
 BITS = DEPTH * _SYMBOL_BITS
 
 
@@ -49,7 +49,11 @@ def candidates_of(n: int, blocks: int) -> int:
 
 
 def directions(tree: int, dim: int, seed: int = SEED) -> np.ndarray:
-    return np.random.default_rng([seed, tree, dim]).normal(size=(dim, DEPTH * GROUP)).astype(np.float32)
+    """DEPTH * GROUP columns of as many random rotations of a tree as that takes."""
+    rng, out, n = np.random.default_rng([seed, tree, dim]), [], DEPTH * GROUP
+    for _ in range(0, n, dim):
+        out.append(np.linalg.qr(rng.normal(size=(dim, dim)))[0])
+    return np.concatenate(out, axis=1)[:, :n].astype(np.float32)
 
 
 def strings(unit: np.ndarray, across: np.ndarray) -> np.ndarray:
