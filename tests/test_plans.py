@@ -21,8 +21,8 @@ def test_top_k_is_one_operator(spark, name):
     assert "TakeOrderedAndProject" in plan(spark, name)
 
 
-#: A scan of replies for whole JSON objects and the spellings of technologies in a text run in Arrow batches.
-IN_PYTHON = {"model_replies", "suggested_skills"}
+#: A scan of replies for whole JSON objects, automata over texts and the postings of an index run in Arrow batches.
+IN_PYTHON = {"model_replies", "suggested_skills", "document_search", "page_search", "phrase_hits", "keyword_audit"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - IN_PYTHON))
