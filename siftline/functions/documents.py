@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from siftline.functions import tech
 from siftline.functions.common import js_round
+from siftline.operators import phrases
 
 L = F.lit
 
@@ -95,20 +95,15 @@ def quality_gate(master: Column, tailored: Column, html: Column) -> Column:
 # --- keywords (SCO-27, TXT-12..14, SET-3, SET-4) ---------------------------------------
 
 
+_SPELLINGS = sorted(tech.ALIASES, key=lambda a: -len(a))
+_AUTOMATON = phrases.automaton(_SPELLINGS)
+
+
 def _consumed(text: str | None) -> list[str]:
-    """Canonical technologies printed in a text; longer spellings are taken out before shorter ones are sought."""
-    found, rest = set(), text or ""
-    for alias in sorted(tech._CANON, key=lambda a: -len(a)):
-        if alias not in rest.lower():
-            continue
-        pattern = re.compile(f"(?<![{WORD}]){re.escape(alias)}(?![{WORD}])", re.IGNORECASE)
-        plain_only = alias in tech.AMBIGUOUS
-        hits = [m for m in pattern.finditer(rest) if not (plain_only and m.group() == m.group().lower())]
-        for m in hits:
-            rest = rest[: m.start()] + " " * len(m.group()) + rest[m.end() :]
-        if hits:
-            found.add(tech._CANON[alias])
-    return sorted(found)
+    """Canonical technologies printed in a text; longer spellings take their place before shorter ones are sought."""
+    text = text or ""
+    hits = [h for h in phrases.whole_hits(_AUTOMATON, _SPELLINGS, phrases.lower_in_place(text)) if _SPELLINGS[h[0]] not in tech.AMBIGUOUS or text[h[1] : h[2]] != text[h[1] : h[2]].lower()]
+    return sorted({tech.ALIASES[_SPELLINGS[n]] for n, _, _ in phrases.longest_first(hits, range(len(_SPELLINGS)))})
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -126,25 +121,28 @@ def dedupe_keywords(words: Column) -> Column:
 
 
 def keyword_audit(df: DataFrame, id_col: str, required: str, preferred: str, text: str, skills: str) -> DataFrame:
-    """id, list, pos, keyword, status: PRESENT, ACCEPTED_VARIANT, ADD_EXACT or MISSING for each keyword.
+    """id, list, pos, keyword, status, your_term: PRESENT, ACCEPTED_VARIANT, ADD_EXACT or MISSING for each keyword.
 
-    Keywords are rows, so the lookups are joins on distinct spellings.
+    Keywords are rows: their spellings are looked up by joins, and all of them are sought in
+    the texts by one automaton.  your_term is the person's own first spelling of a variant.
     """
-    base = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), printed_technologies(F.col(text)).alias("printed"), F.col(skills).alias("skills"), dedupe_keywords(F.col(required)).alias("req"), dedupe_keywords(F.col(preferred)).alias("pref"))
+    base = df.select(F.col(id_col).alias("id"), F.col(skills).alias("skills"), dedupe_keywords(F.col(required)).alias("req"), dedupe_keywords(F.col(preferred)).alias("pref"))
     req_lower = F.transform("req", lambda w: F.lower(w))
     base = base.withColumn("pref", F.filter("pref", lambda w: ~F.array_contains(req_lower, F.lower(w))))
     asked = base.select("id", L("required").alias("list"), F.posexplode("req").alias("pos", "keyword")).unionAll(base.select("id", L("preferred").alias("list"), F.posexplode("pref").alias("pos", "keyword")))
+    asked = asked.withColumn("phrase", F.lower("keyword"))
     mine = base.select("id", F.posexplode("skills").alias("p", "raw"))
-    spellings = asked.select(F.col("keyword").alias("raw")).unionAll(mine.select("raw"))
-    table = tech.canonical_table(spellings)
+    table = tech.canonical_table(asked.select(F.col("keyword").alias("raw")).unionAll(mine.select("raw")))
     own = mine.join(table, "raw").groupBy("id", "tech").agg(F.min_by("raw", "p").alias("term"))
-    rows = asked.join(table.withColumnRenamed("raw", "keyword"), "keyword", "left").join(base.select("id", "text", "printed"), "id").join(own, ["id", "tech"], "left")
-    escaped = F.regexp_replace("keyword", r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    literal = F.rlike("text", F.concat(L(f"(?i)(^|[^{WORD}])"), escaped, L(f"([^{WORD}]|$)")))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    literal = phrases.whole_phrases(texts, asked, "phrase").withColumn("literal", L(True))
+    printed = texts.select("id", F.explode(printed_technologies("text")).alias("tech")).withColumn("printed", L(True))
+    rows = asked.join(table.withColumnRenamed("raw", "keyword"), "keyword", "left").join(literal, ["id", "phrase"], "left").join(printed, ["id", "tech"], "left").join(own, ["id", "tech"], "left")
     a, b = (F.regexp_replace(F.lower(x), "[^a-z0-9]", "") for x in ("keyword", "term"))
     trivial = F.coalesce((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a)), L(False))
-    status = F.when(literal, "PRESENT").when(F.array_contains("printed", F.col("tech")), F.when(trivial, "ACCEPTED_VARIANT").otherwise("ADD_EXACT")).otherwise("MISSING")
-    return rows.select("id", "list", "pos", "keyword", status.alias("status"))
+    status = F.when(F.col("literal"), "PRESENT").when(F.col("printed"), F.when(trivial, "ACCEPTED_VARIANT").otherwise("ADD_EXACT")).otherwise("MISSING")
+    rows = rows.withColumn("status", status)
+    return rows.select("id", "list", "pos", "keyword", "status", F.when(F.col("status").isin("ACCEPTED_VARIANT", "ADD_EXACT"), F.col("term")).alias("your_term"))
 
 
 def required_match(audit: DataFrame) -> DataFrame:

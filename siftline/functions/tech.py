@@ -9,24 +9,24 @@ from siftline.functions.common import js_round
 
 L = F.lit
 
-# Canonical token -> its spellings.
-ALIASES: dict[str, tuple[str, ...]] = {
-    "javascript": ("js", "javascript", "java script", "ecmascript", "es6", "es6+", "es2015"), "typescript": ("ts", "typescript"),
-    "node": ("node", "nodejs", "node.js", "node js"), "express": ("express", "expressjs", "express.js", "express js"),
-    "react": ("react", "reactjs", "react.js", "react js"), "react-native": ("react native", "react-native", "reactnative"), "nextjs": ("nextjs", "next.js"),
-    "java": ("java", "core java", "j2ee", "spring", "spring boot", "hibernate"), "kotlin": ("kotlin",), "swift": ("swift",),
-    "c": ("c",), "cpp": ("c++", "cpp"), "csharp": ("c#", "csharp"), "dotnet": (".net", "dotnet", "asp.net"), "go": ("go", "golang"), "rust": ("rust",), "scala": ("scala",),
-    "python": ("python", "django", "flask", "fastapi"), "php": ("php",), "ruby": ("ruby", "rails"),
-    "sql": ("sql",), "mysql": ("mysql",), "postgres": ("postgres", "postgresql"), "mongodb": ("mongodb", "mongo"), "redis": ("redis",), "cassandra": ("cassandra",),
-    "elasticsearch": ("elasticsearch",), "aerospike": ("aerospike",), "dynamodb": ("dynamodb",),
-    "html": ("html", "html5"), "css": ("css", "css3", "sass"), "rest": ("rest", "rest api", "rest apis", "restful api", "restful apis", "api", "apis"),
-    "graphql": ("graphql",), "socketio": ("socket.io", "socketio", "websockets"), "jwt": ("jwt",), "oauth": ("oauth", "oauth 2.0"),
-    "aws": ("aws", "ec2"), "azure": ("azure",), "gcp": ("gcp", "google cloud"), "docker": ("docker",), "kubernetes": ("kubernetes", "k8s"),
-    "nginx": ("nginx",), "pm2": ("pm2",), "terraform": ("terraform",), "jenkins": ("jenkins",), "git": ("git",), "linux": ("linux",),
-    "android": ("android", "gradle"), "ios": ("ios", "xcode"), "flutter": ("flutter",),
-    "llm": ("llm", "llms", "openai", "anthropic", "langchain", "crewai", "prompt engineering"), "ml": ("pytorch", "tensorflow", "machine learning"),
-    "kafka": ("kafka",), "spark": ("spark",), "hadoop": ("hadoop",), "airflow": ("airflow",), "dbt": ("dbt",), "powerbi": ("power bi", "powerbi"), "tableau": ("tableau",),
-    "sap": ("sap",), "salesforce": ("salesforce",),
+# Spelling -> canonical token.
+ALIASES: dict[str, str] = {
+    "js": "javascript", "javascript": "javascript", "java script": "javascript", "ecmascript": "javascript", "es6": "javascript", "es6+": "javascript",
+    "es2015": "javascript", "ts": "typescript", "typescript": "typescript", "node": "node", "nodejs": "node", "node.js": "node", "node js": "node", "express": "express",
+    "expressjs": "express", "express.js": "express", "express js": "express", "react": "react", "reactjs": "react", "react.js": "react", "react js": "react",
+    "react native": "react-native", "react-native": "react-native", "reactnative": "react-native", "nextjs": "nextjs", "next.js": "nextjs", "java": "java",
+    "core java": "java", "j2ee": "java", "spring": "java", "spring boot": "java", "hibernate": "java", "kotlin": "kotlin", "swift": "swift", "c": "c", "c++": "cpp",
+    "cpp": "cpp", "c#": "csharp", "csharp": "csharp", ".net": "dotnet", "dotnet": "dotnet", "asp.net": "dotnet", "go": "go", "golang": "go", "rust": "rust",
+    "scala": "scala", "python": "python", "django": "python", "flask": "python", "fastapi": "python", "php": "php", "ruby": "ruby", "rails": "ruby", "sql": "sql",
+    "mysql": "mysql", "postgres": "postgres", "postgresql": "postgres", "mongodb": "mongodb", "mongo": "mongodb", "redis": "redis", "cassandra": "cassandra",
+    "elasticsearch": "elasticsearch", "aerospike": "aerospike", "dynamodb": "dynamodb", "html": "html", "html5": "html", "css": "css", "css3": "css", "sass": "css",
+    "rest": "rest", "rest api": "rest", "rest apis": "rest", "restful api": "rest", "restful apis": "rest", "api": "rest", "apis": "rest", "graphql": "graphql",
+    "socket.io": "socketio", "socketio": "socketio", "websockets": "socketio", "jwt": "jwt", "oauth": "oauth", "oauth 2.0": "oauth", "aws": "aws", "ec2": "aws",
+    "azure": "azure", "gcp": "gcp", "google cloud": "gcp", "docker": "docker", "kubernetes": "kubernetes", "k8s": "kubernetes", "nginx": "nginx", "pm2": "pm2",
+    "terraform": "terraform", "jenkins": "jenkins", "git": "git", "linux": "linux", "android": "android", "gradle": "android", "ios": "ios", "xcode": "ios",
+    "flutter": "flutter", "llm": "llm", "llms": "llm", "openai": "llm", "anthropic": "llm", "langchain": "llm", "crewai": "llm", "prompt engineering": "llm",
+    "pytorch": "ml", "tensorflow": "ml", "machine learning": "ml", "kafka": "kafka", "spark": "spark", "hadoop": "hadoop", "airflow": "airflow", "dbt": "dbt",
+    "power bi": "powerbi", "powerbi": "powerbi", "tableau": "tableau", "sap": "sap", "salesforce": "salesforce",
 }
 # Spellings that are ordinary words and count only as a whole skill.
 AMBIGUOUS = ("go", "c", "api", "apis", "express", "node", "rest", "sql", "ml", "spring", "swift", "rails", "flask", "ruby", "php", "java", "react", "js", "ts")
@@ -47,8 +47,7 @@ MARKERS = (
     "llm", "ml", "kafka", "spark", "hadoop", "powerbi", "tableau", "sap", "salesforce",
 )
 
-_CANON = {a: c for c, names in ALIASES.items() for a in names}
-_PHRASES = sorted((a for a in _CANON if a not in AMBIGUOUS), key=lambda a: -len(a))
+_PHRASES = sorted((a for a in ALIASES if a not in AMBIGUOUS), key=lambda a: -len(a))
 
 
 def _map(pairs: dict) -> Column:
@@ -62,7 +61,7 @@ def canonical(skill: Column) -> Column:
     words = F.split(s, " ")
     padded = F.concat(L(" "), F.array_join(words, " "), L(" "))
     hit = F.get(F.filter(F.array(*map(L, _PHRASES)), lambda a: padded.contains(F.concat(L(" "), a, L(" ")))), 0)
-    table = _map(_CANON)
+    table = _map(ALIASES)
     return F.coalesce(F.try_element_at(table, s), F.try_element_at(table, hit))
 
 

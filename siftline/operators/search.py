@@ -1,14 +1,10 @@
-"""Word search without an index: tokens once per text, set tests, phrases through word n-grams."""
+"""Word search without an index: tokens once per text, set tests."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words of a phrase by which texts that may hold it are found.
-KEY_WORDS = 3
-
-
 def tokens(text: Column) -> Column:
     return F.split(F.lower(text), "[^a-z0-9]+")
 
@@ -27,34 +23,3 @@ def matches(words: Column, all_of: list[str] = (), any_of: list[str] = (), none_
 
 def term_count(words: Column, terms: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*terms))).cast("long")
-
-
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
-
-
-def phrase_counts(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """item_id, n: in how many rows of ``docs`` (id, text) each phrase (item_id, phrase) occurs, case aside.
-
-    A text that holds a phrase holds the phrase's words but the outermost as whole words, so
-    up to KEY_WORDS of those are the key of an equi-join, and only rows that meet are
-    searched.  Phrases of one or two words have no such key and are searched in every text.
-    """
-    p = phrases.select("item_id", F.lower("phrase").alias("phrase")).where("phrase <> ''")
-    p = p.withColumn("inner", _words(F.col("phrase"))).withColumn("n", F.greatest(F.lit(0), F.least(F.lit(KEY_WORDS), F.size("inner") - 2)))
-    d = docs.select(F.col(id_col).alias("id"), F.lower("text").alias("text"))
-    hits = None
-    for n in sorted(r.n for r in p.select("n").distinct().collect()):  # at most KEY_WORDS + 1 numbers
-        mine = p.where(F.col("n") == n)
-        if n:
-            keyed = mine.select("item_id", "phrase", F.array_join(F.slice("inner", 2, n), " ").alias("key"))
-            places = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1))
-            grams = d.withColumn("w", _words(F.col("text"))).select("id", F.explode(F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice("w", i, n), " ")))).alias("key"))
-            met = grams.join(keyed, "key").select("id", "item_id", "phrase")
-            found = met.join(d, "id").where(F.contains("text", "phrase"))
-        else:
-            found = d.join(mine, F.contains(d.text, mine.phrase))
-        hits = found.select("item_id") if hits is None else hits.unionAll(found.select("item_id"))
-    if hits is None:
-        return p.select("item_id", F.lit(0).cast("long").alias("n")).limit(0)
-    return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import html as H
 from siftline.functions import tech as T
 from siftline.functions import text as X
-from siftline.operators import search
+from siftline.operators import phrases, search
 from siftline.session import table
 
 L = F.lit
@@ -151,7 +151,7 @@ def readable_text(spark: SparkSession, d: str) -> DataFrame:
 select b.item_id, count(*) as n from benchmark b join documents d on contains(lower(d.text), lower(b.text)) group by 1""")
 def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
     """TXT-14: in how many texts each whole passage occurs, case aside."""
-    return search.phrase_counts(table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("phrase")))
+    return phrases.phrase_counts(table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("phrase")))
 
 
 @query(r"""
