@@ -88,18 +88,6 @@ def page_structure(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.length(F.regexp_replace(h, r"(?is)<li\b[^>]*>.*?</li>", "~")).cast("long").alias("without_items"), F.size(F.regexp_extract_all(h, L(r"(?is)<a\b[^>]*href=[\"']([^\"'#]+)[\"'][^>]*>"), L(1))).cast("long").alias("anchors"))
 
 
-@query()
-def career_pages(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-16, SRC-17, TXT-20..24: page summaries of the extractor."""
-    return H.extract(table(spark, d, "pages"))[1]
-
-
-@query()
-def career_page_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-16: accepted candidates."""
-    return H.extract(table(spark, d, "pages"), 70)[0]
-
-
 @query(r"""
 with e as (select doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda a: regexp_replace(lower(a), '[.,;:]+$', '')))) as a from documents)
 select doc_id, count(*) as n, min(a) as first_address from e where not regexp_matches(regexp_replace(a, '@[^@]*$', ''), '^(example|user|name|email|your|yourname|firstname|lastname|no-?reply|noreply|donotreply|test|sentry|wixpress|abuse|postmaster|mailer-daemon)$') group by 1""")
