@@ -1,7 +1,8 @@
 """Incremental ingest with Structured Streaming (STR-1..5, 9, 11, 14).
 
-State lives in versioned Parquet tables: a batch reads the version its predecessor wrote and
-writes its own, named by the batch id.  A batch that is replayed after a failure reads and
+State lives in Parquet tables, as versions of the whole (``VersionedTable``) or as a base with
+layers of changes (``layers.LayeredTable``): a batch reads what its predecessor left and
+writes its own part, named by the batch id.  A batch that is replayed after a failure reads and
 writes the same versions again, so replays change nothing.  Only the last batch can be
 replayed, so versions older than the one it read are removed.
 """
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from siftline.operators import ingest, keyed
+from siftline.streaming.layers import LayeredTable
 
 STATE = "company_id string, external_id string, fingerprint string, title string, source string, status string, first_seen timestamp, last_seen timestamp"
 
@@ -52,22 +54,27 @@ class VersionedTable:
         for old in [v for v in self._versions() if v < version][:-1]:
             fs.delete(jvm.org.apache.hadoop.fs.Path(folder, f"v={old}"), True)
 
+    def advance(self, version: int, batch: DataFrame, step: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """(rows before, rows after): the whole table goes through ``step`` and is written as ``version``."""
+        old = self.before(version)
+        self.write(version, step(old))
+        return old, self.before(version + 1)
 
-def ingest_stream(postings: DataFrame, state: VersionedTable, checkpoint: str, *, full_snapshot: bool, on_new: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+
+def ingest_stream(postings: DataFrame, state: VersionedTable | LayeredTable, checkpoint: str, *, full_snapshot: bool, on_new: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Runs every waiting micro-batch of ``postings`` (company_id, external_id, fingerprint, title, source, batch_pos, crawled_at) through ``ingest.apply_batch``.
 
     ``on_new`` gets the rows whose key the state did not have: the next stage of the chain.
+    A ``LayeredTable`` writes what a batch changed, a ``VersionedTable`` all of the state.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            old = state.before(batch_id)
             at = F.lit(batch.agg(F.max("crawled_at")).first()[0]).cast("timestamp")
-            new = ingest.apply_batch(old, batch.drop("crawled_at"), at, full_snapshot=full_snapshot)
-            state.write(batch_id, new)
+            old, new = state.advance(batch_id, batch, lambda rows: ingest.apply_batch(rows, batch.drop("crawled_at"), at, full_snapshot=full_snapshot))
             if on_new is not None:
-                on_new(keyed.insert_if_absent(old, state.before(batch_id + 1), ingest.JOB_KEYS), batch_id)
+                on_new(keyed.insert_if_absent(old, new, ingest.JOB_KEYS), batch_id)
         finally:
             batch.unpersist()
 
