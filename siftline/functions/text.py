@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -233,21 +234,55 @@ def first_match(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 0), L(""))
 
 
+# Fences around a reply, and telephone numbers.
+FENCE_START = r"(?i)^\s*```(?:json)?\s*"
+FENCE_END = r"\s*```\s*$"
 PHONE = r"\+?\d[\d\s().-]{8,}\d"
 
 
-def _first_object(text: str | None) -> str | None:
-    at = -1 if text is None else text.find("{")
-    while at >= 0:
-        try:
-            return text[at : json.JSONDecoder().raw_decode(text, at)[1]]
-        except ValueError:
-            at = text.find("{", at + 1)
-    return None
+def _is_json(text: str) -> bool:
+    def refuse(name: str) -> None:
+        raise ValueError(name)  # NaN and Infinity are no JSON
+
+    try:
+        json.loads(text, parse_constant=refuse)
+    except (ValueError, RecursionError):  # nested deeper than any reply of use
+        return False
+    return True
+
+
+def balanced_objects(text: str) -> Iterator[str]:
+    """Spans from a brace to the one that closes it, in one pass over the text; braces inside string literals do not count."""
+    depth, start = 0, 0
+    for m in re.finditer(r'"(?:[^"\\]|\\.)*(?:"|$)|[{}]', text, re.DOTALL):
+        if m.group() == "{":
+            if depth == 0:
+                start = m.start()
+            depth += 1
+        elif m.group() == "}" and depth:
+            depth -= 1
+            if depth == 0:
+                yield text[start : m.end()]
+
+
+def _readings(text: str) -> Iterator[str]:
+    yield text
+    bare = re.sub(FENCE_END, "", re.sub(FENCE_START, "", text))
+    yield bare
+    at = bare.find("{")
+    objects = balanced_objects(bare[at:]) if at >= 0 else iter(())  # quotes before the first brace open no string
+    yield next(objects, "")
+    yield text[text.find("{") : text.rfind("}") + 1]
+    yield from objects
+
+
+def _reply(text: str | None) -> str | None:
+    """The JSON of a reply, by the first reading that parses: all of it, without its fences, its first balanced object, its outermost braces, a later object."""
+    return None if text is None else next((r.strip() for r in _readings(text) if r and _is_json(r)), None)
 
 
 @F.pandas_udf(StringType())
 def json_object(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """First whole JSON object of a model's reply as text, whatever stands around it; null if there is none."""
+    """JSON of a model's reply as text, whatever stands around it; null if there is none."""
     for s in texts:
-        yield s.map(_first_object)
+        yield s.map(_reply)

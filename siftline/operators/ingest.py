@@ -61,27 +61,61 @@ def apply_batch(state: DataFrame, batch: DataFrame, as_of: Column, *, full_snaps
     return merged.withColumn("status", status.otherwise(F.col("status"))).select(state.columns)
 
 
+#: What stands for an unknown board.
+UNKNOWN = "UNKNOWN"
+
+
+def bare_host(url: Column) -> Column:
+    """Lower-cased host without ``www.``, null for what is no address."""
+    return F.nullif(F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", ""), F.lit(""))
+
+
+def _board() -> Column:
+    known = F.col("ats_provider").isNotNull() & (F.col("ats_provider") != UNKNOWN) & F.col("ats_identifier").isNotNull()
+    return F.when(known, F.concat_ws("|", "ats_provider", "ats_identifier"))
+
+
+def company_index(existing: DataFrame) -> DataFrame:
+    """(kind, key, id), one id for each key: boards (0), every ending of the host at a dot (1), lower-cased names (2).
+
+    A site answers to each ending of its host that has a dot, so that ``acme.example`` finds
+    ``careers.acme.example``; the site with fewest labels more wins, then the smallest id.
+    Because a key has one id, nothing that is joined to it multiplies.
+    """
+    labels = F.split("host", r"\.")
+    e = existing.select("id", _board().alias("board"), bare_host(F.col("website")).alias("host"), F.lower("name").alias("name"))
+    endings = F.when(F.size(labels) >= 2, F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.struct((i - 1).alias("more"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key"))))
+    by_host = e.where("host is not null").select("id", F.explode(endings).alias("x")).select(F.lit(1).alias("kind"), "x.key", "x.more", "id")
+    by_board, by_name = (e.select(F.lit(kind).alias("kind"), F.col(c).alias("key"), F.lit(0).alias("more"), "id") for kind, c in ((0, "board"), (2, "name")))
+    keys = by_board.unionAll(by_host).unionAll(by_name).where("key is not null and key <> ''")
+    return keys.groupBy("kind", "key").agg(F.min(F.struct("more", "id")).alias("x")).select("kind", "key", F.col("x.id").alias("id"))
+
+
+def match_companies(existing: DataFrame, found: DataFrame, fid: str) -> DataFrame:
+    """(fid, id) of the found rows that a known company answers to, by board, then host, then name: one equi-join with unique keys."""
+    asked = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in enumerate((_board(), bare_host(F.col("website")), F.lower("name")))])
+    keys = found.select(F.col(fid).alias("__fid"), F.explode(asked).alias("x")).select("__fid", "x.kind", "x.key").where("key is not null and key <> ''")
+    return keys.join(company_index(existing), ["kind", "key"]).groupBy("__fid").agg(F.min(F.struct("kind", "id")).alias("b")).select("__fid", F.col("b.id").alias("id"))
+
+
 def merge_companies(existing: DataFrame, found: DataFrame) -> DataFrame:
-    """Bulk merge: by ATS id, then website host, then lower-cased name; blanks are filled, nothing overwritten.
+    """Bulk merge: by board id, then website host, then lower-cased name; blanks are filled, nothing overwritten.
 
     Columns of both: name, website, ats_provider, ats_identifier; ``existing`` also has id.
-    Found rows without a match are appended with a null id.
+    An ``UNKNOWN`` provider is a blank, filled together with its identifier from one found row.
+    Found rows without a match are appended with a null id; those that agree in the first of
+    board, host and name that they have are one company, and those that have none stay apart.
     """
-    host = lambda c: F.regexp_replace(F.lower(F.try_parse_url(c, F.lit("HOST"))), r"^www\.", "")
-    e = existing.withColumn("__host", host(F.col("website"))).withColumn("__name", F.lower("name"))
-    f = found.withColumn("__fid", F.monotonically_increasing_id()).withColumn("__fhost", host(F.col("website"))).withColumn("__fname", F.lower("name"))
-    tries = [
-        (F.col("e.ats_provider") == F.col("f.ats_provider")) & (F.col("e.ats_identifier") == F.col("f.ats_identifier")),
-        F.col("e.__host") == F.col("f.__fhost"),
-        F.col("e.__name") == F.col("f.__fname"),
-    ]
-    hits = None
-    for order, cond in enumerate(tries):
-        hit = f.alias("f").join(e.alias("e"), cond).select(F.col("f.__fid").alias("__fid"), F.col("e.id").alias("id"), F.lit(order).alias("o"))
-        hits = hit if hits is None else hits.unionAll(hit)
-    best = hits.groupBy("__fid").agg(F.min(F.struct("o", "id")).alias("b")).select("__fid", F.col("b.id").alias("id"))
-    matched = f.join(best, "__fid")
-    fill = matched.groupBy("id").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__fid"))).alias(c) for c in ("name", "website", "ats_provider", "ats_identifier")])
-    kept = keyed.fill_blanks(existing, fill, ["id"])
-    fresh = keyed.top_per_key(f.join(best, "__fid", "left_anti"), ["__fname"], ["__fid"])
-    return kept.unionByName(fresh.select("name", "website", "ats_provider", "ats_identifier"), allowMissingColumns=True)
+    fields = ("name", "website", "ats_provider", "ats_identifier")
+    f = found.select(*fields).withColumn("__fid", F.monotonically_increasing_id())
+    best = match_companies(existing, f, "__fid")
+    matched = f.join(best, "__fid").withColumn("__board", F.when(_board().isNotNull(), F.struct("ats_provider", "ats_identifier")))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__fid"))).alias(f"__f_{c}")
+    fill = matched.groupBy("id").agg(first("name"), first("website"), first("__board"))
+    blank = F.coalesce(F.col("ats_provider") == UNKNOWN, F.lit(True)) | F.col("ats_identifier").isNull()
+    upgrade = blank & F.col("__f___board").isNotNull()
+    now = {"name": F.coalesce("name", "__f_name"), "website": F.coalesce("website", "__f_website")} | {c: F.when(upgrade, F.col(f"__f___board.{c}")).otherwise(F.col(c)) for c in fields[2:]}
+    kept = existing.join(fill, "id", "left").select(*[now.get(c, F.col(c)).alias(c) for c in existing.columns])
+    alone = f.join(best, "__fid", "left_anti").withColumn("__same", F.coalesce(F.concat(F.lit("b"), _board()), F.concat(F.lit("h"), bare_host(F.col("website"))), F.concat(F.lit("n"), F.lower("name")), F.concat(F.lit("-"), F.col("__fid").cast("string"))))
+    fresh = keyed.top_per_key(alone, ["__same"], ["__fid"])
+    return kept.unionByName(fresh.select(*fields), allowMissingColumns=True)
