@@ -22,7 +22,7 @@ def test_top_k_is_one_operator(spark, name):
 
 
 #: A scan of replies for whole JSON objects, automata over texts and the postings of an index run in Arrow batches.
-IN_PYTHON = {"model_replies", "suggested_skills", "document_search", "page_search", "phrase_hits", "keyword_audit", "notify_decisions"}
+IN_PYTHON = {"model_replies", "suggested_skills", "document_search", "page_search", "phrase_hits", "keyword_audit", "notify_decisions", "job_detail"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - IN_PYTHON))
