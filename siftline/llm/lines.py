@@ -31,7 +31,7 @@ from siftline.llm.scratch import discard, stage
 
 BLANK = 0
 #: Holders up to which a line is rare.
-RARE = 16
+RARE = 50
 #: Later documents that are aligned with an earlier one in one run.
 RUN = 256
 
