@@ -234,6 +234,20 @@ def first_match(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 0), L(""))
 
 
+# Address and telephone number of a resume.
+RESUME_EMAIL = r"[\w.+-]+@[\w-]+\.[\w.]+"
+RESUME_PHONE = r"\+?\d[\d\s()-]{8,14}\d"
+
+
+def resume_email(text: Column) -> Column:
+    """First address in a resume's text, null if there is none."""
+    return first_match(text, RESUME_EMAIL)
+
+
+def resume_phone(text: Column) -> Column:
+    return F.trim(first_match(text, RESUME_PHONE))
+
+
 # Fences around a reply, and telephone numbers.
 FENCE_START = r"(?i)^\s*```(?:json)?\s*"
 FENCE_END = r"\s*```\s*$"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("siftline.plans.trust", "siftline.plans.reports", "siftline.plans.relational", "siftline.plans.texts", "siftline.plans.scored", "siftline.plans.boards", "siftline.plans.careers", "siftline.plans.searches", "siftline.plans.audits", "siftline.plans.pages", "siftline.plans.notices", "siftline.plans.contacts", "siftline.plans.profiles")
+MODULES = ("siftline.plans.trust", "siftline.plans.reports", "siftline.plans.relational", "siftline.plans.texts", "siftline.plans.scored", "siftline.plans.boards", "siftline.plans.careers", "siftline.plans.searches", "siftline.plans.audits", "siftline.plans.pages", "siftline.plans.notices", "siftline.plans.contacts", "siftline.plans.profiles", "siftline.plans.rules")
 
 
 def _merged(attribute: str) -> dict:
