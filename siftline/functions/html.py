@@ -27,6 +27,11 @@ LIST_ITEM = r"(?is)<(li|tr)\b[^>]*>(.*?)</\1>"
 ANCHOR = r"(?is)<a\b[^>]*href=[\"']([^\"'#]+)[\"'][^>]*>(.*?)</a>"
 HREF = r"(?i)href=[\"']([^\"'#]+)[\"']"
 SEGMENT = r"·|—|\||,|\s{2,}"
+UNSEEN, COMMENT = r"<(script|style|svg)\b.*?</\1>", "<!--.*?-->"
+TAG, ENTITY = "<[^>]+>", r"&#?\w+;"
+KNOWN_ENTITIES = {"&nbsp;": " ", "&amp;": "&"}
+# A page with a script's marker, fewer links and less text than these is rendered by script.
+SHELL_LINKS, SHELL_TEXT = 8, 1500
 
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
@@ -37,17 +42,21 @@ def ascii_words(pattern: str) -> str:
 
 
 def preprocess(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?is)<(script|style|svg)\b.*?</\1>|<!--.*?-->", " ")
+    """A page without what no reader sees."""
+    return F.regexp_replace(html, f"(?is){UNSEEN}|{COMMENT}", " ")
 
 
 def clean(fragment: Column) -> Column:
-    t = F.replace(F.replace(F.regexp_replace(fragment, "<[^>]+>", " "), L("&nbsp;"), L(" ")), L("&amp;"), L("&"))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"&#?\w+;", " "), r"\s+", " "))
+    """Text of a piece of HTML in one line; entities but the commonest are blanks."""
+    text = F.regexp_replace(fragment, TAG, " ")
+    for entity, character in KNOWN_ENTITIES.items():
+        text = F.replace(text, L(entity), L(character))
+    return F.trim(F.regexp_replace(text, rf"(?:{ENTITY}|\s)+", " "))
 
 
 def looks_rendered_by_script(html: Column) -> Column:
-    text = clean(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "))
-    return html.rlike(SPA) & (F.regexp_count(html, L(r"(?i)<a\b")) < 8) & (F.length(text) < 1500)
+    seen = {"links": F.regexp_count(html, L(r"(?i)<a\b")), "text": F.length(clean(F.regexp_replace(html, f"(?is){UNSEEN}", " ")))}
+    return html.rlike(SPA) & (seen["links"] < SHELL_LINKS) & (seen["text"] < SHELL_TEXT)
 
 
 def absolute(href: Column, base: Column) -> Column:

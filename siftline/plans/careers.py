@@ -255,7 +255,7 @@ def classifications(spark: SparkSession, d: str) -> DataFrame:
     return c.select(i, *[n[k].alias(k) for k in ("function", "intensity", "seniority", "minimum_years")], F.array_join(n["skills"], ",").alias("skills"))
 
 
-@query("""select c_custkey, c_custkey % 4 = 0 or c_custkey % 3 = 1 as by_place, upper(case c_custkey % 4 when 0 then 'in' when 1 then 'IN' else 'US' end) = 'IN' as by_code, true as no_wish, contains(lower(c_name || ' ' || c_mktsegment), 'build') as searched from customer""".replace("c_custkey % 4 = 0 or c_custkey % 3 = 1 as by_place", "c_custkey % 4 = 1 or c_custkey % 3 = 1 as by_place"))
+@query("""select c_custkey, c_custkey % 4 = 1 or c_custkey % 3 = 1 as by_place, upper(case c_custkey % 4 when 0 then 'in' when 1 then 'IN' else 'US' end) = 'IN' as by_code, true as no_wish, contains(lower(c_name || ' ' || c_mktsegment), 'build') as searched from customer""")
 def country_gates(spark: SparkSession, d: str) -> DataFrame:
     """FLT-2, FLT-3, FLT-15: wanted countries by code or by place, and a search over some columns."""
     c, i = _customers(spark, d)

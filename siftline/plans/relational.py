@@ -56,7 +56,7 @@ select label, count(*) as n, round(max(sim), 6) as best from s where sim > 0.1 g
 def similarity_floor(spark: SparkSession, d: str) -> DataFrame:
     """FLT-7."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("__q"))
+    q = e.where("vec_id = 0").select(F.col("embedding").alias("__q")).limit(1)
     s = e.where("vec_id <> 0").crossJoin(F.broadcast(q)).withColumn("sim", vectors.cosine(F.col("embedding"), F.col("__q")))
     return s.where("sim > 0.1").groupBy("label").agg(F.count(L(1)).alias("n"), F.round(F.max("sim"), 6).alias("best"))
 
@@ -192,7 +192,7 @@ select label, count(*) as n, count(sim) as labelled, round(avg(sim), 6) as mean
 def cte_chain(spark: SparkSession, d: str) -> DataFrame:
     """JN-21, FN-6: one-row side, left joins, null-safe similarity."""
     e = table(spark, d, "embeddings")
-    v = e.where("vec_id = 1").select(F.col("embedding").alias("__q"))
+    v = e.where("vec_id = 1").select(F.col("embedding").alias("__q")).limit(1)
     lab = table(spark, d, "labels").select(F.col("doc_id").alias("vec_id"), "toxic")
     x = e.join(lab, "vec_id", "left").crossJoin(F.broadcast(v)).withColumn("sim", F.when(F.col("toxic").isNotNull(), vectors.cosine(F.col("embedding"), F.col("__q"))))
     return x.groupBy("label").agg(F.count(L(1)).alias("n"), F.count("sim").alias("labelled"), F.round(F.avg("sim"), 6).alias("mean"))
@@ -204,7 +204,7 @@ select e.vec_id, round(list_cosine_similarity(embedding::double[], v.q::double[]
 def knn_of_watched(spark: SparkSession, d: str) -> DataFrame:
     """JN-22, FLT-8: keys are restricted before the similarity."""
     e = table(spark, d, "embeddings")
-    v = e.where("vec_id = 0").select(F.col("embedding").alias("__q"))
+    v = e.where("vec_id = 0").select(F.col("embedding").alias("__q")).limit(1)
     tox = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("vec_id")).distinct().withColumn("t", L(True))
     x = e.where(F.col("label").isin(2, 5)).crossJoin(F.broadcast(v)).join(tox, "vec_id", "left")
     return x.select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("__q")), 6).alias("sim"), F.col("t").isNotNull().alias("applied"))

@@ -146,37 +146,54 @@ def normalize(raw: DataFrame, board: str) -> tuple[DataFrame, DataFrame]:
     return good.drop("__pos"), out.where(~F.coalesce(ok, L(False))).drop("__pos")
 
 
+# Places of a thread's header, the shapes of its links and loose ends, entities of its texts, and lengths that a posting has.
+ANYWHERE = r"(?i)remote|worldwide|anywhere"
+THREAD_LINK, LINK_END, THREAD_HOST = r"(?i)https?://[^\s)|]+", "[.,]$", "news.ycombinator.com"
+OPEN_BRACKET, LOOSE_ENDS = r"\s*\([^)]*$", r"^\W+|\W+$"
+COMMENT_ANCHOR, PARAGRAPH = r"(?is)<a[^>]*href=\"([^\"]+)\"[^>]*>.*?</a>", "<p>|\n"
+COMMENT_ENTITIES = {"&amp;": "&", "&#x2F;": "/", "&gt;": ">", "&lt;": "<", "&quot;": '"', "&#39;": "'", "&#x27;": "'"}
+LEAST_COMMENT, MOST_COMPANY, MOST_TITLE, PLACE_NAME = 60, 60, 160, 30
+
+
+def _comment_text(html: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(html, COMMENT_ANCHOR, " $1 "), "<[^>]+>", " ")
+    for entity, character in COMMENT_ENTITIES.items():
+        bare = F.replace(bare, L(entity), L(character))
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def thread_tests(comments: DataFrame) -> DataFrame:
+    """Hiring-thread comments (id, text) as text, segments (text, role, place), company, title, link, and ``failed``, the names of the tests that a comment fails.
+
+    A header's segments are told apart once by what they hold; company, title and place are
+    then picks among them, and the tests are a table of named conditions.
+    """
+    tidy = lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, OPEN_BRACKET, ""), LOOSE_ENDS, ""))
+    segment = lambda s: F.struct(F.trim(s).alias("text"), s.rlike(THREAD_ROLE).alias("role"), (s.rlike(ANYWHERE) | s.rlike(INDIA)).alias("place"))
+    head = _comment_text(F.get(F.split("text", PARAGRAPH), 0))
+    c = comments.select("id", F.filter(F.transform(F.split(head, r"\|"), segment), lambda s: s["text"] != "").alias("segments"), _comment_text(F.col("text")).alias("text"))
+    role = F.get(F.filter("segments", lambda s, n: (n > 0) & s["role"]), 0)["text"]
+    c = c.withColumns({
+        "company": F.left(tidy(F.get("segments", 0)["text"]), L(MOST_COMPANY)), "title": F.left(tidy(role), L(MOST_TITLE)),
+        "link": F.nullif(F.regexp_replace(F.regexp_extract("text", THREAD_LINK, 0), LINK_END, ""), L(""))})
+    company = F.col("company")
+    tests = {
+        "short": F.length("text") >= LEAST_COMMENT, "no role": F.col("text").rlike(THREAD_ROLE), "closed region": ~F.col("text").rlike(REGION_LOCKED), "no place": F.col("text").rlike(WORLDWIDE) | F.col("text").rlike(INDIA),
+        "no header": F.size("segments") >= 2, "no title": F.col("title").isNotNull(), "no company": F.length(company).between(2, MOST_COMPANY), "place as company": ~(company.rlike(ANYWHERE) & (F.length(company) < PLACE_NAME)),
+    } | {f"no company {n}": ~company.rlike(p) for n, p in enumerate(NO_COMPANY)}
+    return c.withColumn("failed", F.array_compact(F.array(*[F.when(~F.coalesce(ok, L(False)), L(name)) for name, ok in tests.items()])))
+
+
 def thread_postings(comments: DataFrame) -> DataFrame:
     """Hiring-thread comments (id, text) to postings; a comment that fails a test gives no row."""
-
-    def plain(html: Column) -> Column:
-        t = F.regexp_replace(html, r"(?is)<a[^>]*href=\"([^\"]+)\"[^>]*>.*?</a>", " $1 ")
-        t = F.regexp_replace(t, "<[^>]+>", " ")
-        for name, ch in (("&amp;", "&"), ("&#x2F;", "/"), ("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'")):
-            t = F.replace(t, L(name), L(ch))
-        return F.trim(F.regexp_replace(t, r"\s+", " "))
-
-    tidy = lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"\s*\([^)]*$", ""), r"^\W+|\W+$", ""))
-    c = comments.where("text is not null").select("id", plain(F.col("text")).alias("text"), plain(F.get(F.split("text", "<p>|\n"), 0)).alias("head"))
-    c = c.withColumn("parts", F.filter(F.transform(F.split("head", r"\|"), lambda p: F.trim(p)), lambda p: p != ""))
-    role = F.get(F.filter(F.slice("parts", 2, 100), lambda p: p.rlike(THREAD_ROLE)), 0)
-    c = c.withColumn("company", F.left(tidy(F.get("parts", 0)), L(60))).withColumn("title", F.left(tidy(role), L(160)))
-    c = c.withColumn("link", F.nullif(F.regexp_replace(F.regexp_extract("text", r"(?i)https?://[^\s)|]+", 0), "[.,]$", ""), L("")))
-    company_ok = F.length("company").between(2, 60)
-    for pattern in NO_COMPANY:
-        company_ok = company_ok & ~F.col("company").rlike(pattern)
-    company_ok = company_ok & ~(F.col("company").rlike("(?i)remote|worldwide|anywhere") & (F.length("company") < 30))
-    relevant = F.col("text").rlike(THREAD_ROLE) & ~F.col("text").rlike(REGION_LOCKED) & (F.col("text").rlike(WORLDWIDE) | F.col("text").rlike(INDIA))
-    c = c.where((F.length("text") >= 60) & relevant & (F.size("parts") >= 2) & company_ok & F.col("title").isNotNull())
-    apply_url = F.when(~F.col("link").contains("news.ycombinator.com"), F.col("link"))
-    f = {
-        "external_id": F.concat(L("hn-"), F.col("id").cast("string")), "company": F.col("company"), "title": F.col("title"), "description": cap_text(F.col("text")),
-        "url": F.coalesce(apply_url, F.concat(L("https://news.ycombinator.com/item?id="), F.col("id").cast("string"))),
-        "location": F.get(F.filter("parts", lambda p: p.rlike("(?i)remote|worldwide|anywhere") | p.rlike(INDIA)), 0),
-        "country": F.when(F.col("text").rlike(INDIA), "IN"), "work_mode": F.when(F.col("text").rlike("(?i)remote|worldwide|anywhere"), "REMOTE"), "source": L("hn"),
+    good = thread_tests(comments).where(F.size("failed") == 0)
+    key, outside = F.col("id").cast("string"), F.when(~F.col("link").contains(THREAD_HOST), F.col("link"))
+    found = {
+        "source": L("hn"), "external_id": F.concat(L("hn-"), key), "company": F.col("company"), "title": F.col("title"), "description": cap_text(F.col("text")), "url": F.coalesce(outside, F.concat(L(f"https://{THREAD_HOST}/item?id="), key)),
+        "location": F.get(F.filter("segments", lambda s: s["place"]), 0)["text"], "country": F.when(F.col("text").rlike(INDIA), "IN"), "work_mode": F.when(F.col("text").rlike(ANYWHERE), "REMOTE"),
     }
     types = {"salary_min": "long", "salary_max": "long", "posted_at": "timestamp"}
-    return c.select(*[f.get(n, L(None)).cast(types.get(n, "string")).alias(n) for n in POSTING])
+    return good.select(*[found.get(n, L(None)).cast(types.get(n, "string")).alias(n) for n in POSTING])
 
 
 def directory_companies(raw: DataFrame) -> DataFrame:
