@@ -47,6 +47,7 @@ MARKERS = (
     "llm", "ml", "kafka", "spark", "hadoop", "powerbi", "tableau", "sap", "salesforce",
 )
 
+_MOST_WORDS = max(len(a.split(" ")) for a in ALIASES)
 _PHRASES = sorted((a for a in ALIASES if a not in AMBIGUOUS), key=lambda a: -len(a))
 
 
@@ -55,14 +56,17 @@ def _map(pairs: dict) -> Column:
 
 
 def canonical(skill: Column) -> Column:
-    """Canonical token of a skill, null if unknown: the whole text, else its longest unambiguous alias phrase."""
+    """Canonical token of a skill, null if unknown: the whole text, else its longest unambiguous alias phrase.
+
+    Phrases are looked up by the runs of words that the text has, as many words as an alias
+    may have, and not one after another in the text.
+    """
     s = F.regexp_replace(F.lower(F.trim(skill)), r"\(.*?\)", " ")
     s = F.trim(F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9+#. \-]", " "), r"\s+", " "))
-    words = F.split(s, " ")
-    padded = F.concat(L(" "), F.array_join(words, " "), L(" "))
-    hit = F.get(F.filter(F.array(*map(L, _PHRASES)), lambda a: padded.contains(F.concat(L(" "), a, L(" ")))), 0)
-    table = _map(ALIASES)
-    return F.coalesce(F.try_element_at(table, s), F.try_element_at(table, hit))
+    words, ranks = F.split(s, " "), _map({a: n for n, a in enumerate(_PHRASES)})
+    runs = [F.when(F.size(words) >= n, F.transform(F.sequence(L(1), F.size(words) - (n - 1)), lambda i, n=n: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, _MOST_WORDS + 1)]
+    longest = F.array_min(F.transform(F.concat(*runs), lambda run: F.try_element_at(ranks, run)))
+    return F.coalesce(F.try_element_at(_map(ALIASES), s), F.when(F.size(words) > 1, F.try_element_at(_map({n: ALIASES[a] for n, a in enumerate(_PHRASES)}), longest)))
 
 
 def canonical_all(skills: Column) -> Column:
@@ -72,7 +76,8 @@ def canonical_all(skills: Column) -> Column:
 
 def canonical_table(skills: DataFrame) -> DataFrame:
     """(raw, tech) of the distinct spellings in column ``raw``: each is looked up once, however many rows have it."""
-    return skills.select("raw").distinct().withColumn("tech", canonical(F.col("raw"))).where("tech is not null")
+    known = F.array_compact(F.array(canonical(F.col("raw"))))  # a filter would take the token twice
+    return skills.select("raw").distinct().select("raw", F.explode(known).alias("tech"))
 
 
 def _asked(df: DataFrame, id_col: str, wanted_col: str, mine: tuple[str, ...]) -> DataFrame:
