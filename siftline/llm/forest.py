@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.scratch import stage
 
-TREES, DEPTH, GROUP, SEED, CANDIDATES = 64, 4, 64, 42, 2.5
+TREES, DEPTH, GROUP, SEED, CANDIDATES = 64, 4, 64, 42, 4
 BLOCK = 1 << 18
 _SYMBOL_BITS = 7
 BITS = DEPTH * _SYMBOL_BITS
