@@ -35,16 +35,12 @@ def test_query(spark, oracle, name):
     df = registry.queries()[name](spark, str(DATA))
     cols = sorted(df.columns)
     got = sorted(tuple(cell(v) for v in r) for r in df.select(*cols).collect())
-    sql = registry.oracle_sql().get(name)
-    if sql is None:
-        assert cols
-        return
-    rel = oracle.sql(sql)
+    rel = oracle.sql(registry.oracle_sql()[name])
     assert sorted(rel.columns) == cols
     at = [rel.columns.index(c) for c in cols]
     want = sorted(tuple(cell(r[i]) for i in at) for r in rel.fetchall())
     assert got == want
 
 
-def test_oracles_belong_to_queries():
-    assert registry.oracle_sql().keys() <= registry.queries().keys()
+def test_every_query_has_sql():
+    assert registry.oracle_sql().keys() == registry.queries().keys()
