@@ -1,9 +1,11 @@
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftline.llm import secrets
+from tests.llm.planted import planted
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +59,19 @@ def test_path_named_before_a_candidate(spark):
     docs = [(1, "see tests/unit/test_app.py for 0123456789abcdef0123"), (2, "config/prod.env: 0123456789abcdef0123"), (3, "plain 0123456789abcdef0123")]
     got = {r.doc_id: r.path for r in secrets.candidates(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.candidate.startswith("0")}
     assert got[1] == "tests/unit/test_app.py" and got[2].startswith("config/prod.env") and got[3] is None
+
+
+DATA = "/root/testdata/sf0.001/documents.parquet"
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+def test_precision_and_recall_on_forms_the_generator_does_not_have(spark, model):
+    rows = spark.read.parquet(DATA).where("length(text) between 50 and 4000").orderBy("doc_id").select("doc_id", "text").collect()
+    cases = planted([(r.doc_id, r.text) for r in rows])
+    found = {}
+    for r in secrets.scan(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string"), model).collect():
+        found.setdefault(r.doc_id, []).append((r.candidate, r.is_secret))
+    flagged = [(label, any(is_secret for c, is_secret in found.get(i, ()) if c in value or value in c)) for i, _, value, label in cases]
+    caught, wrong, missed = (sum(1 for f in flagged if f == x) for x in ((1, True), (0, True), (1, False)))
+    print("precision", caught / (caught + wrong), "recall", caught / (caught + missed))
+    assert caught / (caught + wrong) >= 0.85 and caught / (caught + missed) >= 0.85
