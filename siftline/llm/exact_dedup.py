@@ -36,8 +36,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical after lower-casing A-Z.  Of each group the row with the
     largest id is kept; of repeated rows with that id exactly one, whichever; a null id
     counts as smaller than any other.  ``text_sha256`` is of the normalised text, null for
-    texts that an earlier step proved unique unless ``digest_all``.  An empty table gives
-    an empty result; other columns of ``docs`` are ignored.
+    texts that an earlier step proved unique unless ``digest_all``.  Texts of any length are
+    compared whole, one at a time in the JVM.  An empty table gives an empty result; other
+    columns of ``docs`` are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("__id"), text.alias("__t"))

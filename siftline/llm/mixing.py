@@ -66,7 +66,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
     (source, weight), by default 5, 2, 1 repeating.  Size is the number of words, 0 for null
     text.  Documents of size 0 take nothing.  A null source is a source.  Ties in the seeded
     order go by id, then size; rows equal in all three share what is left evenly, rounded
-    down.  Reruns agree, as the order depends on seed and id alone.  An empty table gives
+    down.  Reruns agree, as the order depends on seed and id alone.  A text of any length is
+    counted whole and may be cut: the last repetition takes part of it.  An empty table gives
     empty results.
     """
     rows = stage(

@@ -252,7 +252,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents without words have fingerprint 0 and are linked like any other.  Rows that
     repeat a doc_id are one node.  component_id is the smallest doc_id reachable; rows with
     a null id count for no group's smallest id (a group of such rows alone has a null one).
-    Null text is empty.  An empty table gives an empty result.
+    Null text is empty; a text of any length is read whole, its shingles' hashes
+    are held by the task that reads it.  An empty table gives an empty result.
     """
     fps = stage(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-nodes")
@@ -421,6 +422,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     several groups are then all compared across the groups, in blocks.  Documents with one set
     of ``verify_shingle``-word shingles are one node, seen as the one with the smallest id.
     Only documents in a group of two or more are returned; rows with a null id are in none.
+    A text of any length is read whole, and its set of shingles' hashes travels as one value.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
     marks = stage(texts.mapInArrow(_marks(verify_shingle, seed), "doc_id long, whole binary, keys binary"), "near-marks")

@@ -217,7 +217,8 @@ def _scorer(machine: Machine):
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row; null and empty texts get the machine's bias.
 
-    held_out is crc32(id as text) mod 3 = 1, false for a null id.  Other columns are ignored.
+    held_out is crc32(id as text) mod 3 = 1, false for a null id.  A text of any length is
+    scored whole; its distinct terms are held by the task that reads it.  Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
