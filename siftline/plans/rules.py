@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions import cards as C
 from siftline.functions import contacts as K
 from siftline.functions import documents as D
 from siftline.functions import text as X
@@ -125,3 +126,55 @@ def document_readability(spark: SparkSession, d: str) -> DataFrame:
     """SCO-29: the six checks of a resume on every document, two thirds of them with headings."""
     extra = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "\nSkills:\nx\nWORK EXPERIENCE\nEducation & Training").otherwise("\nEducation\n technical skills \nSummary\nProjects")
     return table(spark, d, "documents").select("doc_id", D.readability(F.concat(F.coalesce("text", L("")), extra)).alias("r")).select("doc_id", "r.score", "r.verdict", "r.letter_ratio")
+
+
+_PLACES = ("Bengaluru, KA", "NEW DELHI", "Remote - India", "Berlin", "Delhi NCR", "pune / hybrid", "", "India (any)", "Kochi or Trivandrum", "remote", "Old Delhi", "Paris")
+_GROUPED = "case when length({0}) <= 3 then {0} when length({0}) <= 5 then left({0}, length({0}) - 3) || ',' || right({0}, 3) else left({0}, length({0}) - 5) || ',' || substr({0}, length({0}) - 4, 2) || ',' || right({0}, 3) end"
+
+
+@query(rf"""
+with j as (select o_orderkey as job_id, case when o_orderkey % 17 > 0 then ([{", ".join(f"'{p}'" for p in _PLACES)}])[cast(floor(o_totalprice) as bigint) % {len(_PLACES)} + 1] end as place, case o_orderpriority when '1-URGENT' then 'HYBRID' when '2-HIGH' then 'ONSITE' when '3-MEDIUM' then 'REMOTE' end as mode,
+  date_diff('day', o_orderdate, timestamp '2001-08-02') % 40 as age, case when o_orderkey % 4 > 0 then cast(floor(o_totalprice) as bigint)::varchar end as low, case when o_orderkey % 3 > 0 then cast(floor(o_totalprice * 1.5::double) as bigint)::varchar end as high, case when o_orderkey % 5 > 0 then 'INR' end as cur from orders),
+c as (select *, list_filter([{", ".join(f"'{x}'" for x in C.CITIES)}], lambda x: contains(lower(place), lower(x)))[1] as city, coalesce(mode, case when regexp_matches(place, '(?i)remote') then 'REMOTE' end) as way from j)
+select job_id, concat_ws(' · ', case when coalesce(place, '') = '' then null when city is not null then '📍 ' || city when regexp_matches(place, '(?i)india') then '📍 India' else '🌍 ' || place end, case way when 'REMOTE' then '🏠 Remote' when 'HYBRID' then '🏢 Hybrid' when 'ONSITE' then '🏢 Onsite' end) as tags,
+ case when age <= 0 then '🔥 Posted today' when age = 1 then '🔥 Posted yesterday' when age <= 7 then '🟡 Posted ' || age || ' days ago' else '⚪ Posted ' || age || ' days ago' end as fresh,
+ case when low is null and high is null then '💰 Salary not listed' else '💰 ' || coalesce(cur, '') || ' ' || case when low is not null and high is not null then {_GROUPED.format("low")} || '–' || {_GROUPED.format("high")} when low is not null then {_GROUPED.format("low")} || '+' else {_GROUPED.format("high")} end end as pay,
+ array_to_string(case when age <= 3 then ['Fresh', 'Low competition'] when age <= 10 then ['Recent'] when age >= 25 then ['Older posting'] else [] end, ',') as chips from c""")
+def posting_cards(spark: SparkSession, d: str) -> DataFrame:
+    """TXT-26, SCO-26: tags, freshness, pay and competition of every posting."""
+    o, i = table(spark, d, "orders"), F.col("o_orderkey")
+    place = F.when(i % 17 > 0, F.element_at(F.array(*map(L, _PLACES)), (F.floor("o_totalprice") % len(_PLACES) + 1).cast("int")))
+    p = F.col("o_orderpriority")
+    mode = F.when(p == "1-URGENT", "HYBRID").when(p == "2-HIGH", "ONSITE").when(p == "3-MEDIUM", "REMOTE")
+    age = F.datediff(L("2001-08-02").cast("date"), "o_orderdate") % 40
+    low, high = F.when(i % 4 > 0, F.floor("o_totalprice")), F.when(i % 3 > 0, F.floor(F.col("o_totalprice") * 1.5))
+    return o.select(
+        i.alias("job_id"), C.location_tags(place, mode).alias("tags"), C.freshness(age).alias("fresh"), C.salary(low, high, F.when(i % 5 > 0, "INR")).alias("pay"), F.array_join(C.competition(age), ",").alias("chips"))
+
+
+@query("""
+with u as (select user_id, count(*) filter (event_type = 'purchase' and value > 150) as interviews, count(*) filter (event_type = 'click' and value > 120) as replies, count(*) filter (event_type = 'view' and value > 100) as outreach, count(*) filter (event_type = 'signup' and value > 90) as fresh,
+  count(*) filter (event_type = 'error' and value > 60) as active from events where ts >= timestamp '2024-01-23' and ts < timestamp '2024-01-30' group by 1),
+p as (select *, least(4, interviews * 3) + least(2, replies * 2) + least(2, outreach) + case when fresh > 0 then 1 else 0 end + case when active > 0 then 1 else 0 end as points from u)
+select user_id, case when points >= 6 then 'VERY_HIGH' when points >= 4 then 'HIGH' when points >= 2 then 'MEDIUM' else 'LOW' end as level,
+ case when interviews > 1 then interviews || ' interviews/assessments in progress' when interviews = 1 then '1 interview/assessment in progress' when replies > 1 then replies || ' replies waiting on you' when replies = 1 then '1 reply waiting on you'
+  when outreach > 1 then outreach || ' outreach threads in flight' when outreach = 1 then '1 outreach thread in flight' when fresh > 1 then fresh || ' strong fresh matches to apply to' when fresh = 1 then '1 strong fresh match to apply to' else 'warming up — get an application or a referral in motion' end as reason from p""")
+def week_momentum(spark: SparkSession, d: str) -> DataFrame:
+    """SCO-26: each user's motion in one week of events, and what it rests on."""
+    e = table(spark, d, "events").where((F.col("ts") >= L("2024-01-23").cast("timestamp_ntz")) & (F.col("ts") < L("2024-01-30").cast("timestamp_ntz")))
+    n = lambda kind, least, name: F.count_if((F.col("event_type") == kind) & (F.col("value") > least)).alias(name)
+    per = e.groupBy("user_id").agg(n("purchase", 150, "interviews"), n("click", 120, "replies"), n("view", 100, "outreach"), n("signup", 90, "fresh"), n("error", 60, "active"))
+    return per.select("user_id", C.week_momentum(*(F.col(c) for c in ("interviews", "replies", "outreach", "fresh", "active"))).alias("m")).select("user_id", "m.level", "m.reason")
+
+
+@query("""
+with a as (select o_orderkey as job_id, o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R') as referral, o_orderkey in (select l_orderkey from lineitem where l_linestatus = 'F') as tailored, date_diff('day', o_orderdate, timestamp '2001-08-02') as days from orders where o_orderstatus = 'O')
+select job_id, concat_ws(' > ', case when not referral then 'FIND_REFERRAL 5' end, case when days >= 5 then 'FOLLOW_UP 4' end, case when not tailored then 'TAILOR_RESUME 4' end, 'APPLY_SIMILAR 3') as moves from a""")
+def waiting_moves(spark: SparkSession, d: str) -> DataFrame:
+    """SCO-25: the moves that are left while an application is live."""
+    lines = table(spark, d, "lineitem")
+    had = lambda cond, name: lines.where(cond).select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn(name, L(True))
+    o = table(spark, d, "orders").where("o_orderstatus = 'O'").join(had("l_returnflag = 'R'", "referral"), "o_orderkey", "left").join(had("l_linestatus = 'F'", "tailored"), "o_orderkey", "left")
+    yes = lambda c: F.coalesce(c, L(False))
+    moves = D.waiting_actions(yes("referral"), yes("tailored"), F.datediff(L("2001-08-02").cast("date"), "o_orderdate"), L(True))
+    return o.select(F.col("o_orderkey").alias("job_id"), F.array_join(F.transform(moves, lambda m: F.concat_ws(" ", m["factor"], m["strength"].cast("string"))), " > ").alias("moves"))
