@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 
 from siftline.llm import pivots
 from tests.llm.brute import components
@@ -70,3 +71,22 @@ def test_labels_of_any_type_and_extreme_components(spark):
     rows = [(1, [1e200, 2e200], "a"), (2, [1.0, 2.0], "a"), (3, [1e-200, 2e-200], "a"), (4, [1.0, 2.0], "b"), (5, [1.0, 2.0], None), (6, [float("inf"), 1.0], "a"), (7, [0.0, 0.0], "a"), (8, [-1.0, -2.0], "a")]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
     assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False)} | {i: (0, i, True) for i in (4, 5, 6, 7, 8)}
+
+
+@pytest.mark.parametrize("pairs", [500, 4000])
+def test_recall_of_whole_runs_near_the_threshold(spark, pairs):
+    """Pairs planted at cosines of 0.93 to 0.95, beside a dense group, in one label."""
+    rng, unit = np.random.default_rng(pairs), lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(pairs, 64)))
+    z = rng.normal(size=x.shape)
+    c = rng.uniform(0.9305, 0.95, size=(pairs, 1))
+    y = c * x + np.sqrt(1 - c**2) * unit(z - (z * x).sum(1, keepdims=True) * x)
+    group = unit(x[:1] + 0.02 * rng.normal(size=(300, 64)))
+    v = np.concatenate([x, y, group]).astype(np.float32)
+    got = pivots.near_vectors(spark.createDataFrame([(i, e, 0) for i, e in enumerate(v.tolist())], "vec_id long, embedding array<float>, label int")).collect()
+    u = unit(v.astype(np.float64))
+    near = u @ u.T >= 0.93
+    links = int(near.sum()) - len(u)
+    planted = sum(1 for r in got if r.vec_id < 2 * pairs and r.n_links)
+    print("links", sum(r.n_links for r in got) / links, "planted", planted / (2 * pairs))
+    assert sum(r.n_links for r in got) >= 0.98 * links and planted >= 0.98 * 2 * pairs
