@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,13 @@ def seconds_between(later: Column | str, earlier: Column | str) -> Column:
 
 def count_if(cond: Column) -> Column:
     return F.count_if(cond)
+
+
+def once(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with these columns computed once for each row.
+
+    Else the optimiser writes their expressions into every use, and a use inside a lambda is
+    evaluated for each element of its array.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.explode(F.array(F.struct(*columns))).alias("__once")).select(*rest, "__once.*")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from siftline.functions import tech
-from siftline.functions.common import js_round
+from siftline.functions.common import js_round, once
 from siftline.operators import phrases
 
 L = F.lit
@@ -126,7 +126,8 @@ def keyword_audit(df: DataFrame, id_col: str, required: str, preferred: str, tex
     Keywords are rows: their spellings are looked up by joins, and all of them are sought in
     the texts by one automaton.  your_term is the person's own first spelling of a variant.
     """
-    base = df.select(F.col(id_col).alias("id"), F.col(skills).alias("skills"), dedupe_keywords(F.col(required)).alias("req"), dedupe_keywords(F.col(preferred)).alias("pref"))
+    base = once(df.select(F.col(id_col).alias("id"), F.col(skills).alias("skills"), F.col(required).alias("req"), F.col(preferred).alias("pref")), "skills", "req", "pref")
+    base = once(base.select("id", "skills", dedupe_keywords(F.col("req")).alias("req"), dedupe_keywords(F.col("pref")).alias("pref")), "req", "pref")
     req_lower = F.transform("req", lambda w: F.lower(w))
     base = base.withColumn("pref", F.filter("pref", lambda w: ~F.array_contains(req_lower, F.lower(w))))
     asked = base.select("id", L("required").alias("list"), F.posexplode("req").alias("pos", "keyword")).unionAll(base.select("id", L("preferred").alias("list"), F.posexplode("pref").alias("pos", "keyword")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import documents as D
 from siftline.functions import tech
-from siftline.functions.common import js_round
+from siftline.functions.common import js_round, once
 from siftline.operators import keyed, phrases
 
 L = F.lit
@@ -40,9 +40,9 @@ def resume_audit(asked: DataFrame, person: Person) -> DataFrame:
     found there is small whatever the number of jobs.
     """
     spark = asked.sparkSession
-    req = D.dedupe_keywords(F.coalesce("required", F.array().cast("array<string>")))
-    pref = D.dedupe_keywords(F.coalesce("preferred", F.array().cast("array<string>")))
-    base = asked.select("job_id", req.alias("req"), pref.alias("pref"))
+    none = F.array().cast("array<string>")
+    base = once(asked.select("job_id", F.coalesce("required", none).alias("req"), F.coalesce("preferred", none).alias("pref")), "req", "pref")
+    base = once(base.select("job_id", D.dedupe_keywords(F.col("req")).alias("req"), D.dedupe_keywords(F.col("pref")).alias("pref")), "req", "pref")
     lower = F.transform("req", lambda w: F.lower(w))
     base = base.withColumn("pref", F.filter("pref", lambda w: ~F.array_contains(lower, F.lower(w))))
     rows = base.select("job_id", L(0).alias("list"), F.posexplode("req").alias("pos", "keyword")).unionAll(base.select("job_id", L(1).alias("list"), F.posexplode("pref").alias("pos", "keyword")))
