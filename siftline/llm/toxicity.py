@@ -92,14 +92,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _separation(flat: np.ndarray, row: np.ndarray, y: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(z, texts) of every term among some texts: by how many standard errors its share differs between the labels."""
+def _separation(texts: list[np.ndarray], y: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(z, texts) of every term among some texts: by how many standard errors its share differs between the labels.
+
+    Terms are counted text by text, each distinct in it, so that nothing as long as all texts is built.
+    """
     n, positive = int(among.sum()), float(y[among].sum())
-    used = flat[among[row]]
-    df = np.bincount(used, minlength=1 << HASH_BITS)
+    df, toxic = np.zeros(1 << HASH_BITS, np.int64), np.zeros(1 << HASH_BITS)
+    for i in np.flatnonzero(among).tolist():
+        df[texts[i]] += 1
+        if y[i]:
+            toxic[texts[i]] += 1
     if not positive or positive == n:
         return np.zeros(1 << HASH_BITS), df
-    toxic = np.bincount(used, weights=y[row[among[row]]], minlength=1 << HASH_BITS)
     share = df / n
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / positive + 1 / (n - positive)))
     return (toxic / positive - (df - toxic) / (n - positive)) / error, df
@@ -117,25 +122,22 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Machin
     nothing = Machine(np.empty(0, np.int64), float(np.log(rate / (1 - rate))), np.empty(0), np.empty((0, FACTORS)))
     if not positive or positive == n:
         return nothing
-    lengths = np.array([len(t) for t in texts])
-    flat = np.concatenate(texts).astype(np.int64)
-    row = np.repeat(np.arange(n), lengths)
-    z, df = _separation(flat, row, y, np.ones(n, bool))
+    z, df = _separation(texts, y, np.ones(n, bool))
     chosen = (df >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z)
     # terms that tell nothing alone may tell the label of texts that hold a strong term
     strong = (df >= LEAST_TEXTS) & (z >= LEAST_Z)
-    beside = np.zeros(n, bool)
-    beside[row[strong[flat]]] = True
-    z, df = _separation(flat, row, y, beside)
+    beside = np.array([strong[t].any() for t in texts])
+    z, df = _separation(texts, y, beside)
     terms = np.flatnonzero(chosen | ((df >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z)))
     if not len(terms):
         return nothing
-    place = np.full(1 << HASH_BITS, -1)
+    place = np.full(1 << HASH_BITS, -1, np.int32)
     place[terms] = np.arange(len(terms))
-    rows = np.repeat(np.arange(n), lengths)
-    idx = place[flat]
-    rows, idx = rows[idx >= 0], idx[idx >= 0]
-    starts = np.searchsorted(rows, np.arange(n + 1))
+    # the places of a text's terms, those without one left out; the texts follow one another
+    places = [x[x >= 0] for x in (place[t] for t in texts)]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in places])])
+    idx = np.concatenate(places)
+    del z, df, chosen, strong, place, places
 
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)), nothing.bias

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -138,6 +139,19 @@ def test_pairs_that_only_matter_together_are_learned():
     assert score(insult, group) > 0.7 > 0.3 > max(score(insult), score(group))
 
 
+def test_fit_holds_little_beside_the_texts():
+    rng = np.random.default_rng(5)
+    texts = [np.unique(rng.integers(0, 1 << 20, 3000)).astype(np.int32) for _ in range(3000)]
+    labels = rng.integers(0, 2, 3000)
+    tracemalloc.start()
+    try:
+        toxicity.fit(texts, labels)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 120 << 20  # 34 MiB of texts; arrays of all their terms took 351 MiB
+
+
 def test_sample_is_bounded_in_bytes(spark):
     docs = spark.createDataFrame([(i, f"word{i} and other words " * 3) for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
