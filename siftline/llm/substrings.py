@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,8 @@ LENGTH, GRAM = 50, 20
 BITS = 1 << 27
 #: Bytes handled at once, so that the arrays stay in a core's cache; longer texts are cut into overlapping parts.
 CHUNK = 1 << 17
+#: Bytes of a batch's texts taken out of Arrow, and anchors folded, at once.
+SLICE, FOLD = 1 << 21, 1 << 17
 #: Open contexts under one anchor beyond which they are resolved batch by batch and no longer as one run.
 CROWD = 4096
 _STEP = np.uint64(0x100000001B3)
@@ -155,31 +158,54 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Itera
         yield name[own].view(np.int64), context[own].view(np.int64), row[own], place[own] + shift, first[own] + shift, last[own] + shift
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about SLICE bytes of a binary column at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def _fold(length: int, gram: int):
-    """(anchor, context, doc, several) of a batch, one row for each anchor and context; several: in more than one document."""
+    """(anchor, context, doc, several) of a batch, one row for each anchor and context; several: in more than one document.
+
+    Of a whole batch only anchors, contexts and ids are held; they are sorted and folded FOLD
+    anchors at a time, by ranges of the anchor, so that equal pairs meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found = list(anchors(batch.column(1).to_pylist(), length, gram))
-            if not found:
-                continue
-            a, c, row = (np.concatenate(x) for x in list(zip(*found, strict=True))[:3])
-            both = _key_of(a, c)
-            order = np.argsort(both)
-            a, c, both, doc = a[order], c[order], both[order], ids[row[order]].astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-            # keys of two columns that collide are told apart by a slower sort
-            if (np.maximum.reduceat(a, first) != np.minimum.reduceat(a, first)).any() or (np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first)).any():
-                order = np.lexsort((c, a))
-                a, c, doc = a[order], c[order], doc[order]
-                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
-            least, most = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
-            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(c[first]), pa.array(least), pa.array(most > least)], names=["anchor", "context", "doc", "several"])
+            found = []
+            for some in _slices(batch, 1):
+                ids = some.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                found += [(a, c, ids[row]) for a, c, row, *_ in anchors(some.column(1).to_pylist(), length, gram)]
+            parts = 1 + sum(len(a) for a, _, _ in found) // FOLD
+            part = [((a.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32) for a, _, _ in found]
+            for k in range(parts):
+                own = [np.flatnonzero(p == k) for p in part]
+                a, c, doc = (np.concatenate([x[n][at] for x, at in zip(found, own, strict=True)] or [np.empty(0, np.int64)]) for n in range(3))
+                if len(a):
+                    yield _folded(a, c, doc)
 
     return run
 
 
+def _folded(a: np.ndarray, c: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    both = _key_of(a, c)
+    order = np.argsort(both)
+    a, c, both, doc = a[order], c[order], both[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    # keys of two columns that collide are told apart by a slower sort
+    if (np.maximum.reduceat(a, first) != np.minimum.reduceat(a, first)).any() or (np.maximum.reduceat(c, first) != np.minimum.reduceat(c, first)).any():
+        order = np.lexsort((c, a))
+        a, c, doc = a[order], c[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
+    least, most = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(c[first]), pa.array(least), pa.array(most > least)], names=["anchor", "context", "doc", "several"])
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of anchors that more than one document has, folded; ``others`` counts the anchor's other contexts."""
     for a, c, doc, several in whole_runs(batches, 4):
@@ -255,7 +281,7 @@ def _occurrences(table, bits: int, length: int, gram: int, with_bytes: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = table.value
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(_slices(b, 2) for b in batches):
             ids, tags, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
             for found in anchors(texts, length, gram):
                 key = _key_of(found[0], found[1])
@@ -560,7 +586,7 @@ def _little_endian(x: Column) -> Column:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in itertools.chain.from_iterable(_slices(b, 1) for b in batches):
         kept, removed, count = [], [], []
         for text, spans in zip(batch.column(1), batch.column(2), strict=True):
             text, raw = text.as_py(), spans.as_py()

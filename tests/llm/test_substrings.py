@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftline.llm import substrings
@@ -67,3 +70,25 @@ def test_long_periodic_texts(spark):
 
 def test_empty_table(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_fold_holds_little_beside_the_batch():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(97, 123, 4000).astype(np.uint8).tobytes() for _ in range(5000)]
+    texts[7::10] = texts[:500]
+    batch = pa.record_batch([pa.array(np.arange(5000)), pa.array(texts, pa.binary())], names=["doc", "t"])
+    a, c, row = (np.concatenate(x) for x in list(zip(*substrings.anchors(texts), strict=True))[:3])
+    want = {}
+    for x, y, i in zip(a.tolist(), c.tolist(), row.tolist(), strict=True):
+        low, high = want.get((x, y), (i, i))
+        want[x, y] = min(low, i), max(high, i)
+    tracemalloc.start()
+    try:
+        got = list(substrings._fold(50, 20)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 80 << 20  # 19 MiB of texts; sorting all of the batch's anchors at once took 162 MiB
+    rows = [r for out in got for r in zip(*(x.to_pylist() for x in out.columns), strict=True)]
+    assert {(x, y): (i, several) for x, y, i, several in rows} == {k: (low, high > low) for k, (low, high) in want.items()}
+    assert len(rows) == len(want)
