@@ -37,9 +37,11 @@ from siftline.llm.textops import LOWER_TABLE
 BITS, SEED, SHINGLE, MAX_BITS = 64, 42, 3, 2
 BLOCKS, AGREE = 5, 3
 RANDOM_REFERENCES = 16
-#: Keys with more fingerprints than this are linked through neighbours.
+#: Keys with more fingerprints than this are linked through neighbours, those of near copies beyond CROWD.
 PAIRWISE = 64
-#: Keys of near copies, and the permutations of each: a pair of similarity 0.8 shares none with probability 2e-9.
+#: The table of near copies: copies of similarity 0.8 are up to about 13 bits apart, of which keys of 3 of 8 blocks reach 5 for sure.
+WIDE_BITS, WIDE_BLOCKS, WIDE_AGREE = 13, 8, 3
+#: Keys of near copies that the table does not reach, and the permutations of each: a pair of similarity 0.8 shares none with probability 2e-9.
 BANDS, BAND_ROWS = 50, 5
 #: Keys of near copies with more documents than this are linked to a leader first and then compared in blocks.
 CROWD = 8
@@ -214,18 +216,18 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = up
 
 
-def _link_runs(max_bits: int, seed: int):
-    if max_bits != 2:
-        raise ValueError("only max_bits 2 is supported")
+def _link_runs(max_bits: int, pairwise: int, seed: int):
+    if max_bits < 2:
+        raise ValueError("max_bits below 2 is not supported")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = np.array(references(seed), np.uint64)
         for key, fp in whole_runs(batches, 2):
             edges, fps = run_edges(key), fp.view(np.uint64)
             sizes = np.diff(edges)
-            small = np.repeat((sizes > 1) & (sizes <= PAIRWISE), sizes)
+            small = np.repeat((sizes > 1) & (sizes <= pairwise), sizes)
             us, vs = ([x] for x in _links_pairwise(key[small], fps[small], refs, max_bits))
-            for n in np.flatnonzero(sizes > PAIRWISE).tolist():
+            for n in np.flatnonzero(sizes > pairwise).tolist():
                 crowd = np.unique(fps[edges[n] : edges[n + 1]])
                 a, b = _links_by_neighbours(crowd)
                 us.append(crowd[a])
@@ -237,13 +239,16 @@ def _link_runs(max_bits: int, seed: int):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, *, max_bits: int = MAX_BITS, blocks: int = BLOCKS, agree: int = AGREE, seed: int = SEED) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, *, max_bits: int = MAX_BITS, blocks: int = BLOCKS, agree: int = AGREE, pairwise: int | None = None, seed: int = SEED) -> DataFrame:
     """(u, v): links between the distinct values of column ``fp``.
 
-    With ``blocks - agree`` >= 2 they connect exactly what all pairs within 2 bits connect.
+    With ``blocks - agree`` >= 2 and ``max_bits`` 2 they connect exactly what all pairs within
+    2 bits connect.  With more bits they connect at least that; pairs of up to ``blocks -
+    agree`` bits are linked in every key of at most ``pairwise`` fingerprints, those further
+    apart if they happen to share one.
     """
     keyed = distinct.select("fp").mapInArrow(_emit_keys(blocks, agree, seed), "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link_runs(max_bits, seed), "u long, v long").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link_runs(max_bits, PAIRWISE if pairwise is None else pairwise, seed), "u long, v long").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -293,12 +298,14 @@ def _marks(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _permutations(seed)
         for batch in batches:
-            whole, keys = [], []
+            fps, whole, keys = [], [], []
             for t in batch.column(1):
-                digests = np.unique(np.frombuffer(shingle_digests(t.as_py() or b"", size, seed), np.uint64))
+                text = t.as_py() or b""
+                fps.append(fingerprint(text, SHINGLE, seed))
+                digests = np.unique(np.frombuffer(shingle_digests(text, size, seed), np.uint64))
                 whole.append(xxhash.xxh128_digest(digests.tobytes(), seed))
                 keys.append(band_keys(np.unique(digests.view(np.uint32)[::2]), a, b).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "whole", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(whole, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "fp", "whole", "keys"])
 
     return run
 
@@ -410,33 +417,63 @@ def _crowd_rows(crowd: DataFrame, parts: DataFrame) -> DataFrame:
     return dealt.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("run"), "id", "part")
 
 
+def _fingerprint_pairs(owners: DataFrame, seed: int) -> DataFrame:
+    """(a, b), a < b: owners (fp, id) whose fingerprints the distance table links, by the smallest id of each fingerprint."""
+    nodes = stage(owners.groupBy("fp").agg(F.min("id").alias("first")), "near-fp-nodes")
+    links = fingerprint_links(nodes, max_bits=WIDE_BITS, blocks=WIDE_BLOCKS, agree=WIDE_AGREE, pairwise=CROWD, seed=seed)
+    linked = links.join(nodes.select(F.col("fp").alias("u"), F.col("first").alias("x")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("first").alias("y")), "v")
+    equal = owners.join(nodes, "fp").select(F.col("first").alias("x"), F.col("id").alias("y"))
+    return linked.select("x", "y").unionAll(equal).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets of shingles are similar."""
+    seen = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return seen.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+
+
+def _not_joined(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different groups of ``parts`` (node, component)."""
+    told = pairs
+    for end in ("a", "b"):
+        told = told.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"part_{end}")), end, "left")
+    return told.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, verify_shingle: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
-    """(id, component_id): documents grouped by their ``verify_shingle``-word shingles.
+    """(id, component_id): documents grouped by SimHash and their ``verify_shingle``-word shingles.
 
     A link needs a Jaccard similarity of at least ``similarity``, taken from whole sets.
-    Candidates share one of BANDS keys of BAND_ROWS least shingles; SimHash is of no use here,
-    as copies of similarity 0.8 may be 13 bits and more apart.  Pairs of similarity s share
-    none with probability (1 - s ** BAND_ROWS) ** BANDS, whatever the size of the table: 2e-9
-    at 0.8, but 0.004 at 0.64; a smaller ``similarity`` needs more keys.  Documents of a
-    crowded key are held against its smallest id first; those of keys that this leaves in
-    several groups are then all compared across the groups, in blocks.  Documents with one set
-    of ``verify_shingle``-word shingles are one node, seen as the one with the smallest id.
-    Only documents in a group of two or more are returned; rows with a null id are in none.
-    A text of any length is read whole, and its set of shingles' hashes travels as one value.
+    Candidates come first from the fingerprints of ``near_groups`` and their pivot distance
+    table, here up to WIDE_BITS apart: sure for 5 bits (2 in crowded keys), by chance beyond.
+    As copies of similarity 0.8 may be 13 bits and more apart, documents that verified SimHash
+    links leave in different groups are candidates also if they share one of BANDS keys of
+    BAND_ROWS least shingles.
+    Pairs of similarity s share none with probability (1 - s ** BAND_ROWS) ** BANDS, whatever
+    the size of the table: 2e-9 at 0.8, but 0.004 at 0.64; a smaller ``similarity`` needs
+    more keys.  Documents of a crowded key are held against its smallest id first; those of
+    keys that this leaves in several groups are then all compared across the groups, in
+    blocks.  Documents with one set of ``verify_shingle``-word shingles are one node, seen as
+    the one with the smallest id, with the fingerprints of all.  Only documents in a group of
+    two or more are returned; rows with a null id are in none.  A text of any length is read
+    whole, and its set of shingles' hashes travels as one value.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    marks = stage(texts.mapInArrow(_marks(verify_shingle, seed), "doc_id long, whole binary, keys binary"), "near-marks")
+    marks = stage(texts.mapInArrow(_marks(verify_shingle, seed), "doc_id long, fp long, whole binary, keys binary"), "near-marks")
     nodes = stage(marks.groupBy("whole").agg(F.min("doc_id").alias("id"), F.min("keys").alias("keys")), "near-nodes")
+    members = stage(marks.select("doc_id", "fp", "whole").join(nodes.select("whole", "id"), "whole").select("doc_id", "fp", "id"), "near-members")
+    close = stage(_fingerprint_pairs(members.select("fp", "id").distinct(), seed), "near-fp-pairs")
     keyed = nodes.select("id", "keys").mapInArrow(_spread_keys, "key long, id long")
     links = stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, "key long, u long, v long"), "near-links")
     pairs = stage(links.where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct(), "near-pairs")
-    needed = stage(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct(), "near-needed")
+    ends = pairs.unionAll(close)
+    needed = stage(ends.select(F.col("a").alias("id")).unionAll(ends.select(F.col("b").alias("id"))).distinct(), "near-needed")
     sets = keep_ids(texts, "id", needed).mapInArrow(_shingle_sets(verify_shingle, seed), "id long, shingles binary")
     sets = stage(sets.dropDuplicates(["id"]), "near-shingles")
-    seen = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    alike = seen.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
-    one = marks.join(nodes, "whole").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
-    parts = stage(connected_components(alike.unionAll(one), "a", "b"), "near-parts")
+    one = members.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
+    joined = stage(connected_components(_verified(close, sets, similarity).unionAll(one), "a", "b"), "near-joined")
+    alike = _verified(_not_joined(pairs, joined), sets, similarity)
+    parts = stage(connected_components(alike.unionAll(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "near-parts")
     crowds = _crowd_rows(links.where("key is not null").select("key", F.col("v").alias("id")), parts).join(sets, "id").select("run", "id", "part", "shingles")
     more = stage(crowds.repartition("run").sortWithinPartitions("run").mapInArrow(_compare_crowds(similarity), "a long, b long"), "near-crowds")
     groups = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), "a", "b")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from siftline.llm import simhash
-from tests.llm.brute import components
+from tests.llm.brute import components, simhash_fingerprint
 
 
 def shingles(text, size=5):
@@ -90,3 +90,24 @@ def test_pairs_at_the_threshold(spark):
         docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join(copy))]
     assert planted >= 280
     assert found(spark, docs) == {i: i - i % 2 for i, _ in docs}
+
+
+def test_fingerprints_are_candidates_by_the_distance_table(spark, monkeypatch):
+    rng = random.Random(9)
+    docs = []
+    for edits in (0, 1, 1, 2, 2, 4, 8, 40) * 5:
+        base = ["w%d" % rng.randrange(10**6) for _ in range(400)]
+        copy = list(base)
+        for at in rng.sample(range(400), edits):
+            copy[at] = "e%d" % rng.randrange(10**6)
+        docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join([*copy, "end"]))]
+    docs += [(len(docs), docs[0][1].upper())]
+    fps = [simhash_fingerprint(t, 3) for _, t in docs]
+    within = {i for i in range(0, len(docs) - 1, 2) if bin(fps[i] ^ fps[i + 1]).count("1") <= 5}
+    whole = plain(docs)
+    assert 5 <= len(within) < sum(i != c for i, c in whole.items()) - 1
+    assert found(spark, docs) == whole
+    # without least-shingle keys, what the distance table of SimHash finds is left
+    monkeypatch.setattr(simhash, "_spread_keys", lambda batches: iter(()))
+    sure = {i: c for i, c in whole.items() if i - i % 2 in within} | {0: 0, len(docs) - 1: 0}
+    assert sure.items() <= found(spark, docs).items() <= whole.items()
