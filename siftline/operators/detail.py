@@ -1,7 +1,9 @@
 """Everything known of a job in one record (SCO-37).
 
-Each part is brought to one row per job by one exchange on the job's id, and the parts are
-then joined where they are: the joins add no exchange.
+What is told of a job's skills depends on its lists alone, so it is made once for each
+distinct set of lists, and jobs find it by half of the lists' SHA-256.  Each other part is
+brought to one row per job by one exchange on the job's id, and these are then joined where
+they are.
 """
 
 from __future__ import annotations
@@ -15,8 +17,11 @@ from siftline.functions import documents as D
 from siftline.functions import tech
 from siftline.functions.common import js_round, once
 from siftline.operators import keyed, phrases
+from siftline.session import cut
 
 L = F.lit
+#: Bytes of distinct lists up to which what is told of them goes to the jobs, and not the jobs to it.
+FEW_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -68,7 +73,7 @@ def resume_audit(asked: DataFrame, person: Person) -> DataFrame:
         named(lambda x: (x["status"] == "MISSING") & (x["list"] == 0)).alias("missing_required"), F.when(F.size(of(0)) > 0, js_round(covered / F.greatest(F.size(of(0)), L(1)) * 100)).alias("match_pct"))
 
 
-def job_details(jobs: DataFrame, classifications: DataFrame, matches: DataFrame, companies: DataFrame, preferences: DataFrame, person: Person) -> DataFrame:
+def job_details(jobs: DataFrame, classifications: DataFrame, matches: DataFrame, companies: DataFrame, preferences: DataFrame, person: Person, few: int = FEW_BYTES) -> DataFrame:
     """One row for each job (job_id, company_id): classification, specialization, what_if, keywords, career_path, match, company.
 
     Parts that a job has not are null.  ``classifications`` (job_id, version, required,
@@ -76,20 +81,26 @@ def job_details(jobs: DataFrame, classifications: DataFrame, matches: DataFrame,
     ``matches`` (job_id, verdict, code, score) is unique by job, ``companies`` by company_id,
     ``preferences`` (discipline, preference) by discipline.
     """
-    newest = keyed.latest_per_key(classifications, ["job_id"], "version")
+    lists = ("required", "preferred", "specializations")
+    newest = keyed.latest_per_key(classifications.withColumn("lists", F.unhex(F.substring(F.sha2(F.to_json(F.struct(*lists)), 256), 1, 32))), ["job_id"], "version", "lists")
     mine = person.known(jobs)
+    # read several times below; as many rows as there are different lists
+    distinct = cut(newest.groupBy("lists").agg(*[F.first(c).alias(c) for c in lists]))
     both = F.concat(F.coalesce("required", F.array().cast("array<string>")), F.coalesce("specializations", F.array().cast("array<string>")))
-    asked = newest.select("job_id", both.alias("wanted"))
-    fit = tech.specialization(asked, "job_id", "wanted", mine)
-    more = tech.what_if(asked, "job_id", "wanted", mine)
-    audit = resume_audit(newest, person)
-    parts = newest.select("job_id", F.struct("role_family", "version", "required", "preferred").alias("classification"))
-    parts = parts.join(fit.select("job_id", "off_path", F.struct("fit", "strong", "transferable", "missing").alias("specialization")), "job_id", "left")
-    parts = parts.join(more, "job_id", "left").join(audit.select("job_id", F.struct("required", "preferred", "add_exact", "missing_required", "match_pct").alias("keywords")), "job_id", "left")
-    scored = matches.select("job_id", F.struct("verdict", "code", js_round(F.col("score")).alias("score")).alias("match"))
-    out = jobs.select("job_id", "company_id").join(parts, "job_id", "left").join(scored, "job_id", "left")
+    asked = distinct.select("lists", both.alias("wanted"))
+    fit = tech.specialization(asked, "lists", "wanted", mine)
+    more = tech.what_if(asked, "lists", "wanted", mine)
+    audit = resume_audit(distinct.withColumnRenamed("lists", "job_id"), person).withColumnRenamed("job_id", "lists")
+    told = fit.select("lists", "off_path", F.struct("fit", "strong", "transferable", "missing").alias("specialization")).join(more, "lists", "left")
+    told = told.join(audit.select("lists", F.struct("required", "preferred", "add_exact", "missing_required", "match_pct").alias("keywords")), "lists", "left")
+    if (distinct.agg(F.sum(F.octet_length(F.to_json(F.struct(*lists))))).first()[0] or 0) <= few:
+        told = F.broadcast(told)
     known = companies.select("company_id", F.struct(*[c for c in companies.columns if c != "company_id"]).alias("company"))
+    scored = matches.select("job_id", F.struct("verdict", "code", js_round(F.col("score")).alias("score")).alias("match"))
+    # narrow rows are exchanged before the lists' parts make them wide
+    out = jobs.select("job_id", "company_id").join(known, "company_id", "left").drop("company_id")
+    out = out.join(newest.select("job_id", "lists", F.struct("role_family", "version", "required", "preferred").alias("classification")), "job_id", "left").join(scored, "job_id", "left")
     path = preferences.select(F.col("discipline").alias("off_path"), "preference")
-    out = out.join(known, "company_id", "left").join(path, "off_path", "left")
+    out = out.join(told, "lists", "left").join(path, "off_path", "left")
     career = F.when(F.col("off_path").isNotNull(), F.struct(F.col("off_path").alias("discipline"), "preference"))
     return out.select("job_id", "classification", "specialization", "what_if", "keywords", career.alias("career_path"), "match", "company", L(person.years).cast("int").alias("years"))

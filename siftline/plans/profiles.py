@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import scoring as S
 from siftline.functions import tech
-from siftline.operators import detail, skills
+from siftline.operators import detail, keyed, skills
 from siftline.plans.audits import ALIAS_CTE, CANON_SQL, NAMES, PRESENT_SQL, PRINTED_CTES, sql_list
 from siftline.session import table
 
@@ -72,8 +72,10 @@ from orders left join class c on c.job_id = o_orderkey left join spec s on s.job
 def job_detail(spark: SparkSession, d: str) -> DataFrame:
     """SCO-37: the whole record of every job: classification, fit, what-if, keywords, career path, match and company."""
     o, text = table(spark, d, "orders"), table(spark, d, "documents").orderBy("doc_id").select("text").limit(1).first()
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), (F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("version"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
-    classes = lines.select("job_id", "version", F.concat(L("F"), (F.col("a") % 7).cast("string")).alias("role_family"), *[_named(*how).alias(name) for name, how in _SHAPES.items()])
+    # lines are exchanged as three numbers each; versions and lists are made behind the exchange, lists of an order's newest line only
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).repartition("job_id")
+    lines = lines.withColumn("version", F.col("a") * 100_000 + F.col("b"))
+    classes = keyed.latest_per_key(lines, ["job_id"], "version").select("job_id", "version", F.concat(L("F"), (F.col("a") % 7).cast("string")).alias("role_family"), *[_named(*how).alias(name) for name, how in _SHAPES.items()])
     score = F.col("o_totalprice") / 5000
     matches = o.where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("job_id"), S.verdict_band(score).alias("verdict"), F.col("o_orderstatus").alias("code"), score.alias("score"))
     companies = table(spark, d, "customer").select(F.col("c_custkey").alias("company_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))

@@ -76,3 +76,24 @@ def test_parts_are_joined_where_they_are(spark):
     joined = plan[plan.index("SortMergeJoin [off_path"):]
     assert "Exchange" not in joined[joined.index("SortMergeJoin [job_id") : joined.index("SortMergeJoin [job_id") + 80]
     assert df.where(F.col("match").isNotNull()).count() == 100
+
+
+@pytest.mark.parametrize("few", [0, detail.FEW_BYTES])
+def test_lists_are_told_once_however_many_jobs_have_them(spark, monkeypatch, few):
+    seen = []
+    whole = detail.tech.what_if
+    monkeypatch.setattr(detail.tech, "what_if", lambda df, *a: seen.append(df.count()) or whole(df, *a))
+    jobs = spark.range(300).selectExpr("id as job_id", "id % 7 as company_id")
+    # lists whose words are alike when they are strung together, with nulls, and versions that tie
+    shapes = "case id % 4 when 0 then array('Go', 'React') when 1 then array('Go') when 2 then array('Go', null) end"
+    classes = spark.range(600).selectExpr("id % 300 as job_id", "1 as version", f"{shapes} as required", "if(id % 4 = 1, array('React'), array()) as preferred", "if(id < 300, array('Kafka'), array('Java')) as specializations", "'F' as role_family")
+    matches, companies = jobs.selectExpr("job_id", "'A' as verdict", "'B' as code", "1.0D as score"), spark.range(7).selectExpr("id as company_id", "'n' as name")
+    got = detail.job_details(jobs, classes, matches, companies, spark.createDataFrame([("go", "x")], "discipline string, preference string"), detail.Person(("React",), "React", 1), few).collect()
+    assert seen and seen[0] <= 8 and len(got) == 300
+    for r in got:
+        want = {0: ["Go", "React"], 1: ["Go"], 2: ["Go"], 3: []}[r.job_id % 4]
+        words = [*want, *({"Kafka", "Java"} & {*r.specialization.missing})]
+        assert len(words) == len(want) + 1 and sorted(r.specialization.strong + r.specialization.missing) == sorted(words)
+        assert (r.keywords is None) == (r.job_id % 4 == 3)
+        if r.keywords:
+            assert [k.keyword for k in r.keywords.required if k.keyword] == want and [k.keyword for k in r.keywords.preferred] == (["React"] if r.job_id % 4 == 1 else [])
