@@ -11,8 +11,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -28,15 +30,24 @@ DECIDED = "user_id long, job_id long, event_id long, ts timestamp, score double,
 def recent_postings(events: DataFrame, jobs: DataFrame, days: int = RECENT_DAYS) -> DataFrame:
     """``events`` (with company_id, ts) and ``recent``: postings of the company first seen in the days up to the event.
 
-    Both are stacked and swept once in order of time, so there is no range join; distinct
-    (company, time) are counted, however many events share them.
+    Events and postings are stacked and swept twice in order of time, up to the event and up to
+    the days before it, each time with one running sum; so there is no range join, and no frame
+    that is summed anew for each event.
     """
     at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    asked = events.select("company_id", at("ts").alias("__at"), L(0).alias("__job")).distinct()
-    stacked = asked.unionAll(jobs.groupBy("company_id", at("first_seen").alias("__at")).agg(F.count(L(1)).cast("int").alias("__job")))
-    frame = Window.partitionBy("company_id").orderBy("__at").rangeBetween(-days * 86_400_000_000, 0)
-    counted = stacked.withColumn("recent", F.sum("__job").over(frame)).where("__job = 0").select("company_id", "__at", "recent").distinct()
-    return events.withColumn("__at", at("ts")).join(counted, ["company_id", "__at"], "left").withColumn("recent", F.coalesce("recent", L(0).cast("long"))).drop("__at")
+    asked = events.select("company_id", F.struct(*events.columns).alias("__row"), at("ts").alias("__at"), (at("ts") - days * 86_400_000_000).alias("__from"), L(1).alias("__side"), L(0).cast("long").alias("__n"))
+    none = L(None).cast(asked.schema["__row"].dataType)
+    seen = jobs.where("company_id is not null and first_seen is not null").groupBy("company_id", at("first_seen").alias("__at")).agg(F.count(L(1)).alias("__n"))
+    stacked = asked.unionByName(seen.select("company_id", none.alias("__row"), "__at", F.col("__at").alias("__from"), L(0).alias("__side"), "__n"))
+    # postings at the event's time count, those at the first moment of the days too
+    so_far = lambda *order: F.sum("__n").over(Window.partitionBy("company_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    swept = stacked.withColumn("__upto", so_far("__at", "__side")).withColumn("__before", so_far("__from", F.desc("__side")))
+    return swept.where("__side = 1").select("__row.*", (F.col("__upto") - F.col("__before")).alias("recent"))
+
+
+def recent_decides(score: Column, in_countries: Column, age_days: Column, evergreen: Column) -> Column:
+    """Whether ``gates_before_memory`` depends on how many postings are recent; never null."""
+    return F.coalesce((score >= LEAST_SCORE) & in_countries & ~F.coalesce(evergreen, L(False)) & (age_days > MOST_AGE) & (age_days <= 2 * MOST_AGE), L(False))
 
 
 def gates_before_memory(score: Column, in_countries: Column, age_days: Column, evergreen: Column, recent: Column, external_id: Column, monitored: Column) -> Column:
@@ -62,18 +73,54 @@ def remember(last: float | None, score: float | None, before: str | None, after:
     return None, score
 
 
+def _one_by_one(batch: pa.RecordBatch, new: np.ndarray, last: float | None) -> tuple[pa.Array, pa.Array, float | None]:
+    holds, lasts = [], []
+    for fresh, score, before, after in zip(new.tolist(), *(batch.column(c).to_pylist() for c in ("score", "before", "after")), strict=True):
+        hold, last = remember(None if fresh else last, score, before, after)
+        holds.append(hold)
+        lasts.append(last)
+    return pa.array(holds, pa.string()), pa.array(lasts, pa.float64()), last
+
+
+def _at_once(batch: pa.RecordBatch, new: np.ndarray, last: float | None) -> tuple[pa.Array, pa.Array, float | None]:
+    """``_one_by_one`` where all events that come to memory have a score: only events that no gate holds are gone through."""
+    score, before, after = (batch.column(c) for c in ("score", "before", "after"))
+    points, run = pc.fill_null(score, 0.0).to_numpy(), np.cumsum(new)
+    free = np.flatnonzero(before.is_null().to_numpy(zero_copy_only=False) & after.is_null().to_numpy(zero_copy_only=False))
+    told, first, now = [], last, 0
+    for i, r, s in zip(free.tolist(), run[free].tolist(), points[free].tolist(), strict=True):
+        if r != now:
+            now, last = r, None
+        if last is None or not s < last + RISE:
+            told.append(i)
+            last = s
+    if now != run[-1]:
+        last = None
+    is_told = np.zeros(len(run), bool)
+    is_told[told] = True
+    # the event last told before each, if it is of the same user and job
+    at = np.append(np.array(told, np.int64), -1)[np.cumsum(is_told) - is_told - 1]
+    own = (at >= 0) & (run[at] == run)
+    carried = ~own & (run == 0) & (first is not None)
+    known, prior = own | carried, np.where(own, points[at], 0.0 if first is None else first)
+    again = pa.array(known & (points < prior + RISE))
+    holds = pc.coalesce(before, pc.if_else(again, pa.scalar("ALREADY_NOTIFIED"), after))
+    return holds, pa.array(np.where(is_told, points, prior), mask=~(known | is_told)), last
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, last = None, None
     for batch in batches:
-        holds, lasts = [], []
-        for user, job, score, before, after in zip(*(batch.column(c).to_pylist() for c in ("user_id", "job_id", "score", "before", "after")), strict=True):
-            if key != (user, job):
-                key, last = (user, job), None
-            hold, last = remember(last, score, before, after)
-            holds.append(hold)
-            lasts.append(last)
+        if not batch.num_rows:
+            continue
+        ids = [pc.fill_null(batch.column(c), 0).to_numpy() for c in ("user_id", "job_id")]
+        ids += [batch.column(c).is_null().to_numpy(zero_copy_only=False) for c in ("user_id", "job_id")]
+        new = np.append(key != tuple(x[0] for x in ids), np.any([x[1:] != x[:-1] for x in ids], axis=0))
+        key = tuple(x[-1] for x in ids)
+        unscored = pc.any(pc.and_(batch.column("before").is_null(), batch.column("score").is_null())).as_py()
+        holds, lasts, last = (_one_by_one if unscored else _at_once)(batch, new, last)
         columns = [batch.column(c) for c in ("user_id", "job_id", "event_id", "ts", "score")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(holds, pa.string()), pa.array(lasts, pa.float64())], names=["user_id", "job_id", "event_id", "ts", "score", "hold_reason", "last_told"])
+        yield pa.RecordBatch.from_arrays([*columns, holds, lasts], names=["user_id", "job_id", "event_id", "ts", "score", "hold_reason", "last_told"])
 
 
 _INPUT = ("user_id", "job_id", "event_id", "ts", "score", "before", "after")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import scoring as S
 from siftline.operators import notifications as N
-from siftline.session import table
+from siftline.session import cut, table
 
 L = F.lit
+#: Jobs up to which those that were scored go to the events, and not the events to them.
+FEW = 50_000
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -22,9 +24,9 @@ def query(oracle: str):
     return add
 
 
-def _jobs(spark: SparkSession, d: str) -> DataFrame:
+def _jobs(spark: SparkSession, d: str, orders: DataFrame | None = None) -> DataFrame:
     """job_id, company_id, first_seen, posted_at, external_id, monitored, evergreen, nation, all from orders and their customers."""
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = (table(spark, d, "orders") if orders is None else orders).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     days = lambda n: F.make_dt_interval(n.cast("int"))
     first = L("2023-12-20").cast("timestamp") + days(F.datediff("o_orderdate", L("1995-01-01").cast("date")) % 45)
     o = o.withColumn("first_seen", first)
@@ -37,7 +39,10 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     """user_id, job_id, event_id, ts, score, kind of every time a match was scored."""
     e = table(spark, d, "events").where("ts is not null")
     score = F.when(F.col("event_type") != "error", (F.floor(F.col("value") * 100) % 45 + 55).cast("double"))
-    return e.select((F.col("user_id") % 30).alias("user_id"), F.get_json_object("props", "$.k").cast("long").alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), score.alias("score"), F.col("event_type").alias("kind"))
+    # most objects hold a whole number k and nothing else: these need no parser
+    plain = F.regexp_extract("props", r'^\{"k": (0|[1-9][0-9]{0,17})\}$', 1)
+    job = F.when(plain != "", plain.cast("long")).otherwise(F.get_json_object("props", "$.k").cast("long"))
+    return e.select((F.col("user_id") % 30).alias("user_id"), job.alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), score.alias("score"), F.col("event_type").alias("kind"))
 
 
 _BASE = f"""
@@ -71,13 +76,25 @@ select user_id, job_id, event_id, score, hold as hold_reason, last as last_told,
   when 'ACTED_ON' then 'Already in your applications.' else 'You were notified.' end as why from fold""")
 def notify_decisions(spark: SparkSession, d: str) -> DataFrame:
     """SCO-20, SCO-21, STR-5: every scoring of a match through all gates in order, with the memory of what was told."""
-    facts, jobs = _with_jobs(spark, d)
-    facts = N.recent_postings(facts, jobs)
+    scored, orders = _scored(spark, d), table(spark, d, "orders")
+    # jobs that were never scored, and companies that have none of the others, are dropped before anything is joined to them
+    asked = cut(scored.where("job_id is not null").select(F.col("job_id").alias("o_orderkey")).distinct())
+    small = F.broadcast if asked.count() <= FEW else lambda df: df
+    jobs = cut(_jobs(spark, d, small(orders.join(small(asked), "o_orderkey", "left_semi"))))
+    companies = jobs.select(F.col("company_id").alias("o_custkey")).distinct()
+    postings = _jobs(spark, d, orders.join(small(companies), "o_custkey", "left_semi")).select("company_id", "first_seen")
+    facts = scored.join(small(jobs), "job_id")
     age = (F.unix_micros("ts") - F.unix_micros(F.coalesce("posted_at", "first_seen"))) / 86_400_000_000
     wanted = (F.col("user_id") % 3 == 0) | ((F.col("nation") + F.col("user_id")) % 4 > 0)
+    open_ = N.recent_decides(F.col("score"), wanted, age, F.col("evergreen"))
+    facts = N.recent_postings(facts.where(open_), postings).unionByName(facts.where(~open_).withColumn("recent", L(0).cast("long")))
     verdict = F.when(F.col("kind") == "signup", "NEEDS_REVIEW").otherwise(S.verdict_band(F.col("score")))
     events = facts.withColumn("before", N.gates_before_memory(F.col("score"), wanted, age, F.col("evergreen"), F.col("recent"), F.col("external_id"), F.col("monitored")))
-    events = events.withColumn("after", N.gates_after_memory(verdict, F.col("acted_at") < F.col("ts")))
+    events = events.select("user_id", "job_id", "event_id", "ts", "score", "kind", "before", verdict.alias("verdict"))
+    # exchanged and sorted once, as the memory needs them: an earlier purchase is known by then
+    so_far = Window.partitionBy("user_id", "job_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumn("acted_at", F.min(F.when(F.col("kind") == "purchase", F.col("ts"))).over(so_far))
+    events = events.withColumn("after", N.gates_after_memory(F.col("verdict"), F.col("user_id").isNotNull() & (F.col("acted_at") < F.col("ts"))))
     decided = N.decide(events)
     return decided.select("user_id", "job_id", "event_id", "score", "hold_reason", "last_told", N.why_not(F.col("hold_reason"), F.col("score"), F.col("last_told")).alias("why"))
 
