@@ -21,7 +21,7 @@ cover are its context, at most ``2 * length - gram`` of them.
    merged by document and cut out.
 
 Bytes travel once for each context in doubt, and what is not shared is kept away from the
-later shuffles by bitmaps of fixed size.
+later shuffles by bitmaps whose size grows with what is shared, up to a bound.
 """
 
 from __future__ import annotations
@@ -44,8 +44,10 @@ from siftline.llm.simhash import _mixed
 from siftline.llm.suffixes import suffix_array
 
 LENGTH, GRAM = 50, 20
-#: Bits of the bitmap of contexts (16 MiB, whatever the input).
-BITS = 1 << 27
+#: Bits of a bitmap of contexts: 16 MiB, and up to 64 MiB where there are more than 1 / PER_KEY keys a bit.
+BITS, MOST_BITS, PER_KEY = 1 << 27, 1 << 29, 6
+#: A bitmap is dealt out by pages; a key has up to MARKS bits, all in one page.
+PAGE, MARKS = 1 << 15, 3
 #: Bytes handled at once, so that the arrays stay in a core's cache; longer texts are cut into overlapping parts.
 CHUNK = 1 << 17
 #: Bytes of a batch's texts taken out of Arrow, and anchors folded, at once.
@@ -223,24 +225,40 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[shared]), pa.array(c[shared]), pa.array(doc[shared]), pa.array(more[shared]), pa.array(others[shared])], names=["anchor", "context", "doc", "several", "others"])
 
 
-def _bits(rows: DataFrame, position: Column, bits: int) -> np.ndarray:
-    """The bitmap of positions below ``bits`` on the driver: ``bits`` / 8 bytes, whatever the number of rows."""
+def _size_of(keys: int, bits: int, most: int) -> tuple[int, int]:
+    """(bits, marks of a key) of a bitmap for so many keys, from ``bits`` to ``most`` bits."""
+    while bits < min(PER_KEY * keys, most):
+        bits *= 2
+    return bits, max(1, min(MARKS, round(0.69 * bits / max(keys, 1))))
+
+
+def _bitmap(rows: DataFrame, bits: int, marks: int) -> np.ndarray:
+    """The bitmap of what the columns of ``rows`` hold, on the driver: ``bits`` / 8 bytes, whatever the number of rows."""
+    pages = rows.mapInArrow(_dealt(bits), "page int, rest long").repartition("page").mapInArrow(_filled(bits, marks), "page int, bitmap binary")
     out = np.zeros(bits // 8, np.uint8)
-    # buckets are counted from 1 for positions from 1
-    at = rows.select((position + 1).alias("pos"))
-    for r in at.groupBy(F.expr("bitmap_bucket_number(pos)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(pos))").alias("bitmap")).collect():
-        first = (r.bucket - 1) * 4096
-        part = np.frombuffer(bytes(r.bitmap), np.uint8)[: len(out) - first]
-        out[first : first + len(part)] = part
+    for r in pages.collect():
+        out[r.page * (PAGE // 8) : (r.page + 1) * (PAGE // 8)] = np.frombuffer(bytes(r.bitmap), np.uint8)
     return out
 
 
-def _position(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h.view(np.uint64) % np.uint64(bits)).astype(np.int64)
+def _places(key: np.ndarray, mark: int) -> np.ndarray:
+    """Where in its page a key has a bit."""
+    return (key >> np.uint64(19 + 15 * mark) & np.uint64(PAGE - 1)).astype(np.int64)
+
 
+def _pages(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key & np.uint64(bits // PAGE - 1)).astype(np.int64)
 
-def _has(table: np.ndarray, position: np.ndarray) -> np.ndarray:
-    return table[position >> 3] >> (position & 7).astype(np.uint8) & 1 == 1
+
+def _may_have(table: np.ndarray, key: np.ndarray, bits: int, marks: int) -> np.ndarray:
+    """False where a key certainly is not in the bitmap."""
+    at = _pages(key, bits) * PAGE
+    test = lambda at, key, mark: (table[(p := at + _places(key, mark)) >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+    hit = test(at, key, 0)
+    for mark in range(1, marks):
+        left = np.flatnonzero(hit)
+        hit[left] = test(at[left], key[left], mark)
+    return hit
 
 
 def _key_of(*columns: np.ndarray) -> np.ndarray:
@@ -251,23 +269,45 @@ def _key_of(*columns: np.ndarray) -> np.ndarray:
     return h
 
 
-def _positions(bits: int):
-    """pos: the place in the bitmap of what all columns hold."""
+def _dealt(bits: int):
+    """(page, rest) of the key of all columns; rest is the key, whose highest bits are the places in the page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key = _key_of(*(c.to_numpy(zero_copy_only=False) for c in b.columns))
-            yield pa.RecordBatch.from_arrays([pa.array(_position(key, bits))], names=["pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(_pages(key, bits).astype(np.int32)), pa.array(key.view(np.int64))], names=["page", "rest"])
+
+    return run
+
+
+def _filled(bits: int, marks: int):
+    """(page, bitmap): a task holds the pages dealt to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = PAGE // 8
+        slot, table, used = np.full(bits // PAGE, -1, np.int64), np.zeros(0, np.uint8), 0
+        for b in batches:
+            page, key = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            new = np.unique(page[slot[page] < 0])
+            slot[new] = np.arange(used, used + len(new))
+            used += len(new)
+            if used * size > len(table):
+                table = np.concatenate([table, np.zeros(max(used * size - len(table), len(table) // 4), np.uint8)])
+            for mark in range(marks):
+                at = _places(key, mark)
+                np.bitwise_or.at(table, slot[page] * size + (at >> 3), np.left_shift(1, at & 7).astype(np.uint8))
+        for page in np.flatnonzero(slot >= 0).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([table[slot[page] * size :][:size].tobytes()], pa.binary())], names=["page", "bitmap"])
 
     return run
 
 
-def _among(table: Broadcast, bits: int, wanted: bool):
+def _among(table: Broadcast, bits: int, marks: int, wanted: bool):
     """Rows whose first column may be (or, if not ``wanted``, is not) in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hit = _has(table.value, _position(_key_of(b.column(0).to_numpy(zero_copy_only=False)), bits))
+            hit = _may_have(table.value, _key_of(b.column(0).to_numpy(zero_copy_only=False)), bits, marks)
             yield b.filter(pa.array(hit == wanted))
 
     return run
@@ -276,7 +316,7 @@ def _among(table: Broadcast, bits: int, wanted: bool):
 _SEEN = "anchor long, context long, doc long, tag int, first int, width short"
 
 
-def _occurrences(table, bits: int, length: int, gram: int, with_bytes: bool):
+def _occurrences(table, bits: int, marks: int, length: int, gram: int, with_bytes: bool):
     """Rows of _SEEN for (anchor, context) pairs that may be in the bitmap; with the context's bytes, once per batch, if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +325,7 @@ def _occurrences(table, bits: int, length: int, gram: int, with_bytes: bool):
             ids, tags, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
             for found in anchors(texts, length, gram):
                 key = _key_of(found[0], found[1])
-                keep = _has(held, _position(key, bits))
+                keep = _may_have(held, key, bits, marks)
                 if with_bytes:  # one of equal contexts is enough
                     once = np.zeros(len(keep), bool)
                     once[np.unique(key, return_index=True)[1]] = True
@@ -499,17 +539,17 @@ def _spans(length: int):
             ids = batch.column(6)
             partly = ids.is_valid().to_numpy(zero_copy_only=False)
             whole = ~partly & (least < doc)
-            out_d, out_t, out_s, out_e = [doc[whole]], [tag[whole]], [first[whole]], [first[whole] + width[whole] + length]
-            for i in np.flatnonzero(partly).tolist():
-                starts = np.flatnonzero(np.frombuffer(ids[i].as_py(), np.int64) < doc[i]) + first[i] + int(start[i])
-                if not len(starts):
-                    continue
-                cut = np.flatnonzero(np.diff(starts) > 1)
-                s, e = starts[np.concatenate([[0], cut + 1])], starts[np.append(cut, len(starts) - 1)] + length
-                out_d.append(np.full(len(s), doc[i]))
-                out_t.append(np.full(len(s), tag[i]))
-                out_s.append(s)
-                out_e.append(e)
+            # the strings of all partly repeated contexts in a row, those that go, and where runs of them begin and end
+            known = ids.filter(pa.array(partly)).to_pylist()
+            owner = np.repeat(np.flatnonzero(partly), [len(x) // 8 for x in known])
+            new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, int)
+            place = np.arange(len(owner)) - np.repeat(new, np.diff(np.append(new, len(owner))))
+            gone = np.frombuffer(b"".join(known), np.int64) < doc[owner]
+            owner, at = owner[gone], (first[owner] + start[owner].astype(np.int64) + place)[gone]
+            cut = np.flatnonzero((owner[1:] != owner[:-1]) | (np.diff(at) > 1))
+            heads, tails = (np.concatenate([[0], cut + 1]), np.append(cut, len(at) - 1)) if len(at) else (np.zeros(0, int),) * 2
+            out_d, out_t = [doc[whole], doc[owner[heads]]], [tag[whole], tag[owner[heads]]]
+            out_s, out_e = [first[whole], at[heads]], [first[whole] + width[whole] + length, at[tails] + length]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((out_d, np.int64), (out_t, np.int32), (out_s, np.int64), (out_e, np.int64))], names=["doc", "tag", "start", "end"])
 
     return run
@@ -532,7 +572,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[edges[:-1]]), pa.array(tag[edges[:-1]]), pa.array(rows, pa.binary())], names=["doc", "tag", "spans"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, bits: int = BITS) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, bits: int = BITS, most: int = MOST_BITS) -> DataFrame:
     """(doc, tag, spans): for each document with repeated strings its merged spans, int64 starts and then ends.
 
     ``tag`` is the upper half of xxhash64 of the text and tells apart rows that repeat an id.
@@ -544,10 +584,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = stage(by_anchor.mapInArrow(_shared, "anchor long, context long, doc long, several boolean, others long"), "anchors")
     opened = shared.where("others > 0").select("anchor", "context", "doc", "others")
 
-    def table(rows: DataFrame) -> Broadcast:
-        return spark.sparkContext.broadcast(_bits(rows.mapInArrow(_positions(bits), "pos long"), F.col("pos"), bits))
+    def table(rows: DataFrame) -> tuple[Broadcast, int, int]:
+        size = _size_of(rows.count(), bits, most)
+        return spark.sparkContext.broadcast(_bitmap(rows, *size)), *size
 
-    pieces = texts.mapInArrow(_occurrences(table(opened.select("anchor", "context")), bits, length, gram, True), "anchor long, context long, left short, bytes binary")
+    pieces = texts.mapInArrow(_occurrences(*table(opened.select("anchor", "context")), length, gram, True), "anchor long, context long, left short, bytes binary")
     crowd = opened.where(F.col("others") >= CROWD).select("anchor")
     some = not crowd.isEmpty()
     told, met = opened, pieces
@@ -555,7 +596,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         # contexts and bytes part alike by a bitmap, without a shuffle; anchors that it lets through by chance do no harm
         pieces = stage(pieces, "contexts")
         marks = table(crowd)
-        (told, told_crowd), (met, met_crowd) = (tuple(x.mapInArrow(_among(marks, bits, w), x.schema) for w in (False, True)) for x in (opened, pieces))
+        (told, told_crowd), (met, met_crowd) = (tuple(x.mapInArrow(_among(*marks, w), x.schema) for w in (False, True)) for x in (opened, pieces))
     told = told.select("anchor", "context", "doc", F.lit(0).cast("short").alias("left"), F.lit(b"").alias("bytes"))
     rows = told.unionAll(met.select("anchor", "context", F.lit(_NO_DOC).alias("doc"), "left", "bytes"))
     solved = rows.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(_resolve(length), _KNOWN)
@@ -572,7 +613,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         solved = solved.unionAll(found.select("anchor", "context", F.col("doc").alias("least"), "start", _little_endian(F.col("smallest")).alias("ids")))
     equal = shared.where("several").select("anchor", "context", F.col("doc").alias("least"), F.lit(0).alias("start"), F.lit(None).cast("binary").alias("ids"))
     known = stage(solved.unionAll(equal), "anchor-ids")
-    seen = texts.mapInArrow(_occurrences(table(known.select("anchor", "context")), bits, length, gram, False), _SEEN)
+    seen = texts.mapInArrow(_occurrences(*table(known.select("anchor", "context")), length, gram, False), _SEEN)
     hit = seen.select("anchor", "context", "doc", "tag", "first", "width").join(known.hint("merge"), ["anchor", "context"]).select("doc", "tag", "first", "width", "least", "start", "ids")
     spans = hit.mapInArrow(_spans(length), "doc long, tag int, start long, end long")
     spans = stage(spans.repartition("doc", "tag").sortWithinPartitions("doc", "tag", "start").mapInArrow(_merge, "doc long, tag int, spans binary"), "spans")
@@ -598,14 +639,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=["doc_id", "bytes", "kept", "n_removed", "n_spans"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, bits: int = BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, gram: int = GRAM, bits: int = BITS, most: int = MOST_BITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay, joined) for every row.
 
     Null text is empty.  A row with a null id keeps its text and is no source for others;
     rows that repeat an id are no sources for each other.  Strings are judged on the input,
     not on what is left.  Other columns are ignored; an empty table gives an empty result.
     """
-    spans = repeated_spans(docs, id_col, text_col, length=length, gram=gram, bits=bits)
+    spans = repeated_spans(docs, id_col, text_col, length=length, gram=gram, bits=bits, most=most)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("bytes"), _tag(text_col).alias("tag"))
     marked = with_maybe(rows, F.xxhash64("doc_id", "tag"), bitmap(spans, F.xxhash64("doc", "tag")))
     zero = F.lit(0).cast("long")

@@ -92,3 +92,37 @@ def test_fold_holds_little_beside_the_batch():
     rows = [r for out in got for r in zip(*(x.to_pylist() for x in out.columns), strict=True)]
     assert {(x, y): (i, several) for x, y, i, several in rows} == {k: (low, high > low) for k, (low, high) in want.items()}
     assert len(rows) == len(want)
+
+
+def test_bitmaps_grow_with_what_they_hold(spark):
+    assert substrings._size_of(1000, 1 << 27, 1 << 29) == (1 << 27, 3)
+    assert substrings._size_of(72_000_000, 1 << 27, 1 << 29)[0] == 1 << 29  # contexts shared in 6 GB by the share of 0.5 GB
+    assert substrings._size_of(10**9, 1 << 27, 1 << 29) == (1 << 29, 1)
+    keys = np.random.default_rng(3).integers(-(1 << 63), 1 << 63 - 1, (60_000, 2))
+    held = spark.createDataFrame(keys[:30_000].tolist(), "anchor long, context long").repartition(5)
+    bits, marks = substrings._size_of(held.count(), 1 << 15, 1 << 20)
+    table = substrings._bitmap(held, bits, marks)
+    hit = substrings._may_have(table, substrings._key_of(*(x.copy() for x in keys.T)), bits, marks)
+    assert len(table) == bits // 8 and hit[:30_000].all() and hit[30_000:].mean() < 0.07
+
+
+def test_spans_of_a_batch():
+    rng = np.random.default_rng(5)
+    n = 300
+    doc, first, width = rng.integers(0, 9, n), rng.integers(0, 1000, n), rng.integers(0, 30, n)
+    least, start, ids = rng.integers(0, 9, n), [], []
+    for w in width.tolist():
+        s = int(rng.integers(0, w + 1))
+        start.append(s)
+        ids.append(rng.integers(0, 9, w + 1 - s).tobytes() if rng.random() < 0.6 else None)
+    batch = pa.record_batch([pa.array(doc), pa.array(np.arange(n), pa.int32()), pa.array(first, pa.int32()), pa.array(width, pa.int16()), pa.array(least), pa.array(start, pa.int32()), pa.array(ids, pa.binary())], names=list("dtfwlsi"))
+    want = set()
+    for i in range(n):
+        told = range(first[i], first[i] + width[i] + 1) if ids[i] is None and least[i] < doc[i] else [] if ids[i] is None else [first[i] + start[i] + k for k, x in enumerate(np.frombuffer(ids[i], np.int64)) if x < doc[i]]
+        want |= {(i, p + k) for p in told for k in range(50)}
+    for some in (batch, batch.slice(7, 1), batch.slice(0, 0)):
+        (out,) = substrings._spans(50)(iter([some]))
+        tags = set(some.column(1).to_pylist())
+        rows = list(zip(*(x.to_pylist() for x in out.columns), strict=True))
+        assert {(t, p) for _, t, s, e in rows for p in range(s, e)} == {x for x in want if x[0] in tags}
+        assert all(d == doc[t] for d, t, _, _ in rows)
